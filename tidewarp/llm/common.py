@@ -84,6 +84,12 @@ def bounded_sample(rows: DataFrame, by: list[str], bound: int, seed: int = 17) -
     return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < share)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """(doc_id, text, label) of about `bound` documents of each class 0 and 1. Only ids of the sample are broadcast."""
+    drawn = bounded_sample(labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", label), [label], bound)
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a string column, n+1 offsets into them, and whether each row is null (a null has no bytes)."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, language_id, quality, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.op1,
         "op2_decontaminate": decontaminate.op2,
+        "op5_quality": quality.op5,
+        "op9_url_filter": urlfilter.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.OP2_SQL}
+    return {"op2_decontaminate": decontaminate.OP2_SQL, "op9_url_filter": urlfilter.OP9_SQL}
