@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, quality, urlfilter
+from . import decontaminate, language_id, quality, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": language_id.op1,
         "op2_decontaminate": decontaminate.op2,
         "op5_quality": quality.op5,
+        "op8_toxicity": toxicity.op8,
         "op9_url_filter": urlfilter.op9,
     }
 
