@@ -6,18 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, quality, toxicity, urlfilter
+from . import decontaminate, language_id, neardup, quality, toxicity, urlfilter, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1,
         "op2_decontaminate": decontaminate.op2,
+        "op4_vptree": vptree.op4,
         "op5_quality": quality.op5,
         "op8_toxicity": toxicity.op8,
         "op9_url_filter": urlfilter.op9,
+        "op10_neardup": neardup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.OP2_SQL, "op9_url_filter": urlfilter.OP9_SQL}
+    return {
+        "op2_decontaminate": decontaminate.OP2_SQL,
+        "op4_vptree": vptree.OP4_SQL,
+        "op9_url_filter": urlfilter.OP9_SQL,
+        "op10_neardup": neardup.OP10_SQL,
+    }
