@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, neardup, quality, toxicity, urlfilter, vptree
+from . import decontaminate, language_id, mixing, neardup, pii, quality, quotes, toxicity, urlfilter, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1,
         "op2_decontaminate": decontaminate.op2,
+        "op3_quotes": quotes.op3,
         "op4_vptree": vptree.op4,
         "op5_quality": quality.op5,
+        "op6_pii": pii.op6,
+        "op7_mixing": mixing.op7,
         "op8_toxicity": toxicity.op8,
         "op9_url_filter": urlfilter.op9,
         "op10_neardup": neardup.op10,
