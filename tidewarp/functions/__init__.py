@@ -1,0 +1 @@
+"""Column functions: tokens and lengths, padding and slicing, costs, log and name parsing."""

@@ -1,0 +1 @@
+"""DataFrame operators: batching, masks, blocks, placement, schedules, attention, experiments, allocation."""

@@ -1,0 +1 @@
+"""Plans: the planner facade and the catalogue of named queries with their SQL."""
