@@ -7,9 +7,10 @@ Bands of registers bring representatives together; a pair's similarity is estima
 smaller and equal registers by maximum likelihood, and pairs that may reach the threshold are confirmed on their full sets.
 
 No group is expanded into its pairs. Round one tests each representative against the smallest of its buckets, round two
-against one member of each bucket drawn by hash; a bucket whose members all belong to one component is done. What is left
-is searched exhaustively in blocks of bounded size: every member outside the bucket's main component against every member,
-by sketch, untested pairs then on full sets, with a limit per member that doubles until no pair is cut off.
+each member outside its bucket's largest component against one member of that component, drawn by hash; a bucket whose
+members all belong to one component is done. What is left is searched exhaustively in blocks of bounded size: every member
+outside the bucket's largest component meets every member of another component, once, in the first band that the two
+share; estimate and confirmation happen inside the block, and only links come out.
 
 Defined results: a null or wordless text has an empty set, is linked with nothing and keeps itself; so does a row with a
 null doc_id, whose component is null. Rows that repeat a doc_id with one text share one result. Ties: the smallest doc_id.
@@ -31,7 +32,8 @@ M, B, RATE, Q = 200, 1.001, 20.0, 65534
 BANDS, ROWS = 40, 5
 #: How far under the threshold an estimate may lie and still be confirmed: over four standard errors.
 MARGIN = 0.12
-BLOCK = 1024
+#: Members of a block of a bucket, and shingles of all of them together, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 RUN = 1 << 20
 
 _rng = np.random.default_rng(20240611)
@@ -131,10 +133,10 @@ def _buckets(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rep = np.repeat(np.asarray(batch.column(0)), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(bands(_registers(batch.column(1))).ravel()), pa.array(rep)], names=["bucket", "rep"])
+                rep, band = np.repeat(np.asarray(batch.column(0)), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(bands(_registers(batch.column(1))).ravel()), pa.array(band), pa.array(rep)], names=["bucket", "band", "rep"])
 
-    return reps.select("rep", "sketch").mapInArrow(run, "bucket bigint, rep bigint")
+    return reps.select("rep", "sketch").mapInArrow(run, "bucket bigint, band int, rep bigint")
 
 
 def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -151,8 +153,7 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
                 for c in (6, 7):
                     raw, off, _ = text_bytes(batch.column(c).slice(i, 1))
                     sets.append(shingles(raw, off)[0])
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                linked[i] = 100 * both >= SIMILAR * (len(sets[0]) + len(sets[1]) - both) and both > 0
+                linked[i] = _similar(*sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"])
 
     one = full.select(F.col("rep").alias("a"), F.col("sketch").alias("ka"), F.col("n_shingles").alias("na"), F.col("text").alias("ta"))
@@ -181,45 +182,65 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _crowded(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, rep, comp of buckets of more than one component; main: the component of the bucket's smallest member."""
+    """bucket, band, rep, comp and main, the largest component, of the buckets with more than one component."""
     m = members.join(labels, "rep")
-    open_ = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "comp"))["comp"].alias("main"), F.count("*").alias("n")).where("lo <> hi")
-    return m.join(open_.select("bucket", "main", "n"), "bucket")
+    sizes = m.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("n", (-F.col("comp")).alias("c")))["c"].alias("c"))
+    return m.join(sizes.where("comps > 1").select("bucket", (-F.col("c")).alias("main")), "bucket")
 
 
-def _rest(crowded: DataFrame, reps: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b, cut) across components that the estimate does not rule out, `most` of each member and block at most;
-    cut: some were left out. Every member of another component than the main one meets every member of its bucket."""
-    sizes = crowded.groupBy("bucket").agg(F.count("*").alias("n_all"), F.sum((F.col("comp") != F.col("main")).cast("int")).alias("n_minor"))
-    rows = crowded.select("bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("minor")).join(sizes, "bucket").join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    blocks, minor_blocks = F.ceil(F.col("n_all") / BLOCK).cast("int"), F.ceil(F.col("n_minor") / BLOCK).cast("int")
+def _rest(crowded: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) between components of a bucket, one for each member outside the main component and component it meets."""
+    rows = crowded.withColumn("minor", F.col("comp") != F.col("main")).join(full, "rep")
+    parts = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    mine = F.col("minor").cast("int")
+    sizes = rows.groupBy("bucket").agg(parts(F.count("*"), F.sum("n_shingles")).alias("xs"), parts(F.sum(mine), F.sum(mine * F.col("n_shingles"))).alias("ys"))
+    rows = rows.join(sizes, "bucket")
     place = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
-    own = ["bucket", "rep", "comp", "n_shingles", "sketch"]
-    all_ = rows.select(*own, F.lit(False).alias("asks"), place(blocks, 3).alias("x"), F.explode(F.sequence(F.lit(0), minor_blocks - 1)).alias("y"))
-    asks = rows.where("minor").select(*own, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("x"), place(minor_blocks, 5).alias("y"))
+    own = ["bucket", "band", "rep", "comp", "sketch", "text"]
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    all_ = rows.select(*own, "n_shingles", F.lit(False).alias("asks"), place(F.col("xs"), 3).alias("x"), spread("ys").alias("y"))
+    asks = rows.where("minor").select(*own, "n_shingles", F.lit(True).alias("asks"), spread("xs").alias("x"), place(F.col("ys"), 5).alias("y"))
 
     def search(group: pa.Table) -> pa.Table:
-        ask = np.asarray(group.column("asks"))
-        rep, comp, n, k = (np.asarray(group.column("rep")), np.asarray(group.column("comp")), np.asarray(group.column("n_shingles")).astype(float), _registers(group.column("sketch")))
+        ask, band = np.asarray(group.column("asks")), group.column("band")[0].as_py()
+        rep, comp, n, k = np.asarray(group.column("rep")), np.asarray(group.column("comp")), np.asarray(group.column("n_shingles")).astype(float), _registers(group.column("sketch"))
+        buckets, texts = bands(k), group.column("text")
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if rep[i] not in sets:
+                raw, off, _ = text_bytes(texts.slice(i, 1))
+                sets[rep[i]] = shingles(raw, off)[0]
+            return sets[rep[i]]
+
         has = np.flatnonzero(~ask)
-        found: dict[tuple[int, int], bool] = {}
-        cut = False
-        for i in np.flatnonzero(ask):
+        found = set()
+        for i in np.flatnonzero(ask).tolist():
             other = has[comp[has] != comp[i]]
-            same = (k[other] == k[i]).sum(1)
-            other = other[same >= M * 0.4]
+            other = other[(buckets[other] == buckets[i]).argmax(1) == band]
+            other = other[(k[other] == k[i]).sum(1) >= M * (SIMILAR / 100 - 2 * MARGIN)]
             if not len(other):
                 continue
             e = estimate(np.repeat(k[i][None], len(other), 0), k[other], np.full(len(other), n[i]), n[other])
-            order = np.lexsort((rep[other], -e))
-            order = order[e[order] >= SIMILAR / 100 - MARGIN]
-            cut |= len(order) > most
-            for o in other[order[:most]]:
-                found[min(rep[i], rep[o]), max(rep[i], rep[o])] = True
+            other = other[e >= SIMILAR / 100 - MARGIN]
+            done = set()
+            for o in other[np.argsort(-e[e >= SIMILAR / 100 - MARGIN], kind="stable")].tolist():
+                if comp[o] not in done and _similar(set_of(i), set_of(o)):
+                    done.add(comp[o])
+                    found.add((min(rep[i], rep[o]), max(rep[i], rep[o])))
         pairs = sorted(found)
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64()), "cut": pa.array([cut] * len(pairs), pa.bool_())})
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return all_.unionByName(asks).groupBy("bucket", "x", "y").applyInArrow(search, "a bigint, b bigint")
+
 
-    return all_.unionByName(asks).groupBy("bucket", "x", "y").applyInArrow(search, "a bigint, b bigint, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, as ascending hashes, reach the threshold."""
+    if 100 * min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return both > 0 and 100 * both >= SIMILAR * (len(a) + len(b) - both)
 
 
 def components(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -232,7 +253,7 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
     reps = written(full.join(classes, (full["doc_id"] == classes["rep"]) & (full["k1"] == classes["k1"]) & (full["k2"] == classes["k2"]), "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").dropDuplicates(["rep"]), "reps")
     buckets = _buckets(reps)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("bucket", "first")
-    members = written(buckets.join(shared, "bucket"), "members")
+    members = written(buckets.join(shared, "bucket"), "members")  # bucket, band, rep, first
     labels = written(members.select("rep").distinct().select("rep", F.col("rep").alias("comp")), "labels")
     texts = docs.join(labels.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
     texts = written(reps.join(texts.dropDuplicates(["rep"]), "rep"), "texts")
@@ -241,40 +262,22 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = members.where("first <> rep").groupBy("rep").agg(F.min("first").alias("a")).select("a", F.col("rep").alias("b"))
     tested = written(_verified(pairs, texts), "tested")
     labels = _merged(labels, tested.where("linked").select("a", "b"))
-    # round two: in each bucket that is still open, one member by hash
-    crowded = _crowded(members.select("bucket", "rep"), labels)
-    drawn = crowded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep", "comp")).alias("one")).select("bucket", "one.rep", F.col("one.comp").alias("one_comp")).withColumnRenamed("rep", "one")
-    pairs = crowded.join(drawn, "bucket").where("comp <> one_comp").select(F.least("one", "rep").alias("a"), F.greatest("one", "rep").alias("b")).distinct()
-    fresh = written(_verified(written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), texts), "tested")
-    tested = tested.unionByName(fresh)
-    labels = _merged(labels, fresh.where("linked").select("a", "b"))
+    # round two: one member of the largest component of each bucket that is still open
+    members = members.select("bucket", "band", "rep")
+    crowded = _crowded(members, labels)
+    drawn = crowded.where("comp = main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep"))["rep"].alias("one"))
+    pairs = crowded.where("comp <> main").join(drawn, "bucket").select(F.least("one", "rep").alias("a"), F.greatest("one", "rep").alias("b")).distinct()
+    links = written(_verified(pairs.join(tested, ["a", "b"], "left_anti"), texts).where("linked").select("a", "b"), "links")
+    labels = _merged(labels, links)
     # the rest, exhaustively
-    most = 8
-    while True:
-        crowded = written(_crowded(members.select("bucket", "rep"), labels), "crowded")
-        if crowded.isEmpty():
-            break
-        left = written(_rest(crowded, reps, most).join(tested, ["a", "b"], "left_anti"), "pairs")
-        state = left.agg(F.count("*").alias("n")).first()["n"]
-        if not state:
-            if not _cut(crowded, reps, most):
-                break
-            most *= 8
-            continue
-        fresh = written(_verified(left.select("a", "b"), texts), "tested")
-        tested = tested.unionByName(fresh)
-        labels = _merged(labels, fresh.where("linked").select("a", "b"))
-        most *= 8
+    links = written(_rest(_crowded(members, labels), texts).distinct(), "links")
+    labels = _merged(labels, links)
     by_class = classes.join(labels, "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("found"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"), "k2").join(by_class, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _cut(crowded: DataFrame, reps: DataFrame, most: int) -> bool:
-    return not _rest(crowded, reps, most).where("cut").isEmpty()
-
-
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay, one of each component, with the columns they came with."""
     gone = components(docs).where("not kept").select("doc_id").distinct()
