@@ -9,17 +9,18 @@ from ..config import Cluster, Model
 
 def flops(pairs: Column, model: Model, density: Column, backward: bool = False) -> Column:
     """pairs: sum of q * k over the blocks of a work."""
-    return 4 * pairs * model.n_heads * model.head_dim * density * (2.5 if backward else 1.0)
+    return 4 * pairs.cast("double") * model.n_heads * model.head_dim * density * (2.5 if backward else 1.0)
 
 
 def bytes_forward(q: Column, k: Column, model: Model, density: Column) -> Column:
     """All of k and v is read once for each 64 rows of q."""
-    return F.floor((q + 63) / 64) * k * (2 * model.n_groups * model.head_dim) * density
+    return F.floor((q + 63) / 64) * k.cast("double") * (2 * model.n_groups * model.head_dim) * density
 
 
 def bytes_backward(q: Column, k: Column, model: Model, density: Column, heads: int | None = None) -> Column:
     """dO once, and four tensors of q for each 128 rows of k; the division comes after the product."""
     size = 2 * (model.n_groups if heads is None else heads) * model.head_dim
+    q = q.cast("double")
     return (q * size + F.floor(4 * q * (k + 127) / 128) * size) * density
 
 

@@ -14,8 +14,8 @@ def best(df: DataFrame, keys: list[str], metric: str, ties: list[str]) -> DataFr
     """The row of the least metric of each group, ties by the given columns. One aggregation, no window."""
     rest = [c for c in df.columns if c not in keys]
     order = [metric, *ties, *(c for c in rest if c != metric and c not in ties)]
-    one = df.where(F.col(metric).isNotNull()).groupBy(*keys).agg(F.min(F.struct(*order)).alias("b"))
-    return one.select(*keys, *(F.col(f"b.{c}").alias(c) for c in rest))
+    one = df.where(F.col(metric).isNotNull()).groupBy(*keys).agg(F.min(F.struct(*order)).alias("_best"))
+    return one.select(*keys, *(F.col("_best")[c].alias(c) for c in rest))
 
 
 def best_in_turn(df: DataFrame, turns: list[str], metric: str, keys: list[str]) -> DataFrame:

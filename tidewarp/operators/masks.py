@@ -128,7 +128,7 @@ def step_clip(rows: DataFrame, cp: int, rank: int, step: int) -> DataFrame:
             parts.append((F.least(F.greatest(F.col(s), lo), hi) - lo + base, F.least(F.greatest(F.col(e), lo), hi) - lo + base))
         (a0, b0), (a1, b1) = parts
         in0, in1 = a0 < b0, a1 < b1
-        return F.when(in0, a0).otherwise(F.when(in1, a1).otherwise(a0)), F.when(in1, b1).otherwise(F.when(in0, b0).otherwise(b1))
+        return F.when(in0, a0).otherwise(F.when(in1, a1).otherwise(a0)), F.when(in1, b1).otherwise(b0)
 
     c0, d0 = clip("s0", "e0")
     c1, d1 = clip("s1", "e1")

@@ -368,7 +368,7 @@ def _clip_sql(owner: int) -> str:
     cols = []
     for k in (0, 1):
         a0, b0, a1, b1 = cl(f"s{k}", lo0, "0"), cl(f"e{k}", lo0, "0"), cl(f"s{k}", lo1, "c"), cl(f"e{k}", lo1, "c")
-        cols.append(f"case when {a0} < {b0} then {a0} when {a1} < {b1} then {a1} else {a0} end as s{k}, case when {a1} < {b1} then {b1} when {a0} < {b0} then {b0} else {b1} end as e{k}")
+        cols.append(f"case when {a0} < {b0} then {a0} when {a1} < {b1} then {a1} else {a0} end as s{k}, case when {a1} < {b1} then {b1} else {b0} end as e{k}")
     return ", ".join(cols)
 
 

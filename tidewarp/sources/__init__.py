@@ -51,14 +51,15 @@ def from_lengths(spark: SparkSession, lengths: list[int]) -> DataFrame:
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """A batch file {batches, max_dp_degree} as batch_id, place, raw_len, max_dp_degree."""
-    df = spark.read.schema(schemas.BATCHES).option("multiLine", True).json(path)
+    df = spark.read.schema(schemas.BATCHES).json(path)
     return df.select("max_dp_degree", F.posexplode("batches").alias("batch_id", "lens")).select("batch_id", F.posexplode("lens").alias("place", "raw_len"), "max_dp_degree")
 
 
 def write_batches(batches: DataFrame, path: str, max_dp_degree: int) -> None:
-    """Batches (batch_id, place, raw_len) as one JSON line per batch group, ordered inside each batch."""
+    """Batches (batch_id, place, raw_len) as one JSON object, in order: a file of the size of a configuration."""
     one = batches.groupBy("batch_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "raw_len"))), lambda x: x["raw_len"].cast("int")).alias("lens"))
-    one.select(F.array("lens").alias("batches"), F.lit(max_dp_degree).alias("max_dp_degree")).write.mode("overwrite").json(path)
+    all_ = one.agg(F.transform(F.array_sort(F.collect_list(F.struct("batch_id", "lens"))), lambda x: x["lens"]).alias("batches"))
+    all_.select("batches", F.lit(max_dp_degree).alias("max_dp_degree")).write.mode("overwrite").json(path)
 
 
 def write_lengths(df: DataFrame, path: str) -> None:
