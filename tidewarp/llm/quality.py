@@ -30,7 +30,7 @@ RUN = 256 << 10
 
 def lay_out(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts one after the other, each from a multiple of HOP and padded with 0, and n+1 offsets counted in hops."""
-    hops = -(-(np.diff(off) + WIDTH) // HOP)  # so that no filter sees the next text
+    hops = -(-(np.diff(off) + WIDTH) // HOP)  # so that windows over the text end in its own padding
     at = np.append(0, np.cumsum(hops))
     flat = np.zeros(int(at[-1]) * HOP + WIDTH, np.uint8)
     for i in range(len(hops)):
@@ -61,6 +61,8 @@ class Network:
     def features(self, flat: np.ndarray, at: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, dict]:
         """Of each text: mean, max and min over chunks of the filters' maxima, and log length; and what backward() needs."""
         response = np.ascontiguousarray(self.windows(flat)) @ self.filters
+        for k in range(1, -(-WIDTH // STRIDE)):  # a text's last windows lie in its padding and reach into the next text
+            response[at[1:] * PER_HOP - k] = -1e9
         by_hop = response.reshape(-1, PER_HOP, FILTERS)
         arg = by_hop.argmax(1)
         top = np.take_along_axis(by_hop, arg[:, None, :], 1)[:, 0] + self.bias
