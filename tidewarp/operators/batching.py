@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..tables import written
+
 #: Rows of an order-contiguous chunk, about.
 CHUNK_ROWS = 200_000
 
@@ -47,6 +49,7 @@ def pack(lengths: DataFrame, budget: int, at_least: float = 0.75, last: str = "i
     over the budget alone is left out (reason `too_long`) and does not touch the open batch. batch_id counts emitted batches;
     it is null for samples left out.
     """
+    lengths = written(lengths.select("place", "id", "n"), "lengths")  # two numbers a row; texts are read once
     too_long = lengths.where(F.col("n") > budget).select(F.lit(None).cast("bigint").alias("batch_id"), F.lit(None).cast("bigint").alias("seq_in_batch"), F.col("id").cast("bigint"), F.col("n").cast("bigint"), F.lit("too_long").alias("reason"))
     fine = _chunked(lengths.where(F.col("n").isNotNull() & (F.col("n") <= budget)), chunk_rows)
 
@@ -79,6 +82,7 @@ def pack(lengths: DataFrame, budget: int, at_least: float = 0.75, last: str = "i
     if carried is None:
         return too_long
     rows = fine.join(F.broadcast(carried), "chunk").groupBy("chunk").applyInPandas(place, "place bigint, id bigint, n bigint, chunk int, begins boolean")
+    rows = written(rows, "placed")
     # number the batches: starts inside each chunk, plus the starts of the chunks before
     own = Window.partitionBy("chunk").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("k", F.sum(F.col("begins").cast("bigint")).over(own))
@@ -106,12 +110,13 @@ def batch_stats(batches: DataFrame) -> DataFrame:
 
 
 def shuffled_place(id_: Column, seed: int) -> Column:
-    return F.xxhash64(id_, F.lit(seed))
+    """A place in a shuffled order: the same for the same seed on any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat(id_.cast("string"), F.lit(f"-{seed}")).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def sample(df: DataFrame, k: int, seed: int, by: str) -> DataFrame:
     """k rows, drawn by hash without replacement: the same ones for the same seed."""
-    return df.orderBy(F.xxhash64(F.col(by), F.lit(seed)), by).limit(k)
+    return df.orderBy(shuffled_place(F.col(by), seed), by).limit(k)
 
 
 def greedy_groups(lengths: list[int], groups: int, descending: bool) -> list[int]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import DEFAULT
 from ..functions import cost, padding, parsing, tokens
-from ..operators import allocation, attention, batching, blocks, experiments, masks, placement, schedule
+from ..operators import allocation, attention, batching, blocks, experiments, local, masks, placement, schedule
 from ..sources import from_lengths, mock_multimodal, mock_sequences, planner_node, prefetch_slot, table, trace_events
 from .planner import device_report, packed, plan_corpus, sequences
 
@@ -709,6 +709,74 @@ def attn_gradients(spark, sf):
     return attention.d_v(g, _DIM)
 
 
+# local views ----------------------------------------------------------------------------------------------------------------
+def _place_sql(col: str) -> str:
+    return f"('0x' || substr(md5({col}::varchar || '-{P.seed}'), 1, 15))::bigint"
+
+
+@query("shuffled_order", f"select doc_id, {_place_sql('doc_id')} as place from documents")
+def shuffled_order(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", batching.shuffled_place(F.col("doc_id"), P.seed).alias("place"))
+
+
+@query("sample_documents", f"select doc_id from documents order by {_place_sql('doc_id')}, doc_id limit 20")
+def sample_documents(spark, sf):
+    return batching.sample(table(spark, sf, "documents").select("doc_id"), 20, P.seed, "doc_id")
+
+
+@query("pack_shuffled", f"with recursive {_PACKED.replace('row_number() over (order by doc_id) as i', 'row_number() over (order by ' + _place_sql('doc_id') + ', doc_id) as i')} select batch_id, seq_id, doc_id, raw_len from seqs")
+def pack_shuffled(spark, sf):
+    s = sequences(spark, sf).where(F.col("raw_len").between(1, P.max_len)).select(batching.shuffled_place(F.col("doc_id"), P.seed).alias("place"), F.col("doc_id").alias("id"), F.col("raw_len").alias("n"))
+    return batching.pack(s, P.budget).where("batch_id is not null").select("batch_id", F.col("seq_in_batch").alias("seq_id"), F.col("id").alias("doc_id"), F.col("n").alias("raw_len"))
+
+
+@query("mask_full", f"with {_LEN} select doc_id, (raw_len * raw_len)::bigint as pairs from len_ where raw_len > 0")
+def mask_full(spark, sf):
+    r = masks.full(sequences(spark, sf).select(F.col("doc_id").alias("seq_id"), "raw_len"))
+    return masks.counts(r).withColumnRenamed("seq_id", "doc_id")
+
+
+@query("local_rows", f"{_ALL} select batch_id, device, count(*) as n_tokens, sum(pos)::bigint as pos_sum from (select distinct batch_id, seq_id, block, device, n_tokens from data join ddev using (batch_id, is_input, data_id) where is_input = 1) d, unnest(generate_series(d.block * {B}, d.block * {B} + d.n_tokens - 1)) t(pos) group by 1, 2")
+def local_rows(spark, sf):
+    p = plan_corpus(spark, sf)
+    rows = p.seqs.select("batch_id", "seq_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("raw_len") - 1)).alias("pos"))
+    return local.local_rows(rows, p.data, p.placed[1]).groupBy("batch_id", "device").agg(F.count("*").alias("n_tokens"), F.sum("pos").alias("pos_sum"))
+
+
+@query("zigzag_zeroed", f"with {_LEN}, {_POS} select doc_id, ({_ZZ})::bigint as rank, sum(case when pos < raw_len then pos + 1 else 0 end)::bigint as x_sum from pos_ group by 1, 2")
+def zigzag_zeroed(spark, sf):
+    rows = _positions(spark, sf).withColumnRenamed("n", "padded_len").withColumn("x", F.col("pos") + 1)
+    return local.zeroed(rows, "x", P.cp).groupBy("doc_id", "rank").agg(F.sum("x").alias("x_sum"))
+
+
+_SLOT_SQL = "slot_ as (select batch_id, device, kind, data_id, row_number() over (partition by batch_id, device, kind order by head, seq_id, block) - 1 as slot from data join ddev using (batch_id, is_input, data_id))"
+
+
+@query("block_table", f"{_ALL}, {_SLOT_SQL}, l_ as (select w.batch_id, d.device, w.q_id, count(*) as n, sum(s.slot * (w.kv_block + 1))::bigint as weighted from works w join wdev d using (batch_id, work_id) join slot_ s on s.batch_id = w.batch_id and s.data_id = w.kv_id and s.kind = 'KV' group by 1, 2, 3) select batch_id, device, q_id, n, (max(n) over (partition by batch_id, device))::bigint as width from l_")
+def block_table(spark, sf):
+    p = plan_corpus(spark, sf)
+    t = local.block_table(p.works, p.placed[0], schedule.local_slots(p.data, p.placed[1]))
+    return t.select("batch_id", "device", "q_id", F.size(F.filter("slots", lambda x: x >= 0)).cast("bigint").alias("n"), F.size("slots").cast("bigint").alias("width"))
+
+
+@query("reconstruct_outputs", "select l_orderkey as seq_id, l_suppkey as pos, list(l_linenumber order by l_linenumber)::varchar as heads from lineitem group by 1, 2")
+def reconstruct_outputs(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("seq_id"), F.col("l_suppkey").alias("pos"), F.col("l_linenumber").alias("head"), F.col("l_linenumber").alias("x"))
+    return local.reconstructed(rows, "x").select("seq_id", "pos", F.concat(F.lit("["), F.array_join("x", ", "), F.lit("]")).alias("heads"))
+
+
+@query("mask_gather", "select l_orderkey as seq_id, l_linenumber as pos, (row_number() over (partition by l_orderkey order by l_linenumber) - 1)::bigint as dense from (select distinct l_orderkey, l_linenumber from lineitem where l_returnflag = 'N')")
+def mask_gather(spark, sf):
+    rows = table(spark, sf, "lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("seq_id"), F.col("l_linenumber").alias("pos")).distinct()
+    return local.gathered(rows, "pos >= 0")
+
+
+@query("partial_gradients")
+def partial_gradients(spark, sf):
+    p = plan_corpus(spark, sf)
+    return local.partial_gradients(p.staged[0], blocks.backward(p.works)).groupBy("batch_id", "kind").agg(F.count("*").alias("n_slots"))
+
+
 # experiments ------------------------------------------------------------------------------------------------------------------
 _RUNS = "runs as (select event_type as framework, (user_id % 4)::int as dp, (pow(2, 8 + user_id % 5))::int as block, (user_id % 3)::int as window_size, value as ms, event_id from events)"
 
