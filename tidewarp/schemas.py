@@ -23,7 +23,7 @@ DATA_BLOCKS = _struct(batch_id=LongType(), data_id=LongType(), is_input=IntegerT
 PLACEMENT = _struct(batch_id=LongType(), item=StringType(), id=LongType(), device=IntegerType())
 RESULTS = _struct(
     n_heads=IntegerType(), n_query_groups=IntegerType(), head_dim=IntegerType(), framework=StringType(), benchmark_type=StringType(), mask_type=StringType(),
-    lt_window_size=IntegerType(), a2a_degree=IntegerType(), dcp_block_size=IntegerType(), dp_degree=IntegerType(), avg_time=StringType(), n_iters=IntegerType(),
+    window_size=IntegerType(), a2a_degree=IntegerType(), block_size=IntegerType(), dp_degree=IntegerType(), avg_time=StringType(), n_iters=IntegerType(),
 )
 BATCHES = _struct(batches=ArrayType(ArrayType(IntegerType())), max_dp_degree=IntegerType())
 EVENTS = _struct(seq_no=LongType(), kind=StringType(), block=LongType(), bytes=LongType())
