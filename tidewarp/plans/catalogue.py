@@ -832,11 +832,10 @@ def _lines(spark, sf):
         .when(F.col("event_id") % 5 == 3, F.concat(F.lit("device (total workload: "), (F.col("event_id") + 1).cast("string"), F.lit(".5)")))
         .otherwise(F.concat(F.lit("Compilation took "), (F.col("event_id") % 100).cast("string"), F.lit(".25 seconds")))
     )
-    return e.select((F.col("event_id") % 20).alias("run"), text.alias("line"))
+    return e.select((F.col("event_id") % 7).alias("run"), text.alias("line"))
 
 
-# event_id % 20 fixes event_id % 5, so each run has lines of one kind
-@query("log_parse_metrics", "select event_id % 20 as run, (max(case when event_id % 5 = 0 then 512 end))::int as block_size, max(case when event_id % 5 = 1 then event_id::double end) as inter_node_cost, max(case when event_id % 5 = 2 then event_id * 1000 end)::double / 1e6 as max_mem_mb, round(max(case when event_id % 5 = 3 then event_id + 1.5::double end) / avg(case when event_id % 5 = 3 then event_id + 1.5::double end), 9) as compute_imbalance, max(case when event_id % 5 = 4 then event_id % 100 + 0.25::double end) as plan_seconds from events group by 1")
+@query("log_parse_metrics", "select event_id % 7 as run, (max(case when event_id % 5 = 0 then 512 end))::int as block_size, max(case when event_id % 5 = 1 then event_id::double end) as inter_node_cost, max(case when event_id % 5 = 2 then event_id * 1000 end)::double / 1e6 as max_mem_mb, round(max(case when event_id % 5 = 3 then event_id + 1.5::double end) / avg(case when event_id % 5 = 3 then event_id + 1.5::double end), 9) as compute_imbalance, max(case when event_id % 5 = 4 then event_id % 100 + 0.25::double end) as plan_seconds from events group by 1")
 def log_parse_metrics(spark, sf):
     return parsing.log_metrics(_lines(spark, sf), ["run"]).withColumn("compute_imbalance", F.round("compute_imbalance", 9))
 
