@@ -1,4 +1,4 @@
-"""Helpers that the training-data operators share: tables, shared folder, Arrow batches, byte-level words.
+"""Helpers that the training-data operators share: tables, folds, samples, Arrow batches, byte-level words.
 
 Texts are handled as the UTF-8 bytes that Arrow hands over, in numpy, so no Python object is made per word. A null text
 is a text of no bytes; every operator says what that means for it.
@@ -6,16 +6,16 @@ is a text of no bytes; every operator says what that means for it.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..tables import written
+
+__all__ = ["bounded_sample", "in_fold", "labelled_sample", "mix", "pieces", "prepare", "runs", "table", "text_bytes", "word_table", "words", "written"]
+
 #: Rows of an Arrow batch handed to Python. Long texts are common, so that a batch stays at some MB.
 BATCH_ROWS = 400
 U64 = np.uint64
@@ -31,39 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where a test sets none."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    made = sc._jsc.sc().getCheckpointDir()
-    if made.isDefined():
-        return made.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="tidewarp-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back. The files go when the program ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewarp/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session is gone already; the folder's owner clears it
-        return
-
-
 def in_fold(mod: int, rest: int):
     """Column: crc32 of the doc_id as text leaves this rest. A null doc_id is in no fold."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
