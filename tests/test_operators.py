@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewarp.config import Cluster, Model, Plan
 from tidewarp.functions import cost, padding, tokens
 from tidewarp.operators import allocation, attention, batching, blocks, experiments, masks, placement, schedule
+from tidewarp.plans.catalogue import QUERIES
 from tidewarp.plans.planner import Planned
 from tidewarp.sources import from_lengths, mock_multimodal, mock_sequences
 
@@ -245,3 +246,13 @@ def test_attention_matches_direct(spark):
 def test_mock_sequences(spark):
     rows = mock_sequences(spark, 5, 4, 9, 1).collect()
     assert len(rows) == 5 and all(r["tokens"] == [*range(1, len(r["tokens"])), 0] for r in rows)
+
+
+def test_dominated_without_pairs(spark, sf):
+    rows = [("x", 1, 1.0, 5), ("x", 2, 1.0, 5), ("x", 3, 1.0, 6), ("x", 4, 2.0, 5), ("x", 5, 2.0, 4), ("x", 6, 3.0, None), ("x", 7, 0.5, 9), ("y", 8, 9.0, 9), (None, 9, 0.0, 0)]
+    rows += [("z", 10 + i, float(i * 37 % 101), i * 53 % 97) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, k bigint, a double, b bigint")
+    got = sorted(r["k"] for r in experiments.dominated(df, "g", ["a", "b"], chunks=5).collect())
+    known = [r for r in rows if None not in r]
+    assert got == [k for g, k, a, b in known if any(h == g and c <= a and d <= b and (c < a or d < b) for h, _, c, d in known)]
+    assert QUERIES["dominated_configs_all"](spark, sf).where("k % 50 <> 0").count() > 0

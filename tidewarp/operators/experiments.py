@@ -57,13 +57,22 @@ def run_summary(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.avg("inter_node_cost").alias("inter_node_cost"), F.max("max_mem_mb").alias("max_mem_mb"), F.avg("compute_imbalance").alias("compute_imbalance"), F.avg("plan_seconds").alias("plan_seconds"))
 
 
-def dominated(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Configurations for which another one is at least as good in all columns and better in one (smaller is better)."""
-    a, b = df.alias("a"), df.alias("b")
-    no_worse = reduce(lambda x, y: x & y, (F.col(f"b.{c}") <= F.col(f"a.{c}") for c in cols))
-    better = reduce(lambda x, y: x | y, (F.col(f"b.{c}") < F.col(f"a.{c}") for c in cols))
-    # an equi-join needs a key: configurations compete inside their group
-    return a.join(b, [key]).where(no_worse & better).select("a.*").distinct()
+def dominated(df: DataFrame, key: str, cols: list[str], chunks: int = 64) -> DataFrame:
+    """Configurations for which another one of their group is at least as good in both columns and better in one (smaller is better).
+
+    A row is dominated if the least second value over smaller first values is not above its own, or a row of the same first
+    value has a smaller one. The running minimum is taken over chunks of each group's values, then inside each chunk. Rows
+    with a null in the key or a column compare with nothing."""
+    a, b = cols
+    steps = df.where(" and ".join(f"{c} is not null" for c in (key, a, b))).groupBy(key, a).agg(F.min(b).alias("_low"))
+    bounds = steps.groupBy(key).agg(F.percentile_approx(a, [i / chunks for i in range(1, chunks)]).alias("_bounds"))
+    steps = steps.join(bounds, key).withColumn("_chunk", F.size(F.filter("_bounds", lambda x: x < F.col(a)))).drop("_bounds")
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = steps.groupBy(key, "_chunk").agg(F.min("_low").alias("_least"))
+    before = before.select(key, "_chunk", F.min("_least").over(ahead(Window.partitionBy(key).orderBy("_chunk"))).alias("_before"))
+    inside = F.min("_low").over(ahead(Window.partitionBy(key, "_chunk").orderBy(a)))
+    steps = steps.withColumn("_inside", inside).join(before, [key, "_chunk"]).select(key, a, "_low", F.least("_inside", "_before").alias("_under"))
+    return df.join(steps, [key, a]).where((F.col("_under") <= F.col(b)) | (F.col("_low") < F.col(b))).select(*df.columns).distinct()
 
 
 def dump_volumes(dumps: DataFrame) -> DataFrame:

@@ -909,6 +909,17 @@ def dominated_configs(spark, sf):
     return experiments.dominated(r, "g", ["a", "b"])
 
 
+_STEPS = """r as (select o_orderpriority as g, o_orderkey as k, o_totalprice as a, o_custkey as b from orders),
+low_ as (select g, a, min(b) as low from r where b is not null group by 1, 2),
+under_ as (select *, min(low) over (partition by g order by a rows between unbounded preceding and 1 preceding) as under from low_)"""
+
+
+@query("dominated_configs_all", f"with {_STEPS} select distinct r.g, r.k, r.a, r.b from r join under_ u on r.g = u.g and r.a = u.a where u.under <= r.b or u.low < r.b")
+def dominated_configs_all(spark, sf):
+    r = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b"))
+    return experiments.dominated(r, "g", ["a", "b"])
+
+
 @query("alloc_peak")
 def alloc_peak(spark, sf):
     e = table(spark, sf, "events").select((F.col("user_id") % 8).alias("device"), "event_id", (F.col("value") * 1000).cast("bigint").alias("bytes"))
