@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -256,3 +257,22 @@ def test_dominated_without_pairs(spark, sf):
     known = [r for r in rows if None not in r]
     assert got == [k for g, k, a, b in known if any(h == g and c <= a and d <= b and (c < a or d < b) for h, _, c, d in known)]
     assert QUERIES["dominated_configs_all"](spark, sf).where("k % 50 <> 0").count() > 0
+
+
+def test_attention_takes_whole_vectors(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 9)) / 2
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x, sf = x.astype(np.float32).astype(float), str(tmp_path)
+    out, lse, dv = np.zeros_like(x), np.zeros(40), np.zeros_like(x)
+    for a, b in ((0, 32), (32, 40)):  # sequences
+        s = np.where(np.tril(np.ones((b - a, b - a), bool)), x[a:b] @ x[a:b].T / 3, -np.inf)
+        lse[a:b] = np.log(np.exp(s).sum(1))
+        p = np.exp(s - lse[a:b, None])
+        out[a:b] = p @ x[a:b]
+        dv[a:b] = p.T @ out[a:b]
+    for name in ("attn_direct_whole", "attn_blockwise_merge_whole"):
+        got = {r["seq_id"] * 32 + r["q_pos"]: r for r in QUERIES[name](spark, sf).collect()}
+        assert len(got) == 40 and np.allclose([[got[i][f"o{k}"] for k in range(9)] for i in range(40)], out, atol=2e-6) and np.allclose([got[i]["lse"] for i in range(40)], lse, atol=2e-6)
+    grads = {r["seq_id"] * 32 + r["k_pos"]: r["d_v"] for r in QUERIES["attn_gradients_whole"](spark, sf).collect()}
+    assert np.allclose([grads[i] for i in range(40)], dv, atol=1e-9)

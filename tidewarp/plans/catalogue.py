@@ -654,37 +654,54 @@ def multicast_trees(spark, sf):
 _SEQ, _DIM, _ABLK = 32, 4, 8
 
 
-def _qkv(spark, sf):
-    e = table(spark, sf, "embeddings").where("embedding is not null")
-    x = e.select(F.floor(F.col("vec_id") / _SEQ).alias("seq_id"), F.pmod("vec_id", F.lit(_SEQ)).cast("bigint").alias("pos"), F.slice("embedding", 1, _DIM).alias("q"))
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").where("embedding is not null")
+
+
+def _qkv(e, dim=_DIM):
+    x = e.select(F.floor(F.col("vec_id") / _SEQ).alias("seq_id"), F.pmod("vec_id", F.lit(_SEQ)).cast("bigint").alias("pos"), F.slice("embedding", 1, dim).alias("q"))
     rows = masks.ranges(x.groupBy("seq_id").agg(F.count("*").alias("raw_len")), "causal").select("seq_id", "q_pos", "s0", "e0", "s1", "e1")
-    return attention.scores(x, x.select("seq_id", "pos", F.col("q").alias("k"), F.col("q").alias("v")), rows, _ABLK, _DIM**-0.5)
+    return attention.scores(x, x.select("seq_id", "pos", F.col("q").alias("k"), F.col("q").alias("v")), rows, _ABLK, dim**-0.5)
+
+
+def _whole(spark, sf):
+    """The attended pairs of the whole stored vectors, and their length."""
+    e = _vectors(spark, sf)
+    dim = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return _qkv(e, dim), dim
 
 
-_ATTN = f"""x as (select vec_id // {_SEQ} as seq_id, vec_id % {_SEQ} as pos, embedding[1:{_DIM}]::double[] as q from embeddings where embedding is not null),
-p as (select a.seq_id, a.pos as q_pos, b.pos // {_ABLK} as kv_block, b.pos as k_pos, list_inner_product(a.q, b.q) * {_DIM**-0.5} as s, b.q as v from x a join x b on a.seq_id = b.seq_id and b.pos <= a.pos),
+def _attn_sql(dim: int) -> str:
+    return f"""x as (select vec_id // {_SEQ} as seq_id, vec_id % {_SEQ} as pos, embedding[1:{dim}]::double[] as q from embeddings where embedding is not null),
+p as (select a.seq_id, a.pos as q_pos, b.pos // {_ABLK} as kv_block, b.pos as k_pos, list_inner_product(a.q, b.q) * {dim**-0.5} as s, b.q as v from x a join x b on a.seq_id = b.seq_id and b.pos <= a.pos),
 t as (select *, max(s) over (partition by seq_id, q_pos) as m from p),
-a as (select seq_id, q_pos, any_value(m) + ln(sum(exp(s - m))) as lse, {', '.join(f'sum(exp(s - m) * v[{i + 1}]) / sum(exp(s - m)) as o{i}' for i in range(_DIM))} from t group by 1, 2)"""
+a as (select seq_id, q_pos, any_value(m) + ln(sum(exp(s - m))) as lse, {', '.join(f'sum(exp(s - m) * v[{i + 1}]) / sum(exp(s - m)) as o{i}' for i in range(dim))} from t group by 1, 2)"""
+
+
+#: Length of the stored vectors, for the SQL of the queries over whole vectors.
+_WIDE = 64
+_ATTN, _ATTN_WIDE = _attn_sql(_DIM), _attn_sql(_WIDE)
 _ACOLS = ["round(lse, 6) as lse", *(f"round(o{i}, 6) as o{i}" for i in range(_DIM))]
+_WCOLS = ["round(lse, 6) as lse", *(f"round(o{i}, 6) as o{i}" for i in range(_WIDE))]
 
 
-def _flat(df):
-    return df.select("seq_id", F.col("q_pos").cast("bigint").alias("q_pos"), F.round("lse", 6).alias("lse"), *(F.round(F.col("out")[i], 6).alias(f"o{i}") for i in range(_DIM)))
+def _flat(df, dim=_DIM):
+    return df.select("seq_id", F.col("q_pos").cast("bigint").alias("q_pos"), F.round("lse", 6).alias("lse"), *(F.round(F.col("out")[i], 6).alias(f"o{i}") for i in range(dim)))
 
 
 @query("attn_direct", f"with {_ATTN} select seq_id, q_pos, {', '.join(_ACOLS)} from a")
 def attn_direct(spark, sf):
-    return _flat(attention.direct(_qkv(spark, sf), _DIM))
+    return _flat(attention.direct(_qkv(_vectors(spark, sf)), _DIM))
 
 
 @query("attn_blockwise_merge", f"with {_ATTN} select seq_id, q_pos, {', '.join(_ACOLS)} from a")
 def attn_blockwise_merge(spark, sf):
-    return _flat(attention.merge(attention.partial(_qkv(spark, sf), _DIM), ["seq_id", "q_pos"], _DIM))
+    return _flat(attention.merge(attention.partial(_qkv(_vectors(spark, sf)), _DIM), ["seq_id", "q_pos"], _DIM))
 
 
 @query("attn_diff", "select true as close")
 def attn_diff(spark, sf):
-    pairs = _qkv(spark, sf)
+    pairs = _qkv(_vectors(spark, sf))
     a, b = attention.direct(pairs, _DIM), attention.merge(attention.partial(pairs, _DIM), ["seq_id", "q_pos"], _DIM)
     return attention.differences(a, b, ["seq_id", "q_pos"], "lse").select((F.col("max_abs") < 1e-9).alias("close"))
 
@@ -703,12 +720,39 @@ def masked_loss(spark, sf):
 
 @query("attn_gradients")
 def attn_gradients(spark, sf):
-    pairs = _qkv(spark, sf)
+    pairs = _qkv(_vectors(spark, sf))
     fwd = attention.direct(pairs, _DIM)
     g = attention.gradients(pairs, fwd, fwd.select("seq_id", "q_pos", F.col("out").alias("d_out")), _DIM)
     return attention.d_v(g, _DIM)
 
 
+@query("attn_direct_whole", f"with {_ATTN_WIDE} select seq_id, q_pos, {', '.join(_WCOLS)} from a")
+def attn_direct_whole(spark, sf):
+    pairs, dim = _whole(spark, sf)
+    return _flat(attention.direct(pairs, dim), dim)
+
+
+@query("attn_blockwise_merge_whole", f"with {_ATTN_WIDE} select seq_id, q_pos, {', '.join(_WCOLS)} from a")
+def attn_blockwise_merge_whole(spark, sf):
+    pairs, dim = _whole(spark, sf)
+    return _flat(attention.merge(attention.partial(pairs, dim), ["seq_id", "q_pos"], dim), dim)
+
+
+@query("attn_diff_whole", "select true as close")
+def attn_diff_whole(spark, sf):
+    pairs, dim = _whole(spark, sf)
+    a, b = attention.direct(pairs, dim), attention.merge(attention.partial(pairs, dim), ["seq_id", "q_pos"], dim)
+    return attention.differences(a, b, ["seq_id", "q_pos"], "lse").select((F.col("max_abs") < 1e-9).alias("close"))
+
+
+@query("attn_gradients_whole")
+def attn_gradients_whole(spark, sf):
+    pairs, dim = _whole(spark, sf)
+    fwd = attention.direct(pairs, dim)
+    g = attention.gradients(pairs, fwd, fwd.select("seq_id", "q_pos", F.col("out").alias("d_out")), dim)
+    return attention.d_v(g, dim)
+
+
 # local views ----------------------------------------------------------------------------------------------------------------
 def _place_sql(col: str) -> str:
     return f"('0x' || substr(md5({col}::varchar || '-{P.seed}'), 1, 15))::bigint"
