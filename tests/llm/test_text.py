@@ -172,6 +172,22 @@ def test_quotes(spark):
     assert quotes.link(df.limit(0)).count() == 0
 
 
+def test_nested_and_whole_quotes(spark):
+    rows = [
+        (1, 0, "Thanks,\nfirst words"), (1, 1, "a longer answer"), (1, 2, "other"), (1, 3, "Thanks,\nsecond words"), (1, 4, "> Thanks,\n> second words\nyes"), (1, 5, "> > a longer answer\nso"),
+        (1, 6, "> not there\n> > other\nagain"), (1, 7, "no marks here"), (1, 8, "> > > other\n> > a longer answer\n> no marks here\nend"), (1, 9, "> Thanks,\n> words changed\nno"),
+        (3, 0, "alpha"), (3, 1, "beta"), (3, 2, "gamma"), (3, 3, "> > > alpha\n> > beta\n> gamma\nok"),
+        (2, 0, "Thanks,"), (2, 1, "> Thanks,\n> second words\nfrom afar"),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(df).collect()}
+    up = {k: (r["parent_conv"], r["parent_turn"]) for k, r in got.items() if r["parent_turn"] is not None}
+    # a whole passage goes before its lines, near or far; nested passages stand in where level one has no original
+    assert up == {(1, 4): (1, 3), (1, 5): (1, 1), (1, 6): (1, 2), (1, 8): (1, 7), (1, 9): (1, 3), (2, 1): (1, 3), (3, 3): (3, 2)}
+    # turn 7 shows no reply; turn 8, which quotes it, says what it answers
+    assert [got[1, t]["thread"] for t in range(10)] == [0, 1, 2, 3, 3, 1, 2, 1, 1, 3] and {got[3, t]["thread"] for t in range(4)} == {0}
+
+
 def test_words_of_bytes():
     import pyarrow as pa
 

@@ -2,9 +2,12 @@
 
 Lines that begin with `>` marks are quotes of as many levels; a run of lines of one level is a passage. Passages and the
 own text of messages are normalised (lower case, single spaces) and hashed; a passage is joined to the message whose own
-text, paragraph or line it is: an earlier turn of its conversation if there is one (the latest), else the first message
-anywhere that has it. The parent of a message is the original of its first passage of level one that has one. A thread is
-the messages that reply to one another inside a conversation; (thread, turn) puts a conversation in reply order, parents first.
+text, paragraph or line it is, the whole passage before its single lines: an earlier turn of its conversation if there is
+one (the latest), else the first message anywhere that has it. The parent of a message is the original of its first passage
+of level one that has one, those in its own conversation first; passages of deeper levels stand in, the least level first,
+where level one has none. A nested passage names what the message of the passage around it answers: where that message
+shows no reply itself, its thread goes on there. A thread is the messages that reply to one another inside a conversation;
+(thread, turn) puts a conversation in reply order, parents first.
 
 Joins are on hashes against one row per hash and conversation, or one per hash, so that a text which a third of all
 messages share makes no pairs; skewed sides are left to adaptive splitting. Threads are found by pointer doubling.
@@ -77,9 +80,12 @@ def link(messages: DataFrame) -> DataFrame:
     spark = messages.sparkSession
     base = messages.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
     rows = written(_with_passages(base).withColumn("_id", F.monotonically_increasing_id()), "messages")
+    lines = F.transform(F.filter(F.split("p.text", "\n"), lambda x: F.trim(x) != ""), _key)
     quotes = written(
-        rows.where(F.size("passages") > 0).select("_id", "conv_id", "turn", F.posexplode("passages").alias("place", "p")).where("p.level = 1")
-        .select("_id", "conv_id", "turn", "place", F.explode(F.array_distinct(F.concat(F.array(_key(F.col("p.text"))), F.transform(F.filter(F.split("p.text", "\n"), lambda x: F.trim(x) != ""), _key)))).alias("key")),
+        rows.where(F.size("passages") > 0).select("_id", "conv_id", "turn", F.posexplode("passages").alias("place", "p"))
+        .withColumn("whole", _key(F.col("p.text")))
+        .withColumn("keys", F.concat(F.array(F.struct(F.col("whole").alias("key"), F.lit(0).alias("line"))), F.transform(F.array_except(lines, F.array("whole")), lambda x: F.struct(x.alias("key"), F.lit(1).alias("line")))))
+        .select("_id", "conv_id", "turn", "place", F.col("p.level").alias("level"), F.explode("keys").alias("k")).select("_id", "conv_id", "turn", "place", "level", "k.*"),
         "quotes",
     )
     plain = rows.select(
@@ -103,15 +109,23 @@ def link(messages: DataFrame) -> DataFrame:
     before = Window.partitionBy("key", "conv_id").orderBy("turn", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = events.withColumn("found", F.max(F.when(F.col("asks") == 0, F.col("turn"))).over(before)).where("asks = -1 and found is not null").select("_id", "place", "key", F.col("conv_id").alias("near_conv"), F.col("found").alias("near_turn"))
     first = originals.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = (
-        quotes.select("_id", "place", "key", "conv_id", "turn").join(near, ["_id", "place", "key"], "left").join(first, "key", "left")
+    # the original of every passage: by the whole passage before single lines, near before far, the latest near one, the first far one
+    originals_of = (
+        quotes.select("_id", "place", "level", "line", "key", "conv_id", "turn").join(near, ["_id", "place", "key"], "left").join(first, "key", "left")
         .withColumn("elsewhere", F.when(~((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn"))), F.col("first")))
-        .withColumn("to", F.coalesce(F.when(F.col("near_turn").isNotNull(), F.struct(F.lit(0).alias("far"), F.col("near_conv").alias("conv_id"), F.col("near_turn").alias("turn"))), F.when(F.col("elsewhere").isNotNull(), F.struct(F.lit(1).alias("far"), F.col("elsewhere.conv_id"), F.col("elsewhere.turn")))))
-        .where("to is not null").groupBy("_id").agg(F.min(F.struct(F.col("to.far").alias("far"), "place", F.col("to.conv_id").alias("conv_id"), F.col("to.turn").alias("turn"))).alias("to"))
-        .select("_id", F.col("to.conv_id").alias("parent_conv"), F.col("to.turn").alias("parent_turn"))
+        .withColumn("to", F.coalesce(F.when(F.col("near_turn").isNotNull(), F.struct(F.lit(0).alias("far"), (-F.col("near_turn")).alias("rank"), F.col("near_conv").alias("conv_id"), F.col("near_turn").alias("turn"))), F.when(F.col("elsewhere").isNotNull(), F.struct(F.lit(1).alias("far"), F.lit(0).cast("bigint").alias("rank"), F.col("elsewhere.conv_id"), F.col("elsewhere.turn")))))
+        .where("to is not null").groupBy("_id", "place", "level").agg(F.min(F.struct("line", "to.far", "to.rank", "to.conv_id", "to.turn")).alias("to"))
     )
+    originals_of = written(originals_of.select("_id", "place", "level", "to.line", "to.far", "to.conv_id", "to.turn"), "passages")
+    found = originals_of.groupBy("_id").agg(F.min(F.struct("level", "far", "line", "place", "conv_id", "turn")).alias("to"))
+    found = found.select("_id", F.col("to.conv_id").alias("parent_conv"), F.col("to.turn").alias("parent_turn"))
     linked = written(plain.join(found, "_id", "left"), "linked")
     replies = linked.where("parent_conv = conv_id and parent_turn < turn").groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("up"))
+    # a passage right beside one of the level above, both from the own conversation: the outer one's message answers the nested one's
+    outer = originals_of.where("far = 0").select("_id", "place", "level", "conv_id", "turn")
+    nested = outer.select("_id", F.explode(F.array(F.col("place") - 1, F.col("place") + 1)).alias("place"), (F.col("level") - 1).alias("level"), F.col("turn").alias("up"))
+    above = outer.join(nested, ["_id", "place", "level"]).where("up < turn").groupBy("conv_id", "turn").agg(F.max("up").alias("up"))
+    replies = replies.unionByName(above.join(replies, ["conv_id", "turn"], "left_anti"))
     replies = written(replies, "replies")
     while True:  # each pass doubles the way that a pointer goes up
         above = replies.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("higher"))
