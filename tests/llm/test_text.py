@@ -121,6 +121,26 @@ def test_collisions_are_drawn_again(spark):
     assert len({r["made"] for r in made}) == 10 and not real & {r["made"] for r in made} and any(r["attempt"] for r in made)
 
 
+@pytest.mark.parametrize("text", ["иван@mail.ru", "jürgen@x.de", "иван@почта.рф", "straße.ß@x.de", "李小龍@例子.cn", "-@example.com"])
+def test_addresses_of_all_scripts_go(text):
+    out, spans = pii.replace(f"x {text} y")
+    local = text.partition("@")[0]
+    assert [s["kind"] for s in spans] == ["email"] and (local.isascii() or any(a != b for a, b in zip(local, spans[0]["surrogate"].partition("@")[0]) if not a.isascii()))
+    assert text not in out and (local == "-" or len(spans[0]["surrogate"]) == len(text)) and pii.detect(out)[0][2] == "email"
+
+
+def test_no_format_stops_the_job(spark):
+    # a script without a table of letters, an address without letters, and formats more than half, or wholly, in use
+    found = [("surname", "հայկ"), ("email", "иван@почта.рф"), ("email", "-@example.com")] + [("email", f"{c}@example.com") for c in "abcdefghijklm"] + [("email", f"{c}@example.org") for c in "abcdefghijklmnopqrstuvwxyz"]
+    found += [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(40_000)]
+    made = pii.assign(spark.createDataFrame(found, "kind string, norm string"), b"k", attempts=3).collect()
+    assert {(r["kind"], r["norm"]) for r in made} == set(found) and len({(r["kind"], r["made"]) for r in made}) == len(found)
+    assert not {(r["kind"], r["made"]) for r in made} & set(found)
+    # thirteen addresses have exactly the other thirteen letters; of the private addresses as many as are free stay in their range
+    assert sorted(r["made"][0] for r in made if r["norm"].endswith("example.com") and r["norm"] != "-@example.com") == list("nopqrstuvwxyz")
+    assert sum(r["made"].startswith("192.168.") for r in made) == 65_536 - 40_000
+
+
 def test_anonymise_rows(spark):
     df = spark.createDataFrame([(1, None, 3), (2, "", 3), (3, "mail a@x.com", 3), (3, "mail a@x.com", 3), (4, "b@x.com", 4)], "doc_id bigint, text string, _later_ int")
     got = sorted(pii.anonymise(df, block=1).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))

@@ -7,8 +7,10 @@ however they are written, get equal surrogates, and different ones different sur
 country codes, card issuers, check digits, private address ranges and reserved mail domains stay as they are.
 
 The corpus-wide collision check works on the table of distinct entities: a surrogate that is itself an entity of the
-corpus, or that two entities share, is drawn anew with the next attempt until none is left; only entities of later attempts
-are sent to the workers that replace, in blocks of a bounded size.
+corpus, or that two entities share, is drawn anew with the next attempt. What still collides after some draws is given the
+free values of its format one by one, in keyed order; where a format has no free value, or is too large to be listed, and
+where its characters belong to no alphabet, a keyed token of a wider format stands in. Only entities of later attempts are
+sent to the workers that replace, in blocks of a bounded size.
 
 Defined results: a null text stays null without entities; an empty or clean text stays as it is; overlapping finds count
 once, the earlier and longer first. The key decides all surrogates; the same key gives the same ones in any run over the same
@@ -20,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +34,8 @@ from .common import prepare, table, written
 BLOCK = 100_000
 #: Steps along a permutation's cycle until a form is valid; a form that is its own image is left to the collision check.
 WALK = 400
+#: Formats of up to so many values are listed; draws from here on are tokens.
+LISTED, WIDE = 1 << 24, 1_000
 KEY = b"tidewarp surrogate key: replace it"
 
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
@@ -137,77 +142,159 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
             return x
 
 
+def _decoded(text: str, alphabets: list[str], x: int) -> str:
+    """Text number x of the texts that have these alphabets and the same characters at the other places."""
+    out = []
+    for c, own in zip(reversed(text), reversed(alphabets), strict=True):
+        if own:
+            x, digit = divmod(x, len(own))
+            c = own[digit]
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def _size(alphabets: list[str]) -> int:
+    return functools.reduce(lambda n, a: n * (len(a) or 1), alphabets, 1)
+
+
 def _spell(text: str, alphabets: list[str], key: bytes, tweak: str, valid=lambda s: True) -> str:
     """Permute the characters at the places that have an alphabet; the others stay. Walks on while the result is not valid."""
-    size, x = 1, 0
+    size, x = _size(alphabets), 0
     for c, own in zip(text, alphabets, strict=True):
         if own:
-            x, size = x * len(own) + own.index(c), size * len(own)
+            x = x * len(own) + own.index(c)
     shape = "".join("-" if not a else str(len(a) % 10) for a in alphabets)
-    for _ in range(WALK):
+    for _ in range(WALK if size > 1 else 1):
         x = permute(x, size, key, f"{tweak}|{shape}|" + "".join(c for c, a in zip(text, alphabets, strict=True) if not a))
-        out, rest = [], x
-        for c, own in zip(reversed(text), reversed(alphabets), strict=True):
-            if own:
-                rest, digit = divmod(rest, len(own))
-                c = own[digit]
-            out.append(c)
-        made = "".join(reversed(out))
+        made = _decoded(text, alphabets, x)
         if valid(made):
             return made
     return made
 
 
-def _plain(text: str) -> list[str]:
-    return [next((a for a in _CLASSES if c in a), "") for c in text]
+@functools.cache
+def _kin(c: str, without: str) -> str:
+    """The letters or digits of c's script, category and case in its block of 256 characters; characters alone in theirs are kin."""
+    if not c.isalnum():
+        return ""
+    kind = lambda x: (unicodedata.name(x, "").split(" ")[0], unicodedata.category(x), x.lower() == x, len(x.upper()) == 1 and x.upper().lower() == x)
+    groups: dict[tuple, str] = {}
+    for x in map(chr, range(ord(c) & ~255, (ord(c) | 255) + 1)):
+        if x.isalnum() and x not in without:
+            groups[kind(x)] = groups.get(kind(x), "") + x
+    own = groups.get(kind(c), c)
+    own = own if len(own) > 1 else "".join(g for g in groups.values() if len(g) == 1)
+    return own if len(own) > 1 else ""
 
 
-@functools.lru_cache(maxsize=20_000)
-def surrogate(kind: str, norm: str, key: bytes = KEY, attempt: int = 0) -> str:
-    """The normal form of the entity's surrogate."""
-    tweak = f"{kind}|{attempt}"
+def _alphabets(text: str, known: list[str]) -> list[str]:
+    without = "".join(known)
+    return [next((a for a in known if c in a), "") or _kin(c, without) for c in text]
+
+
+def _form(kind: str, norm: str):
+    """The format of an entity that is spelled: what stays before, the body, its alphabets, what stays after, valid bodies."""
     other = lambda s: s != norm
     if kind == "email":
         local, _, domain = norm.partition("@")
         tail = next((r for r in RESERVED if f".{domain}".endswith(r)), "." + domain.rpartition(".")[2])
         head = f".{domain}"[: -len(tail)][1:] if len(tail) <= len(domain) else ""
-        made = _spell(f"{local}@{head}", _plain(f"{local}@{head}"), key, tweak + tail, lambda s: f"{s}{tail}" != norm)
-        return made + (tail if head else tail[1:])
-    if kind == "ip":
-        value = int.from_bytes(bytes(map(int, norm.split("."))))
-        free = {"private10": 24, "private172": 20, "private192": 16, "special": 24}.get(_range(norm), 32)
-        low = value % 2**free
-        for _ in range(WALK):
-            low = permute(low, 2**free, key, f"{tweak}|{value >> free}")
-            made = ".".join(map(str, ((value >> free << free) + low).to_bytes(4)))
-            if _range(made) == _range(norm) and made != norm:
-                break
-        return made
+        body, tail = f"{local}@{head}", tail if head else tail[1:]
+        return "", body, _alphabets(body, _CLASSES), tail, lambda s: s != body
     if kind == "card":
         kept = _luhn(norm)
-        return _spell(norm, ["", *[_CLASSES[0]] * (len(norm) - 1)], key, tweak, lambda s: _luhn(s) == kept and s != norm)
+        return "", norm, ["", *[_CLASSES[0]] * (len(norm) - 1)], "", lambda s: _luhn(s) == kept and s != norm
     if kind == "phone":
         fixed = 2 if norm.startswith("+1") or len(norm) < 10 else 3
         north = norm.startswith("+1") and len(norm) == 12
-        return _spell(norm, [""] * fixed + [_CLASSES[0]] * (len(norm) - fixed), key, tweak, lambda s: s != norm and (not north or s[2] in "23456789" and s[5] in "23456789"))
+        return "", norm, [""] * fixed + [_CLASSES[0]] * (len(norm) - fixed), "", lambda s: s != norm and (not north or s[2] in "23456789" and s[5] in "23456789")
     if kind == "ssn":
-        return _spell(norm, [_CLASSES[0]] * 9, key, tweak, lambda s: s != norm and s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000")
+        return "", norm, [_CLASSES[0]] * 9, "", lambda s: s != norm and s[:3] not in ("000", "666") and s[0] != "9" and s[3:5] != "00" and s[5:] != "0000"
     if kind == "iban":
-        made = _spell(norm[4:], [("0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in norm[4:]], key, tweak + norm[:2], lambda s: s != norm[4:])
-        check = 98 - int("".join(str(int(c, 36)) for c in made + norm[:2] + "00")) % 97
-        return f"{norm[:2]}{check:02d}{made}"
+        return norm[:2], norm[4:], [("0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in norm[4:]], "", lambda s: s != norm[4:]
     if kind == "key":
-        return _spell(norm, [""] * 4 + ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"] * 16, key, tweak, other)
+        return "", norm, [""] * 4 + ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"] * 16, "", other
     if kind == "secret":
         if re.fullmatch("[0-9a-f]+|[0-9A-F]+", norm):
-            return _spell(norm, [_HEX if norm.lower() == norm else _HEX.upper()] * len(norm), key, tweak, other)
-        return _spell(norm, ["0123456789" if "0" <= c <= "9" else _CLASSES[1] if "a" <= c <= "z" else _CLASSES[1].upper() if "A" <= c <= "Z" else "" for c in norm], key, tweak, other)
+            return "", norm, [_HEX if norm.lower() == norm else _HEX.upper()] * len(norm), "", other
+        return "", norm, ["0123456789" if "0" <= c <= "9" else _CLASSES[1] if "a" <= c <= "z" else _CLASSES[1].upper() if "A" <= c <= "Z" else "" for c in norm], "", other
+    return "", norm, _alphabets(norm, [v for own in LETTERS.values() for v in own]), "", lambda s: s != norm and s.capitalize() not in _GENDER
+
+
+def _whole(kind: str, before: str, body: str, after: str) -> str:
+    if kind == "iban":
+        check = 98 - int("".join(str(int(c, 36)) for c in body + before + "00")) % 97
+        return f"{before}{check:02d}{body}"
+    return before + body + after
+
+
+def _token(kind: str, norm: str, key: bytes, tweak: str) -> str:
+    """A keyed token for an entity whose own format has no value for it."""
+    h = hashlib.blake2b(f"{tweak}|{norm}".encode(), key=hashlib.sha256(key).digest(), digest_size=32).hexdigest()
+    if kind == "email":
+        before, body, _, after, _ = _form(kind, norm)
+        return f"u{h[:12]}@{'h' + h[12:20] if not body.endswith('@') else ''}{after}"
+    if kind == "ip":
+        return ":".join(["fd" + h[:2], *(h[i : i + 4] for i in range(2, 30, 4))])
+    if kind in ("card", "phone", "ssn"):
+        fixed = {"card": 1, "phone": 2 if norm.startswith("+1") or len(norm) < 10 else 3, "ssn": 0}[kind]
+        return norm[:fixed] + f"{int(h, 16) % 10**24:024d}"
+    if kind == "iban":
+        return _whole(kind, norm[:2], f"{int(h, 16) % 10**30:030d}", "")
+    if kind in ("key", "secret"):
+        return (norm[:4] + h[:40].upper()) if kind == "key" else h[:48]
+    return "".join("bdfgklmnprstvzjh"[int(x, 16)] + "aeio"[int(y, 16) % 4] for x, y in zip(h[:12:2], h[1:12:2], strict=True)) + ("n" if int(h[13], 16) % 2 else "")
+
+
+@functools.lru_cache(maxsize=20_000)
+def surrogate(kind: str, norm: str, key: bytes = KEY, attempt: int = 0) -> str:
+    """The normal form of the entity's surrogate."""
+    tweak = f"{kind}|{attempt}"
+    if attempt >= WIDE:
+        return _token(kind, norm, key, tweak)
+    if kind == "ip":
+        value = int.from_bytes(bytes(map(int, norm.split("."))))
+        free = _free(norm)
+        low = value % 2**free
+        for _ in range(WALK):
+            low = permute(low, 2**free, key, f"{tweak}|{value >> free}")
+            made = ".".join(map(str, ((value >> free << free) + low).to_bytes(4)))
+            if _range(made) == _range(norm) and made != norm:
+                break
+        return made
     gender = kind.partition("-")[2]
-    for (_script, g), pool in NAMES.items():
-        if kind != "surname" and g == (gender if gender != "u" else g) and norm.capitalize() in pool:
-            return _pooled(pool, norm, key, f"{tweak}|{g}")
-    parts = [v for own in LETTERS.values() for v in own]
-    return _spell(norm, [next((a for a in parts if c in a), "") for c in norm], key, tweak, lambda s: s != norm and s.capitalize() not in _GENDER)
+    if kind.startswith("given"):
+        for (_script, g), pool in NAMES.items():
+            if g == (gender if gender != "u" else g) and norm.capitalize() in pool:
+                return _pooled(pool, norm, key, f"{tweak}|{g}")
+    before, body, alphabets, after, valid = _form(kind, norm)
+    made = _spell(body, alphabets, key, tweak + (before if kind == "iban" else after), valid)
+    return _token(kind, norm, key, tweak) if _size(alphabets) == 1 else _whole(kind, before, made, after)
+
+
+def _format(kind: str, norm: str) -> tuple[str, int]:
+    """A name of the entity's format, and how many values it has, valid or not."""
+    if kind == "ip":
+        free = _free(norm)
+        return f"ip|{int.from_bytes(bytes(map(int, norm.split('.')))) >> free}|{free}", 2**free
+    before, body, alphabets, after, _ = _form(kind, norm)
+    parts = "\0".join([kind, before, after, *(a or "=" + c for c, a in zip(body, alphabets, strict=True))])
+    return hashlib.blake2b(parts.encode(), digest_size=16).hexdigest(), _size(alphabets)
+
+
+def _member(kind: str, norm: str, x: int) -> str | None:
+    """Value number x of the format of an entity, if it is valid."""
+    if kind == "ip":
+        free = _free(norm)
+        made = ".".join(map(str, ((int.from_bytes(bytes(map(int, norm.split(".")))) >> free << free) + x).to_bytes(4)))
+        return made if _range(made) == _range(norm) else None
+    before, body, alphabets, after, valid = _form(kind, norm)
+    made = _decoded(body, alphabets, x)
+    return _whole(kind, before, made, after) if valid(made) else None
+
+
+def _free(ip: str) -> int:
+    return {"private10": 24, "private172": 20, "private192": 16, "special": 24}.get(_range(ip), 32)
 
 
 def _pooled(pool: list[str], norm: str, key: bytes, tweak: str) -> str:
@@ -226,6 +313,8 @@ def _range(ip: str) -> str:
 
 def render(kind: str, original: str, norm: str, made: str) -> str:
     """The surrogate as the original is written: its punctuation and its capitals."""
+    if kind in ("card", "phone", "ssn", "iban") and len(made) != len(norm):
+        return made
     if kind in ("card", "phone", "ssn"):
         digits = made.lstrip("+")
         n = sum(c.isdigit() for c in original)
@@ -236,20 +325,20 @@ def render(kind: str, original: str, norm: str, made: str) -> str:
         return "".join(c if c == " " else next(own) for c in original)
     if kind == "email" or kind == "surname" or kind.startswith("given"):
         if original.isupper():
-            return made.upper()
+            return "".join(c.upper() if len(c.upper()) == 1 else c for c in made)
         if kind != "email" and len(made) != len(original):
             return made.capitalize() if original[:1].isupper() else made
-        return "".join(m.upper() if o.isupper() else m for o, m in zip(original, made, strict=False)) + made[len(original) :]
+        return "".join(m.upper() if o.isupper() and len(m.upper()) == 1 else m for o, m in zip(original, made, strict=False)) + made[len(original) :]
     return made
 
 
-def replace(text: str | None, key: bytes = KEY, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str | None, list[dict]]:
+def replace(text: str | None, key: bytes = KEY, later: dict[tuple[str, str], str] | None = None) -> tuple[str | None, list[dict]]:
     """The text with surrogates, and the entities (kind, places in the given text, surrogate as written)."""
     if not text:
         return text, []
     out, spans, done = [], [], 0
     for a, b, kind, norm in detect(text):
-        made = render(kind, text[a:b], norm, surrogate(kind, norm, key, (attempts or {}).get((kind, norm), 0)))
+        made = render(kind, text[a:b], norm, (later or {}).get((kind, norm)) or surrogate(kind, norm, key))
         out += [text[done:a], made]
         spans.append({"kind": kind, "start": a, "end": b, "surrogate": made})
         done = b
@@ -282,28 +371,69 @@ def assign(found: DataFrame, key: bytes = KEY, attempts: int = 12) -> DataFrame:
     surrogate. Given names come from pools and may name another person of the corpus, but never two the same."""
     found = written(found, "entities")
     made = written(_drawn(found.select("kind", "norm", F.lit(0).alias("attempt")), key), "surrogates")
-    for _ in range(attempts):
-        real = made.where("kind not like 'given-%'").join(found.select("kind", F.col("norm").alias("made")), ["kind", "made"], "left_semi").select("kind", "norm", "attempt")
-        first = F.min(F.struct("attempt", "norm")).over(Window.partitionBy("kind", "made"))
-        twice = made.withColumn("first", first).where("first.norm <> norm").select("kind", "norm", "attempt")
-        clash = written(real.unionByName(twice).distinct(), "clashes")
+    for k in range(attempts):
+        clash = _clashes(made, found)
         if clash.isEmpty():
             return made
-        again = _drawn(clash.select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), key)
-        made = written(made.join(clash.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", "attempt", "made").unionByName(again), "surrogates")
-    raise RuntimeError("surrogates still collide; the entities fill their formats")
+        made = _redrawn(made, clash, _drawn(clash.select("kind", "norm", F.lit(k + 1).alias("attempt")), key))
+    clash = _clashes(made, found)
+    if not clash.isEmpty():
+        kept = made.join(clash, ["kind", "norm"], "left_anti")
+        made = _redrawn(made, clash, _listed(clash, kept, found, key))
+    k = 0
+    while not (clash := _clashes(made, found)).isEmpty():  # what no format has room for; tokens of 48 bits and more
+        k += 1
+        made = _redrawn(made, clash, _drawn(clash.select("kind", "norm", F.lit(WIDE + k).alias("attempt")), key))
+    return made
+
+
+def _clashes(made: DataFrame, found: DataFrame) -> DataFrame:
+    """kind, norm of the entities whose surrogate is an entity, missing, or that of another entity of an earlier attempt."""
+    real = made.where("kind not like 'given-%'").join(found.select("kind", F.col("norm").alias("made")), ["kind", "made"], "left_semi").select("kind", "norm")
+    first = F.min(F.struct("attempt", "norm")).over(Window.partitionBy("kind", "made"))
+    twice = made.where("made is not null").withColumn("first", first).where("first.norm <> norm").select("kind", "norm")
+    return written(real.unionByName(twice).unionByName(made.where("made is null").select("kind", "norm")).distinct(), "clashes")
+
+
+def _redrawn(made: DataFrame, clash: DataFrame, again: DataFrame) -> DataFrame:
+    return written(made.join(clash, ["kind", "norm"], "left_anti").select("kind", "norm", "attempt", "made").unionByName(again), "surrogates")
+
+
+def _listed(clash: DataFrame, kept: DataFrame, found: DataFrame, key: bytes) -> DataFrame:
+    """The entities, each with a free value of its format of its own, in keyed order; null where the format has none left."""
+
+    def formats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_format(k, n) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f for f, _ in own], pa.string()), pa.array([min(n, LISTED + 1) for _, n in own], pa.int64())], names=["kind", "norm", "format", "size"])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_member(k, n, x) for k, n, x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.string())], names=["format", "kind", "made"])
+
+    secret = hashlib.sha256(key).hexdigest()
+    place = lambda c: F.row_number().over(Window.partitionBy("format").orderBy(F.sha2(F.concat(F.lit(secret), c), 256), c)).alias("place")
+    rows = written(clash.select("kind", "norm").mapInArrow(formats, "kind string, norm string, format string, size bigint"), "formats")
+    some = rows.where(F.col("size") <= LISTED).groupBy("format").agg(F.min(F.struct("kind", "norm")).alias("one"), F.max("size").alias("size"))
+    runs = some.select("format", "one.kind", "one.norm", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(4096).cast("bigint"))).alias("x")).repartition("format", "x")
+    each = runs.select("format", "kind", "norm", F.explode(F.sequence("x", F.least(F.col("x") + 4095, F.col("size") - 1))).alias("x"))
+    free = each.mapInArrow(members, "format string, kind string, made string").where("made is not null").distinct()
+    free = free.join(found.select("kind", F.col("norm").alias("made")), ["kind", "made"], "left_anti").join(kept.select("kind", "made"), ["kind", "made"], "left_anti")
+    mine = rows.select("kind", "norm", "format", place(F.col("norm")))
+    return mine.join(free.select("format", "made", place(F.col("made"))), ["format", "place"], "left").select("kind", "norm", F.lit(WIDE).alias("attempt"), "made")
 
 
 def anonymise(docs: DataFrame, key: bytes = KEY, text: str = "text", block: int = BLOCK) -> DataFrame:
     """All columns, with surrogates in the text, and `entities`: kind, start and end in the given text, surrogate."""
     made = assign(entities(docs, text), key)
-    blocks: list[dict[tuple[str, str], int]] = [{}]
-    for r in made.where("attempt > 0").select("kind", "norm", "attempt").toLocalIterator():
+    blocks: list[dict[tuple[str, str], str]] = [{}]
+    for r in made.where("attempt > 0").select("kind", "norm", "made").toLocalIterator():
         if len(blocks[-1]) >= block:
             blocks.append({})
-        blocks[-1][r["kind"], r["norm"]] = r["attempt"]
+        blocks[-1][r["kind"], r["norm"]] = r["made"]
     kind = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
-    later = "map<string,int>"
+    later = "map<string,string>"
     out = docs.withColumns({"entities": F.lit(None).cast(kind), "_later": F.lit(None).cast(later)})
     spark = docs.sparkSession
     for i, own in enumerate(blocks):  # the last block's pass also replaces; earlier ones note what they know
