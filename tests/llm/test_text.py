@@ -108,6 +108,15 @@ def test_coreference_and_distinctness():
         assert len({pii.surrogate(kind, v) for v in values}) == len(values)
 
 
+def test_later_mentions_of_a_name_go():
+    text = "Smith wrote. Mr. John Smith called. Smith's bill: SMITH paid; John Smith left, a smith stayed, Smithson too. john.smith@x.com"
+    out, spans = pii.replace(text)
+    given, name = re.search(r"Mr\. (\w+) (\w+) called", out).groups()
+    assert out.rpartition(" ")[0] == f"{name} wrote. Mr. {given} {name} called. {name}'s bill: {name.upper()} paid; {given} {name} left, a smith stayed, Smithson too."
+    assert [s["kind"] for s in spans] == ["surname", "given-m", *["surname"] * 3, "given-m", "surname", "email"]
+    assert pii.replace("Smith paid; John Smith left.") == ("Smith paid; John Smith left.", [])
+
+
 def test_permute_is_one_to_one():
     for size in (1, 2, 7, 100, 1000):
         assert sorted(pii.permute(i, size, b"k", "t") for i in range(size)) == list(range(size))

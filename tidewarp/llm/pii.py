@@ -1,7 +1,8 @@
 """Personal data: detection, and surrogates of the same type, script, gender and format.
 
 Detected: e-mail addresses, IPv4 addresses, phone and card numbers, social-security numbers, IBANs, access keys, assigned
-passwords and tokens, and names after a form of address. A surrogate is a keyed permutation of the entity's normalised
+passwords and tokens, and names after a form of address, with every other place where their document writes a word of such
+a name with a capital. A surrogate is a keyed permutation of the entity's normalised
 form within its own format (mixed-radix Feistel network, walking the cycle until the form is valid again): equal entities,
 however they are written, get equal surrogates, and different ones different surrogates. Punctuation, capitals, lengths,
 country codes, card issuers, check digits, private address ranges and reserved mail domains stay as they are.
@@ -98,6 +99,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 given = i == 0 and (len(names) > 1 or w[0].capitalize() in _GENDER)
                 gender = _GENDER.get(w[0].capitalize(), ("", TITLES[m[1]]))[1]
                 found.append((at + w.start(), at + w.end(), f"given-{gender}" if given else "surname", w[0].lower()))
+    own: dict[str, str] = {}
+    for _, _, kind, norm in found:
+        if kind == "surname" or kind.startswith("given"):
+            own.setdefault(norm, kind)
+    if own:  # the document's own names, wherever else it writes them
+        found += [(*m.span(), own[m[0].lower()], m[0].lower()) for m in _WORD.finditer(text) if m[0][0].isupper() and m[0].lower() in own]
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str]] = []
     for x in found:
@@ -107,6 +114,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
 
 
 _DIGIT = re.compile(r"\d")
+_WORD = re.compile(r"(?<!\w)[^\W\d_]{2,}(?!\w)")
 
 
 def _luhn(digits: str) -> bool:
