@@ -153,6 +153,26 @@ def test_instructions(small):
     assert sum(r["n_items"] for r in rows if r["kind"] == "attention") == small.works.count()
 
 
+def test_operations_carry_their_operands(small):
+    ops = schedule.operations(small.instructions).cache()
+    rows = ops.collect()
+    works = {(r["batch_id"], r["work_id"]): r for r in small.works.collect()}
+    attend = [r for r in rows if r["op"] == "attend"]
+    assert {(r["batch_id"], r["work_id"]) for r in attend} == set(works) and len(attend) == len(works)
+    assert all((r["data_id"], r["kv_id"], r["out_id"]) == tuple(works[r["batch_id"], r["work_id"]][c] for c in ("q_id", "kv_id", "out_id")) and None not in (r["slot"], r["kv_slot"], r["out_slot"]) for r in attend)
+    moves = {(r["batch_id"], r["data_id"], r["src"], r["dst"], r["stage"] - 1) for r in small.staged[1].collect()}
+    assert moves and moves == {(r["batch_id"], r["data_id"], r["device"], r["peer"], r["stage"]) for r in rows if r["kind"] == "launch" and r["op"] == "send"} == {(r["batch_id"], r["data_id"], r["peer"], r["device"], r["stage"]) for r in rows if r["kind"] == "launch" and r["op"] == "recv"}
+    assert all(r["slot"] is not None for r in rows) and all(r["to_slot"] is not None for r in rows if r["op"] == "copy")
+    # a block that a device attends with is copied or received there first, into the slot that the work names
+    there = {(r["batch_id"], r["device"], r["data_id"], r["to_slot"] if r["op"] == "copy" else r["slot"]) for r in rows if r["is_input"] == 1 and r["op"] in ("copy", "recv")}
+    assert all({(r["batch_id"], r["device"], r["data_id"], r["slot"]), (r["batch_id"], r["device"], r["kv_id"], r["kv_slot"])} <= there for r in attend)
+    # a lost receive, and a lost send, show
+    assert schedule.unmatched(ops).isEmpty()
+    for op in ("recv", "send"):
+        one = next(r for r in rows if r["op"] == op and r["kind"] == "launch")
+        assert schedule.unmatched(ops.where(~((F.col("op") == op) & (F.col("kind") == "launch") & (F.col("batch_id") == one["batch_id"]) & (F.col("device") == one["device"]) & (F.col("data_id") == one["data_id"])))).count() >= 1
+
+
 def test_slots_do_not_clash(small):
     live = schedule.live_ranges(small.staged[0], small.works)
     seen: dict = {}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Plan
 from ..functions import cost
+from ..tables import written
 from .blocks import work_io
 
 
@@ -179,30 +180,50 @@ def buffer_sizes(slots: DataFrame, local: DataFrame) -> DataFrame:
 ORDER = {"memcpy": 0, "wait": 1, "launch": 2, "attention": 3, "merge": 4, "send_out": 5, "wait_out": 6, "reduce": 7}
 
 
-def instructions(work_stages: DataFrame, works: DataFrame, moves: DataFrame, out_moves: DataFrame, data_device: DataFrame) -> DataFrame:
-    """Instruction rows of each device, numbered in order: local copies in; for each stage wait for its transfers, launch those of
-    the next, attention, merge of partial results; transfers of outputs, wait, and the last reduction."""
+#: One operation of an instruction: send, recv, copy, attend, merge or reduce; the block and its slot in the local, work or in
+#: buffer; the other device; a copy's target slot; a work's key and output blocks; the stage whose partial a merge adds to.
+OPERATION = ["op", "is_input", "data_id", "buffer", "slot", "peer", "to_slot", "work_id", "kv_id", "kv_slot", "out_id", "out_slot", "from_stage"]
+_OP_TYPES = dict.fromkeys(OPERATION, "bigint") | {"op": "string", "buffer": "string", "is_input": "int", "peer": "int", "from_stage": "int"}
+
+
+def instructions(work_stages: DataFrame, works: DataFrame, moves: DataFrame, out_moves: DataFrame, data_device: DataFrame, data: DataFrame) -> DataFrame:
+    """Instruction rows of each device, numbered in order, with their operations: local copies in; for each stage wait for its
+    transfers, launch those of the next, attention, merge of partial results; transfers of outputs, wait, and the last reduction.
+    n_items counts the blocks (attention: works) of an instruction; a reduction has one operation for each source of a block."""
     last = 1_000_000
+    block = ["batch_id", "device", "is_input", "data_id"]
     kinds: list[DataFrame] = []
 
-    def add(df: DataFrame, kind: str, stage, payload) -> None:
-        kinds.append(df.select("batch_id", "device", F.lit(kind).alias("kind"), stage.cast("int").alias("stage"), payload.cast("bigint").alias("n_items")))
-
-    dev = lambda df, c: df.withColumn("device", F.col(c))
-    add(data_device.groupBy("batch_id", "device").agg(F.count("*").alias("n")), "memcpy", F.lit(-1), F.col("n"))
-    arrive = dev(moves, "dst").groupBy("batch_id", "device", "stage").agg(F.count("*").alias("n"))
-    ends = moves.select("batch_id", "stage", F.explode(F.array("src", "dst")).alias("device")).groupBy("batch_id", "device", "stage").agg(F.count("*").alias("n"))
-    add(arrive, "wait", F.col("stage"), F.col("n"))
-    add(ends, "launch", F.col("stage") - 1, F.col("n"))
-    w = work_stages.join(works.select("batch_id", "work_id", "out_id"), ["batch_id", "work_id"])
-    add(w.groupBy("batch_id", "device", "stage").agg(F.count("*").alias("n")), "attention", F.col("stage"), F.col("n"))
-    first = F.min("stage").over(Window.partitionBy("batch_id", "device", "out_id"))
-    again = w.select("batch_id", "device", "stage", "out_id").distinct().withColumn("first", first).where("stage > first")
-    add(again.groupBy("batch_id", "device", "stage").agg(F.count("*").alias("n")), "merge", F.col("stage"), F.col("n"))
-    out_ends = out_moves.select("batch_id", F.explode(F.array("src", "dst")).alias("device")).groupBy("batch_id", "device").agg(F.count("*").alias("n"))
-    add(out_ends, "send_out", F.lit(last), F.col("n"))
-    add(dev(out_moves, "dst").groupBy("batch_id", "device").agg(F.count("*").alias("n")), "wait_out", F.lit(last), F.col("n"))
-    add(dev(out_moves, "dst").groupBy("batch_id", "device").agg(F.countDistinct("data_id").alias("n")), "reduce", F.lit(last), F.col("n"))
+    def add(df: DataFrame, kind: str, stage, n=None) -> None:
+        ops = df.select("batch_id", "device", stage.cast("int").alias("stage"), "data_id", F.struct(*((F.col(c) if c in df.columns else F.lit(None)).cast(_OP_TYPES[c]).alias(c) for c in OPERATION)).alias("x"))
+        n = F.count("*") if n is None else n
+        kinds.append(ops.groupBy("batch_id", "device", "stage").agg(n.cast("bigint").alias("n_items"), F.array_sort(F.collect_list("x")).alias("operations")).select("batch_id", "device", F.lit(kind).alias("kind"), "stage", "n_items", "operations"))
+
+    # each is joined several times: written once, and never collected in the driver for a broadcast
+    at_home = written(local_slots(data, data_device).select(*block, "slot"), "local-slots").hint("merge")
+    at_work = written(temporary_slots(live_ranges(work_stages, works), data).select(*block, F.col("slot").cast("bigint").alias("slot")), "work-slots").hint("merge")
+    out_moves = written(out_moves, "out-moves")
+    end = lambda df, own, peer, op, buffer: df.withColumns({"device": F.col(own), "peer": F.col(peer), "op": F.lit(op), "buffer": F.lit(buffer)})
+    add(at_home.where("is_input = 1").join(at_work.withColumnRenamed("slot", "to_slot"), block).withColumns({"op": F.lit("copy"), "buffer": F.lit("local")}), "memcpy", F.lit(-1))
+    receive = end(moves, "dst", "src", "recv", "work").join(at_work, block, "left")
+    send = end(moves, "src", "dst", "send", "local").join(at_home, block, "left")
+    add(receive, "wait", F.col("stage"))
+    add(send.unionByName(receive), "launch", F.col("stage") - 1)
+    w = work_stages.join(works.select("batch_id", "work_id", "q_id", "kv_id", "out_id").hint("merge"), ["batch_id", "work_id"])
+    slot = lambda c, of, is_input: at_work.where(F.col("is_input") == is_input).select("batch_id", "device", F.col("data_id").alias(c), F.col("slot").alias(of)).hint("merge")
+    attend = w.join(slot("q_id", "slot", 1), ["batch_id", "device", "q_id"]).join(slot("kv_id", "kv_slot", 1), ["batch_id", "device", "kv_id"]).join(slot("out_id", "out_slot", 0), ["batch_id", "device", "out_id"])
+    add(attend.withColumns({"op": F.lit("attend"), "is_input": F.lit(1), "data_id": F.col("q_id"), "buffer": F.lit("work")}), "attention", F.col("stage"))
+    before = F.lag("stage").over(Window.partitionBy("batch_id", "device", "out_id").orderBy("stage"))
+    again = w.select("batch_id", "device", "stage", "out_id").distinct().withColumn("from_stage", before).where("from_stage is not null")
+    again = again.join(slot("out_id", "slot", 0), ["batch_id", "device", "out_id"])
+    add(again.withColumns({"op": F.lit("merge"), "is_input": F.lit(0), "data_id": F.col("out_id"), "buffer": F.lit("work")}).drop("out_id"), "merge", F.col("stage"))
+    arrival = (F.row_number().over(Window.partitionBy("batch_id", "device").orderBy("data_id", "src")) - 1).cast("bigint")
+    receive = end(out_moves, "dst", "src", "recv", "in").withColumn("slot", arrival)
+    send = end(out_moves, "src", "dst", "send", "work").join(at_work, block, "left")
+    add(send.unionByName(receive, allowMissingColumns=True), "send_out", F.lit(last))
+    add(receive, "wait_out", F.lit(last))
+    own = receive.select(*block).distinct().join(at_work, block).withColumn("buffer", F.lit("work"))
+    add(receive.unionByName(own, allowMissingColumns=True).withColumn("op", F.lit("reduce")), "reduce", F.lit(last), F.countDistinct("data_id"))
     df = kinds[0]
     for k in kinds[1:]:
         df = df.unionByName(k)
@@ -212,6 +233,21 @@ def instructions(work_stages: DataFrame, works: DataFrame, moves: DataFrame, out
     return df.withColumn("seq_no", (F.row_number().over(order) - 1).cast("bigint"))
 
 
+def operations(instructions: DataFrame) -> DataFrame:
+    """A row for each operation of the instructions."""
+    return instructions.select("batch_id", "device", "seq_no", "kind", "stage", F.explode("operations").alias("x")).select("batch_id", "device", "seq_no", "kind", "stage", "x.*")
+
+
+def unmatched(operations: DataFrame) -> DataFrame:
+    """Sends of a device's own operations joined to the receives of the other's, on (block, source, target, stage, occurrence):
+    those whose other end is missing. Empty if all meet."""
+    key = ["batch_id", "is_input", "data_id", "src", "dst", "stage"]
+    w = Window.partitionBy(*key).orderBy("seq_no")
+    rows = operations.where("kind in ('launch', 'send_out')")
+    side = lambda op, src, dst: rows.where(F.col("op") == op).withColumns({"src": F.col(src), "dst": F.col(dst)}).withColumn("k", F.row_number().over(w)).select(*key, "k", F.lit(1).alias(op))
+    return side("send", "device", "peer").join(side("recv", "peer", "device"), [*key, "k"], "full").where("send is null or recv is null")
+
+
 def matched(moves: DataFrame) -> DataFrame:
     """Sends joined to receives on (block, source, target, occurrence): transfers whose two ends do not meet. Empty if all do."""
     key = ["batch_id", "is_input", "data_id", "src", "dst"]

@@ -641,7 +641,7 @@ def instructions(spark, sf):
 
 @query("send_recv_match", "select 0::bigint as unmatched")
 def send_recv_match(spark, sf):
-    return schedule.matched(plan_corpus(spark, sf).staged[1]).agg(F.count("*").alias("unmatched"))
+    return schedule.unmatched(schedule.operations(plan_corpus(spark, sf).instructions)).agg(F.count("*").alias("unmatched"))
 
 
 @query("multicast_trees")

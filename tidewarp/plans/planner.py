@@ -72,7 +72,7 @@ class Planned:
     @cached_property
     def instructions(self) -> DataFrame:
         work_stages, moves = self.staged
-        return schedule.instructions(work_stages, self.works, moves, self.out_moves, self.placed[1])
+        return schedule.instructions(work_stages, self.works, moves, self.out_moves, self.placed[1], self.data)
 
 
 def plan_corpus(spark: SparkSession, sf_dir: str, mask: str = "causal", plan: Plan = DEFAULT, refine: bool = False) -> Planned:
