@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates."""
-    return neardup.deduplicate(docs)
+    """One document, that of the smallest doc_id, of each group of near-duplicates: five-word shingles, 0.8."""
+    return neardup.deduplicate(docs, width=5, similar=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

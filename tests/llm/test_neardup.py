@@ -109,3 +109,14 @@ def test_estimate_and_merge():
         assert abs(neardup.estimate(k[:1], k[1:], np.array([float(n)]), np.array([float(n)]))[0] - true) < neardup.MARGIN
         parts = neardup.sketch(a, np.array([0, n // 2, n]))
         assert (np.maximum(parts[0], parts[1]) == k[0]).all()  # sketches of parts merge
+
+
+def test_pipeline_stage_takes_five_words(spark):
+    import corpus_pipeline
+
+    # a changed word in the middle of 42: similarity 35 / 43 of four words, 33 / 43 of five
+    one = [f"w{i}" for i in range(42)]
+    two = [*one[:20], "other", *one[21:]]
+    df = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(one))], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in neardup.deduplicate(df).collect()) == [1]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [1, 2]

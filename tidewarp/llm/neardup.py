@@ -1,6 +1,6 @@
 """Near-duplicate detection with SetSketch registers.
 
-A document's set is its distinct 4-word shingles. Each register keeps the smallest of an exponential variate per shingle,
+A document's set is its distinct shingles, of four words and for a threshold of 0.8 unless told otherwise. Each register keeps the smallest of an exponential variate per shingle,
 exponentially spaced (base B) and truncated, so sketches of parts merge by maximum and equal registers are likelier the
 more alike two sets are. Documents of one and the same set are one class with its smallest doc_id as representative.
 Bands of registers bring representatives together; a pair's similarity is estimated jointly from the counts of larger,
@@ -42,24 +42,29 @@ _S = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * U64(2) + U64(1)
 _BAND = _rng.integers(1, 2**63, (BANDS, ROWS + 1), dtype=np.uint64) * U64(2) + U64(1)
 
 
-def shingles(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of every text, ascending in each, and n+1 offsets."""
+def _factors(width: int) -> np.ndarray:
+    return _S if width == SHINGLE else np.random.default_rng(width).integers(1, 2**63, width, dtype=np.uint64) * U64(2) + U64(1)
+
+
+def shingles(raw: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of so many words of every text, ascending in each, and n+1 offsets."""
+    factors = _factors(width)
     h, at = words(raw, off, word_table("plain"))
     n = np.diff(at)
-    count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
-    x = np.zeros(len(h) + SHINGLE, U64)
-    padded = np.append(h, np.zeros(SHINGLE, U64))
-    for j in range(SHINGLE):
-        x[: len(h)] += padded[j : j + len(h)] * _S[j]
+    count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    x = np.zeros(len(h) + width, U64)
+    padded = np.append(h, np.zeros(width, U64))
+    for j in range(width):
+        x[: len(h)] += padded[j : j + len(h)] * factors[j]
     out = []
     for k in range(len(n)):
-        if n[k] >= SHINGLE:
+        if n[k] >= width:
             s = mix(x[at[k] : at[k] + count[k]])
             s.sort()
             out.append(s[np.append(True, s[1:] != s[:-1])])
         elif n[k]:
             own = h[at[k] : at[k + 1]]
-            out.append(mix(np.array([(own * _S[: len(own)]).sum() + U64(len(own))], U64)))
+            out.append(mix(np.array([(own * factors[: len(own)]).sum() + U64(len(own))], U64)))
         else:
             out.append(np.zeros(0, U64))
     sizes = np.array([len(s) for s in out], np.int64)
@@ -101,7 +106,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return j[np.arange(len(j)), fit.argmax(1)]
 
 
-def _signed(docs: DataFrame, text: str = "text") -> DataFrame:
+def _signed(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, the set's key (k1, k2) and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +114,7 @@ def _signed(docs: DataFrame, text: str = "text") -> DataFrame:
             raw, off, _ = text_bytes(batch.column(1))
             n, keys, sketches = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], []
             for a, b in runs(off, RUN):
-                s, at = shingles(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+                s, at = shingles(raw[off[a] : off[b]], off[a : b + 1] - off[a], width)
                 size = np.diff(at)
                 sums = np.zeros((b - a, 2), U64)
                 full = np.flatnonzero(size)
@@ -139,7 +144,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sketch").mapInArrow(run, "bucket bigint, band int, rep bigint")
 
 
-def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, full: DataFrame, width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """(a, b, linked) of pairs of representatives: estimated by sketch, then confirmed on the full sets of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,13 +152,13 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
             ka, kb = _registers(batch.column(2)), _registers(batch.column(3))
             na, nb = (np.asarray(batch.column(i)).astype(float) for i in (4, 5))
             linked = np.zeros(batch.num_rows, bool)
-            near = np.flatnonzero(estimate(ka, kb, na, nb) >= SIMILAR / 100 - MARGIN) if batch.num_rows else []
+            near = np.flatnonzero(estimate(ka, kb, na, nb) >= similar / 100 - MARGIN) if batch.num_rows else []
             for i in near:
                 sets = []
                 for c in (6, 7):
                     raw, off, _ = text_bytes(batch.column(c).slice(i, 1))
-                    sets.append(shingles(raw, off)[0])
-                linked[i] = _similar(*sets)
+                    sets.append(shingles(raw, off, width)[0])
+                linked[i] = _similar(*sets, similar)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"])
 
     one = full.select(F.col("rep").alias("a"), F.col("sketch").alias("ka"), F.col("n_shingles").alias("na"), F.col("text").alias("ta"))
@@ -188,7 +193,7 @@ def _crowded(members: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(sizes.where("comps > 1").select("bucket", (-F.col("c")).alias("main")), "bucket")
 
 
-def _rest(crowded: DataFrame, full: DataFrame) -> DataFrame:
+def _rest(crowded: DataFrame, full: DataFrame, width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """Links (a, b) between components of a bucket, one for each member outside the main component and component it meets."""
     rows = crowded.withColumn("minor", F.col("comp") != F.col("main")).join(full, "rep")
     parts = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
@@ -210,7 +215,7 @@ def _rest(crowded: DataFrame, full: DataFrame) -> DataFrame:
         def set_of(i: int) -> np.ndarray:
             if rep[i] not in sets:
                 raw, off, _ = text_bytes(texts.slice(i, 1))
-                sets[rep[i]] = shingles(raw, off)[0]
+                sets[rep[i]] = shingles(raw, off, width)[0]
             return sets[rep[i]]
 
         has = np.flatnonzero(~ask)
@@ -218,14 +223,14 @@ def _rest(crowded: DataFrame, full: DataFrame) -> DataFrame:
         for i in np.flatnonzero(ask).tolist():
             other = has[comp[has] != comp[i]]
             other = other[(buckets[other] == buckets[i]).argmax(1) == band]
-            other = other[(k[other] == k[i]).sum(1) >= M * (SIMILAR / 100 - 2 * MARGIN)]
+            other = other[(k[other] == k[i]).sum(1) >= M * (similar / 100 - 2 * MARGIN)]
             if not len(other):
                 continue
             e = estimate(np.repeat(k[i][None], len(other), 0), k[other], np.full(len(other), n[i]), n[other])
-            other = other[e >= SIMILAR / 100 - MARGIN]
+            other = other[e >= similar / 100 - MARGIN]
             done = set()
-            for o in other[np.argsort(-e[e >= SIMILAR / 100 - MARGIN], kind="stable")].tolist():
-                if comp[o] not in done and _similar(set_of(i), set_of(o)):
+            for o in other[np.argsort(-e[e >= similar / 100 - MARGIN], kind="stable")].tolist():
+                if comp[o] not in done and _similar(set_of(i), set_of(o), similar):
                     done.add(comp[o])
                     found.add((min(rep[i], rep[o]), max(rep[i], rep[o])))
         pairs = sorted(found)
@@ -234,20 +239,20 @@ def _rest(crowded: DataFrame, full: DataFrame) -> DataFrame:
     return all_.unionByName(asks).groupBy("bucket", "x", "y").applyInArrow(search, "a bigint, b bigint")
 
 
-def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+def _similar(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
     """Whether two sets, as ascending hashes, reach the threshold."""
-    if 100 * min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+    if 100 * min(len(a), len(b)) < similar * max(len(a), len(b)):
         return False
     at = np.searchsorted(a, b)
     both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-    return both > 0 and 100 * both >= SIMILAR * (len(a) + len(b) - both)
+    return both > 0 and 100 * both >= similar * (len(a) + len(b) - both)
 
 
-def components(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def components(docs: DataFrame, text: str = "text", width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row, for shingles of `width` words and a threshold in percent."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", F.col(text).alias("text"))
-    signed = written(_signed(docs), "signed")
+    signed = written(_signed(docs, width=width), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(full.join(classes, (full["doc_id"] == classes["rep"]) & (full["k1"] == classes["k1"]) & (full["k2"] == classes["k2"]), "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").dropDuplicates(["rep"]), "reps")
@@ -260,17 +265,17 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
 
     # round one: the smallest member of all its buckets
     pairs = members.where("first <> rep").groupBy("rep").agg(F.min("first").alias("a")).select("a", F.col("rep").alias("b"))
-    tested = written(_verified(pairs, texts), "tested")
+    tested = written(_verified(pairs, texts, width, similar), "tested")
     labels = _merged(labels, tested.where("linked").select("a", "b"))
     # round two: one member of the largest component of each bucket that is still open
     members = members.select("bucket", "band", "rep")
     crowded = _crowded(members, labels)
     drawn = crowded.where("comp = main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep"))["rep"].alias("one"))
     pairs = crowded.where("comp <> main").join(drawn, "bucket").select(F.least("one", "rep").alias("a"), F.greatest("one", "rep").alias("b")).distinct()
-    links = written(_verified(pairs.join(tested, ["a", "b"], "left_anti"), texts).where("linked").select("a", "b"), "links")
+    links = written(_verified(pairs.join(tested, ["a", "b"], "left_anti"), texts, width, similar).where("linked").select("a", "b"), "links")
     labels = _merged(labels, links)
     # the rest, exhaustively
-    links = written(_rest(_crowded(members, labels), texts).distinct(), "links")
+    links = written(_rest(_crowded(members, labels), texts, width, similar).distinct(), "links")
     labels = _merged(labels, links)
     by_class = classes.join(labels, "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("found"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"), "k2").join(by_class, ["k1", "k2"], "left")
@@ -278,9 +283,9 @@ def components(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """The documents that stay, one of each component, with the columns they came with."""
-    gone = components(docs).where("not kept").select("doc_id").distinct()
+    gone = components(docs, width=width, similar=similar).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
