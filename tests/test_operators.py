@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewarp.config import Cluster, Model, Plan
 from tidewarp.functions import cost, padding, tokens
 from tidewarp.operators import allocation, attention, batching, blocks, experiments, masks, placement, schedule
-from tidewarp.plans.catalogue import QUERIES
+from tidewarp.plans.catalogue import P, QUERIES
 from tidewarp.plans.planner import Planned
 from tidewarp.sources import from_lengths, mock_multimodal, mock_sequences
 
@@ -296,3 +296,11 @@ def test_attention_takes_whole_vectors(spark, tmp_path):
         assert len(got) == 40 and np.allclose([[got[i][f"o{k}"] for k in range(9)] for i in range(40)], out, atol=2e-6) and np.allclose([got[i]["lse"] for i in range(40)], lse, atol=2e-6)
     grads = {r["seq_id"] * 32 + r["k_pos"]: r["d_v"] for r in QUERIES["attn_gradients_whole"](spark, sf).collect()}
     assert np.allclose([grads[i] for i in range(40)], dv, atol=1e-9)
+
+
+def test_pack_reasons_add_up(spark, tmp_path):
+    n = [0, 3, P.max_len, P.max_len + 1, P.budget, P.budget + 1, *[700] * 30]
+    spark.createDataFrame([(i, "w " * k) for i, k in enumerate(n)] + [(99, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["reason"]: (r["n_samples"], r["n_tokens"]) for r in QUERIES["pack_reasons_all"](spark, str(tmp_path)).collect()}
+    assert got["empty"] == (2, 0) and got["over_max_len"] == (3, P.max_len + 2 * P.budget + 2)
+    assert sum(k for k, _ in got.values()) == len(n) + 1 and sum(t for _, t in got.values()) == sum(n)

@@ -210,6 +210,15 @@ def pack_reasons(spark, sf):
     return batching.pack(s, P.budget).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n_samples"), F.sum("n").alias("n_tokens"))
 
 
+@query("pack_reasons_all", f"with recursive {_RAW} select case when tot_.total >= 0.75 * {P.budget} then 'kept' else 'underfull' end as reason, count(*) as n_samples, sum(n)::bigint as n_tokens from walk_ join tot_ using (b) group by 1 union all select case when raw_len < 1 then 'empty' else 'over_max_len' end, count(*), sum(raw_len)::bigint from len_ where raw_len not between 1 and {P.max_len} group by 1")
+def pack_reasons_all(spark, sf):
+    s = sequences(spark, sf).select(F.col("doc_id").alias("place"), F.col("doc_id").alias("id"), F.coalesce("raw_len", F.lit(0)).alias("n"))
+    fits = F.col("n").between(1, P.max_len)
+    rows = batching.pack(s.where(fits), P.budget).select(F.coalesce("reason", F.lit("kept")).alias("reason"), "n")
+    out = s.where(~fits).select(F.when(F.col("n") < 1, "empty").otherwise("over_max_len").alias("reason"), "n")
+    return rows.unionByName(out).groupBy("reason").agg(F.count("*").alias("n_samples"), F.sum("n").cast("bigint").alias("n_tokens"))
+
+
 def _batches(spark, sf):
     return packed(sequences(spark, sf)).select("batch_id", F.col("seq_id").alias("seq_in_batch"), F.col("doc_id").alias("id"), F.col("raw_len").alias("n"))
 
