@@ -29,6 +29,58 @@ def test_vptree_is_exact(spark):
     assert vptree.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
+def _pairs(rows, k, one_in):
+    """Every row against every query row, as the operator's SQL has it."""
+    fine = [(i, np.array(v, float)) for i, v in rows]
+    out = []
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in sorted({i for i, _ in fine if i % one_in == 0}):
+            best = [(float(np.add.accumulate(v * w)[-1]), j) for i, v in fine if i == q for j, w in fine if j != q]
+            best.sort(key=lambda r: (r[0] == r[0], -r[0] if r[0] == r[0] else 0, r[1]))
+            out += [(q, r + 1, j, repr(s)) for r, (s, j) in enumerate(best[:k])]
+    return out
+
+
+def test_vptree_lengths_far_apart(spark):
+    rng = np.random.default_rng(4)
+    for low, high in ((-8, 150), (150, 160), (-160, -140), (0, 0)):
+        x = rng.normal(size=(400, 5))
+        x *= 10.0 ** rng.uniform(low, high, (400, 1))
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        got = vptree.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 7, 20, 1.0, 150, 8)
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], repr(r["score"])) for r in got.collect()) == _pairs(rows, 7, 20)
+
+
+def test_vptree_one_long_vector(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for size in (1e6, 1e10, 1e160):
+        x[77] *= size / np.linalg.norm(x[77])
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        got = vptree.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 10, 20)
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], repr(r["score"])) for r in got.collect()) == _pairs(rows, 10, 20)
+
+
+def test_vptree_repeats_and_other_columns(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (300, 3)).astype(float)
+    x[(x == 0).all(1)] = 1.0
+    # ids with several vectors, vectors with several ids, rows twice, and ties of whole numbers
+    rows = [(i % 130, v.tolist()) for i, v in enumerate(x)] + [(20, [1.0, 2.0, 2.0])] * 40 + [(i, [2.0, 2.0, 2.0]) for i in range(500, 560)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id bigint, embedding array<double>, score string, s int")
+    for shard in (64, 100_000):
+        got = vptree.nearest(df, 9, 20, 1.0, shard, 5)
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], repr(r["score"])) for r in got.collect()) == _pairs(rows, 9, 20)
+
+
+def test_vptree_sends_candidates_once(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 11)]) for i in range(400)]
+    plan = vptree.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 3, 2, 1.0, 50, 4)
+    # 400 candidates, and 200 queries to each of 8 shards
+    assert plan.count() == 600 and "MapInArrow" in plan._jdf.queryExecution().toString()
+
+
 def test_relaxed_pruning_recall():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 6))
