@@ -4,14 +4,16 @@ A softmax classifier over hashed byte 3-grams, trained on a bounded sample of a
 document a posterior over domains. Nonnegative rates r then minimise the squared distance between the expected tokens of
 each domain, sum over documents of r * tokens * posterior, and target weight * total tokens, by projected gradient: each
 pass adds up one vector of domain totals over all documents, and each document moves along its own posterior and stops at
-0. Steps are scaled by the inverse of the posteriors' second moments, so that few passes do. A document's rate follows
+0. Steps are scaled by the inverse of the free rows' second moments, so that few passes do. A document's rate follows
 from its posterior and the list of steps alone; so only that list, a vector per pass, is ever on the driver, and any lost
-partition is computed again from its rows.
+partition is computed again from its rows. Texts are read once: posteriors and the columns to keep are written beside each
+other, and passes and results read that table. `Rates.gap` says how far from the targets the totals have stayed.
 
 Defined results: a null or empty text has no tokens, the classifier's prior as posterior, and gets a rate like any other;
 an unlabelled domain without target gets weight 0; targets of domains that no document can reach stay unmet, the others
 are matched in the least-squares sense; without labels there is one domain and every rate is the same; an empty table gives
-no rows; repeated rows get equal rates.
+no rows; repeated rows get equal rates. A doc_id with two domains teaches both; of documents that repeat a doc_id the smallest
+text is learned from. Of columns named as the results are, the results' stay.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, pieces, prepare, table, text_bytes, written
+from .common import labelled_sample, pieces, prepare, table, text_bytes, written
 
 #: Labelled rows of each domain that the fit takes, hashed features, passes of the fit and of the projected gradient.
 SAMPLE, BITS, EPOCHS, PASSES = 600, 11, 150, 40
@@ -78,9 +80,7 @@ class Domains:
 def fit_domains(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Domains:
     """Train on about `sample` documents of each domain of labelled (doc_id, domain), drawn before any text is read."""
     prepare(docs.sparkSession)
-    labelled = labelled.where("domain is not null and doc_id is not null").select("doc_id", F.col("domain").cast("string").alias("domain"))
-    drawn = bounded_sample(labelled, ["domain"], sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "domain")
+    rows = labelled_sample(docs, labelled.select("doc_id", F.col("domain").cast("string").alias("domain")), "domain", sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,6 +115,8 @@ class Rates:
 
     start: np.ndarray
     steps: list[np.ndarray] = field(default_factory=list)
+    #: sum over domains of the distance between totals and targets, over the sum of the targets
+    gap: float = 0.0
 
     def of(self, p: np.ndarray) -> np.ndarray:
         r = np.maximum(0, p @ self.start)
@@ -123,15 +125,18 @@ class Rates:
         return r
 
 
-def _measured(docs: DataFrame, domains: Domains, text: str) -> DataFrame:
-    """n_tokens (white-space words) and the posterior of every row."""
+def _measured(docs: DataFrame, domains: Domains, text: str, keep: list[str]) -> DataFrame:
+    """row (the columns to keep), n_tokens (white-space words) and the posterior p of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, p = measure(batch.column(0), domains)
-            yield pa.RecordBatch.from_arrays([pa.array(n), _doubles(p)], names=["n_tokens", "p"])
+            n, p = measure(batch.column(1), domains)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _doubles(p)], names=["row", "n_tokens", "p"])
 
-    return docs.select(text).mapInArrow(run, "n_tokens bigint, p array<double>")
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(0).alias("_"))
+    rows = docs.select(kept.alias("row"), F.col(text).alias("text"))
+    schema = rows.select("row", F.lit(None).cast("bigint").alias("n_tokens"), F.lit(None).cast("array<double>").alias("p")).schema
+    return rows.mapInArrow(run, schema)
 
 
 def measure(column: pa.Array, domains: Domains) -> tuple[np.ndarray, np.ndarray]:
@@ -152,64 +157,75 @@ def _doubles(p: np.ndarray) -> pa.Array:
 
 
 def solve(measured: DataFrame, targets: np.ndarray, passes: int = PASSES, near: float = NEAR) -> Rates:
-    """Projected-gradient least squares over (n_tokens, p); each pass is one aggregation, a row per task to the driver."""
+    """Projected-gradient least squares over (n_tokens, p); each pass is one aggregation, a row per task to the driver.
+
+    A pass adds up the totals and the second moments of the posteriors of rows whose rate is above 0, whose inverse scales
+    the gradient. A step that does not bring the totals nearer is halved; after some halvings all rows' moments scale it."""
     k = len(targets)
 
-    def totals(rates: Rates | None) -> np.ndarray:
+    def totals(rates: Rates | None) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = np.zeros(k + k * k if rates is None else k)
+            own = np.zeros(k + k * k)
             for batch in batches:
                 if batch.num_rows:
                     t, p = np.asarray(batch.column(0)).astype(float), np.asarray(batch.column(1).flatten()).reshape(-1, k)
-                    own += np.append(t @ p, (p * t[:, None]).T @ p) if rates is None else (t * rates.of(p)) @ p
+                    r = np.ones(len(p)) if rates is None else rates.of(p)
+                    own += np.append((t * r) @ p, (p * (t * (r > 0))[:, None]).T @ p)
             yield pa.RecordBatch.from_arrays([pa.array([own.tolist()], pa.list_(pa.float64()))], names=["s"])
 
         got = measured.select("n_tokens", "p").mapInArrow(run, "s array<double>").select(F.posexplode("s")).groupBy("pos").agg(F.sort_array(F.collect_list("col")).alias("own"))
-        parts = {r["pos"]: math.fsum(r["own"]) for r in got.collect()}  # as many rows as domains; a number per task in each
-        return np.array([parts.get(i, 0.0) for i in range(k + k * k if rates is None else k)])
+        parts = {r["pos"]: math.fsum(r["own"]) for r in got.collect()}  # as many rows as domains, squared; a number per task in each
+        x = np.array([parts.get(i, 0.0) for i in range(k + k * k)])
+        return x[:k], x[k:].reshape(k, k)
 
-    first = totals(None)
-    have, moments = first[:k], first[k:].reshape(k, k)
+    have, all_moments = totals(None)
     want = targets * have.sum()
-    rates = Rates(np.where(have > 0, want / np.where(have > 0, have, 1), 0.0))
     if have.sum() <= 0:
-        return Rates(np.ones(k))
-    inverse = np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
-    best: tuple[float, int] = (math.inf, 0)
+        return Rates(np.ones(k), gap=1.0)
+    rates = Rates(np.where(have > 0, want / np.where(have > 0, have, 1), 0.0))
+    inverse = lambda m: np.linalg.pinv(m, rcond=1e-9, hermitian=True)
+    total, moments = totals(rates)
+    scale = 1.0
     for _ in range(passes):
-        off = totals(rates) - want
+        off = total - want
         gap = float(np.abs(off).sum() / want.sum())
-        if gap < best[0] * (1 - 1e-3):
-            best = gap, len(rates.steps)
-        elif len(rates.steps) - best[1] >= 5:
+        rates.gap = gap
+        if gap < near or scale < 1e-4:
             break
-        if gap < near:
-            break
-        rates = Rates(rates.start, [*rates.steps, inverse @ off])
-    return Rates(rates.start, rates.steps[: best[1]])
+        step = scale * inverse(moments if scale > 0.1 else all_moments) @ off
+        ahead = Rates(rates.start, [*rates.steps, step])
+        total_ahead, moments_ahead = totals(ahead)
+        if np.square(total_ahead - want).sum() < np.square(off).sum() * (1 - 1e-6):
+            rates, total, moments, scale = ahead, total_ahead, moments_ahead, min(1.0, 2 * scale)
+        else:
+            scale /= 2
+    rates.gap = float(np.abs(total - want).sum() / want.sum())
+    return rates
+
+
+ADDED = ["n_tokens", "domain", "posterior", "rate"]
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str = "text") -> tuple[DataFrame, Domains, Rates]:
-    """All columns with n_tokens, domain (likeliest), posterior and rate; the domains and rates that gave them."""
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, Domains, Rates]:
+    """The columns `keep` (all) with n_tokens, domain (likeliest), posterior and rate; the domains and rates that gave them."""
     domains = fit_domains(docs, labelled)
     weights = np.array([max(0.0, targets.get(n, 0.0)) for n in domains.names])
     weights = weights / weights.sum() if weights.sum() > 0 else np.full(len(weights), 1 / len(weights))
-    measured = written(_measured(docs, domains, text), "measured")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    measured = written(_measured(docs, domains, text, keep), "measured")
     rates = solve(measured, weights)
-    added = {"n_tokens": "bigint", "domain": "string", "posterior": "array<double>", "rate": "double"}
-    keep = [c for c in docs.columns if c not in added]
-    rows = docs.select(*keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(domains.names, object)
         for batch in batches:
-            n, p = measure(batch.column(batch.schema.names.index(text)), domains)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(names[p.argmax(1)], pa.string()), _doubles(p), pa.array(rates.of(p))], names=[*keep, *added])
+            p = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, len(names)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[p.argmax(1)], pa.string()), batch.column(2), pa.array(rates.of(p))], names=["row", *ADDED])
 
-    schema = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in added.items()}).schema
-    return rows.mapInArrow(run, schema), domains, rates
+    added = measured.withColumns({"domain": F.lit(None).cast("string"), "posterior": F.col("p"), "rate": F.lit(None).cast("double")})
+    out = measured.mapInArrow(run, added.select("row", *ADDED).schema)
+    return out.select(*(F.col(f"row.`{c}`") for c in keep), *ADDED), domains, rates
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mix(docs.select("doc_id", "text"), docs.select("doc_id", F.col("lang").alias("domain")), TARGETS)[0].drop("text")
+    return mix(docs, docs.select("doc_id", F.col("lang").alias("domain")), TARGETS, keep=["doc_id"])[0]
