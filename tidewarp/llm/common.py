@@ -7,22 +7,26 @@ is a text of no bytes; every operator says what that means for it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..tables import written
 
-__all__ = ["bounded_sample", "in_fold", "labelled_sample", "mix", "pieces", "prepare", "runs", "table", "text_bytes", "word_table", "words", "written"]
+__all__ = ["bounded_sample", "carried", "cut_of", "group_counts", "in_fold", "key_runs", "labelled_sample", "mix", "pieces", "prepare", "runs", "table", "text_bytes", "word_table", "words", "written"]
 
 #: Rows of an Arrow batch handed to Python. Long texts are common, so that a batch stays at some MB.
 BATCH_ROWS = 400
+#: Groups whose counts are broadcast, at most, and bytes of the texts of one label in a sample.
+GROUPS, SAMPLE_BYTES = 100_000, 64 << 20
 U64 = np.uint64
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep the Arrow batches that go to Python workers small, whatever the length of the texts."""
+    """Keep the Arrow batches that go to Python workers small, whatever the length of the texts. A plan reads these settings
+    when it runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -36,25 +40,74 @@ def in_fold(mod: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, by: list[str], bound: int, seed: int = 17) -> DataFrame:
-    """About `bound` rows of each group of `by`, by hash of doc_id: a fit on a bounded sample, never a result.
+def group_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by and `rows`, their count: a row for each group, written."""
+    return written(rows.groupBy(*by).agg(F.count("*").alias("rows")), "counts")
 
-    Groups under the bound stay whole. The counts are one partial aggregation and one row per group on the driver.
+
+def cut_of(bound: int, rows):
+    """The share bound / rows of the 63-bit hashes, as the first hash that is left out; a Column or a number.
+
+    The product stays exact enough at any size: a group of 1e11 rows still gives `bound` of them, within rounding.
+    """
+    if isinstance(rows, (int, float)):
+        return min(2**63 - 1, int(bound / max(1, rows) * 2.0**63))
+    return F.when(rows <= bound, F.lit(2**63 - 1)).otherwise((F.lit(float(bound)) / rows * F.lit(2.0**63)).cast("bigint"))
+
+
+def bounded_sample(rows: DataFrame, by: list[str], bound: int, seed: int = 17, counts: DataFrame | None = None) -> DataFrame:
+    """About `bound` rows of each group of `by`, by a hash of the whole row: a fit on a bounded sample, never a result.
+
+    Groups under the bound stay whole. Rows that differ in any column are drawn apart, so that a null or repeated doc_id has
+    no say. The counts are joined; they are sent to all tasks where they are `GROUPS` at most.
+    """
+    counts = group_counts(rows, by) if counts is None else counts
+    few = counts.limit(GROUPS + 1).count() <= GROUPS
+    c = counts.select(*(F.col(x).alias(f"_by_{x}") for x in by), F.col("rows").alias("_rows"))
+    same = [F.col(x).eqNullSafe(F.col(f"_by_{x}")) for x in by]
+    at = F.xxhash64(*(F.col(x) for x in rows.columns), F.lit(seed)).bitwiseAND(F.lit(2**63 - 1))
+    drawn = rows.join(F.broadcast(c) if few else c, reduce(lambda a, b: a & b, same)).where(at <= cut_of(bound, F.col("_rows")))
+    return drawn.select(*rows.columns)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, label) of about `bound` documents of each label, written once: what a fit reads, however often.
+
+    labels: doc_id, label. Rows with a null in either are left out, repeated ones count once; of documents that repeat a
+    doc_id the smallest text is taken. Whole texts of each label are taken in order of a hash while they fit `most_bytes`, so
+    that what may reach the driver is bounded in rows and in bytes. Only ids of the sample are broadcast.
     """
-    counts = rows.groupBy(*by).count().collect()
-    share = F.lit(0)
-    for r in counts:
-        is_group = F.lit(True)
-        for c in by:
-            is_group = is_group & F.col(c).eqNullSafe(F.lit(r[c]))
-        share = F.when(is_group, min(1_000_000, int(1e6 * bound / r["count"]))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < share)
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(doc_id, text, label) of about `bound` documents of each class 0 and 1. Only ids of the sample are broadcast."""
-    drawn = bounded_sample(labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", label), [label], bound)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label")).distinct()
+    drawn = bounded_sample(marked, ["_label"], bound)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    rows = written(rows, "sample").select("doc_id", "text", F.col("_label").alias(label))
+    sizes = rows.select("doc_id", F.col(label).alias("label"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("doc_id").alias("at"))
+    if sizes.groupBy("label").agg(F.sum("size").alias("size")).where(F.col("size") > most_bytes).isEmpty():
+        return rows
+    before = F.sum("size").over(Window.partitionBy("label").orderBy("at", "doc_id"))  # of a bounded sample
+    fits = sizes.withColumn("size", before).where(F.col("size") <= most_bytes).select("doc_id", F.col("label").alias(label))
+    return written(rows.join(F.broadcast(fits), ["doc_id", label]), "sample").select("doc_id", "text", label)
+
+
+def carried(df: DataFrame, *more) -> DataFrame:
+    """All columns of df as one struct `row`, whatever their names, with more columns beside it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *more)
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """Cut batches that come sorted by their first columns, whole numbers without nulls, where those change: (key, whether it
+    is a new one, rows). A group is never gathered; it may go on over many batches."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [np.asarray(batch.column(i)) for i in range(n_keys)]
+        new = reduce(lambda a, b: a | b, (k[1:] != k[:-1] for k in keys))
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            key = tuple(int(k[a]) for k in keys)
+            yield key, key != last, batch.slice(a, b - a)
+            last = key
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

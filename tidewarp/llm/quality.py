@@ -6,7 +6,9 @@ largest and smallest of the chunks' maxima, and the text's length, are combined
 bounded sample of labelled rows; scoring covers every byte of every text.
 
 Defined results: a null or empty text is one chunk of padding and gets that score; without labels the score is 0.5;
-with labels of one class only it is that class's smoothed share. Ties at 0.5 predict 1. Repeated rows score alike.
+with labels of one class only it is that class's smoothed share. Ties at 0.5 predict 1. Repeated rows score alike, and a
+null doc_id is scored like any other. Labels other than 0 and 1 teach nothing, nor do those of a null doc_id; of documents
+that repeat a doc_id the smallest text is learned from. Columns to keep may have any name but those of the results.
 """
 
 from __future__ import annotations
@@ -164,8 +166,9 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, batc
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, seed: int = 5) -> Network:
     """Train on about `sample` labelled rows of each class, drawn from labels (doc_id, label) before any text is read."""
-    rows = labelled_sample(docs, labels, label, sample).orderBy("doc_id", "text").toPandas()  # bounded by `sample`
-    return train(rows["text"].tolist(), rows[label].astype(int).tolist(), seed=seed)
+    prepare(docs.sparkSession)
+    rows = labelled_sample(docs, labels.where(F.col(label).isin(0, 1)), label, sample).orderBy("doc_id", label).toPandas()  # bounded in rows and bytes
+    return train([t if isinstance(t, str) else None for t in rows["text"]], rows[label].astype(int).tolist(), seed=seed)
 
 
 def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cut: float = 0.5) -> DataFrame:

@@ -6,7 +6,8 @@ signs as the letters they stand for; `l`, `i` and `1` are one letter. A term cou
 Terms, weights, exceptions and the last step are learned from labelled rows, or given by the caller.
 
 Defined results: a null, empty or term-free text has no matches and gets the share of toxic texts among such; with no
-labels at all the score is 0. Repeated rows score alike; a term with the same skeleton as another counts once.
+labels at all the score is 0. Repeated rows score alike; a term with the same skeleton as another counts once. Terms of equal
+weight at one place: the later in alphabetical order counts. Columns to keep may have any name but those of the results.
 """
 
 from __future__ import annotations
@@ -141,8 +142,9 @@ def _chosen(rows: dict[str, set], forms: Counter) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Lexicon:
     """Learn a lexicon from about `sample` labelled rows of each class, drawn from labels (doc_id, label)."""
     prepare(docs.sparkSession)
+    labels = labels.where(F.col(label).isin(0, 1))
     rows = labelled_sample(docs, labels, label, sample).select("text", label)
-    sizes = {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    sizes = {r[label]: r["count"] for r in labels.groupBy(label).count().collect()}
     drawn = [min(sample, sizes.get(y, 0)) for y in (0, 1)]
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
