@@ -59,29 +59,43 @@ def test_components(spark):
 def test_rest_alone_finds_links(spark, monkeypatch):
     """The exhaustive pass on its own, in many small blocks, finds what the rounds before it would."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    texts = _texts(3)[:60]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    signed = neardup._signed(docs).where("n_shingles > 0")
-    reps = signed.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
-    members = neardup._buckets(reps)
-    labels = reps.select("rep", F.col("rep").alias("comp"))
-    full = reps.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    links = [(r["a"], r["b"]) for r in neardup._rest(neardup._crowded(members, labels), full).distinct().collect()]
-    up = {i: i for i in range(len(texts))}
-    for a, b in sorted(links):
-        x, y = (next(v for v in iter(lambda i=i: i, None)) for i in (a, b))
-        while up[x] != x:
-            x = up[x]
-        while up[y] != y:
-            y = up[y]
-        up[max(x, y)] = min(x, y)
+    monkeypatch.setattr(neardup, "_verified", lambda members, full, similar=80: members.select("a", F.col("rep").alias("b"), F.lit(False).alias("linked")))
+    rows = list(enumerate(_texts(3)[:60]))
+    got = neardup.components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _brute(rows)
+
+
+def test_small_shares_of_members(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SPLIT", 3)
+    rows = list(enumerate(_texts(5)))
+    got = neardup.components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _brute(rows)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    one, two = [f"a{i}" for i in range(13)], [f"b{i}" for i in range(13)]
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one[:12], "z"])), (3, " ".join([*two[:12], "y"])), (4, "another text of its own here"), (4, ""), (5, "another text of its own here")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id bigint, text string, row int")
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.components(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)} and got == {(i, c) for i, (_, c) in _brute(rows).items()}
+    # one row of each component, the smallest text of the id that stays; rows without words stay
+    assert sorted(r["row"] for r in neardup.deduplicate(df).collect()) == [0, 4, 5]
+
+
+def test_deduplicate_keeps_one_of_equal_rows(spark):
+    t = "one two three four five six seven"
+    df = spark.createDataFrame([(5, t, {"a": 1}), (5, t, {"a": 1}), (5, t.upper(), None), (9, t, None), (None, t, None), (None, t, None), (2, None, None), (2, None, None)], "doc_id bigint, text string, meta map<string,int>")
+    out = neardup.deduplicate(df)
+    assert out.columns == df.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["2", "2", "5", "None", "None"]
+    assert [r["text"] for r in out.where("doc_id = 5").collect()] == [t.upper()]
+    assert neardup.deduplicate(df.limit(0)).count() == 0
 
-    def top(i):
-        while up[i] != i:
-            i = up[i]
-        return i
 
-    assert {i: top(i) for i in up} == {i: c for i, (_, c) in _brute(list(enumerate(texts))).items()}
+def test_very_long_text(spark):
+    long = [f"w{i % 50_000}x{i // 3}" for i in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-2000], "end"])), (3, "w " * 200_000), (4, "w w w w")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: (len(_set(t)), {1: 1, 2: 1, 3: 3, 4: 3}[i]) for i, t in rows}
 
 
 def test_nulls_and_repeats(spark):

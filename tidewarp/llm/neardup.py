@@ -1,19 +1,24 @@
 """Near-duplicate detection with SetSketch registers.
 
-A document's set is its distinct shingles, of four words and for a threshold of 0.8 unless told otherwise. Each register keeps the smallest of an exponential variate per shingle,
-exponentially spaced (base B) and truncated, so sketches of parts merge by maximum and equal registers are likelier the
-more alike two sets are. Documents of one and the same set are one class with its smallest doc_id as representative.
-Bands of registers bring representatives together; a pair's similarity is estimated jointly from the counts of larger,
-smaller and equal registers by maximum likelihood, and pairs that may reach the threshold are confirmed on their full sets.
-
-No group is expanded into its pairs. Round one tests each representative against the smallest of its buckets, round two
-each member outside its bucket's largest component against one member of that component, drawn by hash; a bucket whose
-members all belong to one component is done. What is left is searched exhaustively in blocks of bounded size: every member
-outside the bucket's largest component meets every member of another component, once, in the first band that the two
-share; estimate and confirmation happen inside the block, and only links come out.
+A document's set is its distinct shingles, of four words and for a threshold of 0.8 unless told otherwise. Each register keeps
+the smallest of an exponential variate per shingle, exponentially spaced (base B) and truncated, so sketches of parts merge by
+maximum and equal registers are likelier the more alike two sets are. Documents of one and the same set are one class; classes
+have numbers of their own, and doc_ids come back at the end only. Bands of registers bring classes together; a pair's
+similarity is estimated jointly from the counts of larger, smaller and equal registers by maximum likelihood, and pairs that
+may reach the threshold are confirmed on their full sets.
+
+No group is expanded into its pairs. Round one tests each class against the smallest of its buckets, round two each member
+outside its bucket's largest component against one member of that component, drawn by hash; a bucket whose members all belong
+to one component is done. What is left is searched exhaustively in blocks of bounded size: every member outside the bucket's
+largest component meets every member of another component, once, in the first band that the two share; estimate and
+confirmation happen inside the block, and only links come out.
+
+Sets, not texts, are compared: a class that shares a bucket gets its set as hashes once, and streams past the set that it is
+tested against; that one is sent once for every `SPLIT` of its members.
 
 Defined results: a null or wordless text has an empty set, is linked with nothing and keeps itself; so does a row with a
-null doc_id, whose component is null. Rows that repeat a doc_id with one text share one result. Ties: the smallest doc_id.
+null doc_id, whose component is null. Rows that repeat a doc_id are one document: their sets are linked, whatever they hold,
+and n_shingles is each row's own. Ties: the smallest doc_id. Columns other than doc_id and the text are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, mix, prepare, runs, table, text_bytes, word_table, words, written
+from ..tables import freed
+from .common import U64, carried, key_runs, mix, prepare, runs, table, text_bytes, word_table, words, written
 
 SHINGLE, SIMILAR = 4, 80
 #: Registers, base of their spacing, rate of the exponential variates, largest register.
@@ -32,8 +38,8 @@ M, B, RATE, Q = 200, 1.001, 20.0, 65534
 BANDS, ROWS = 40, 5
 #: How far under the threshold an estimate may lie and still be confirmed: over four standard errors.
 MARGIN = 0.12
-#: Members of a block of a bucket, and shingles of all of them together, about.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Members of a block of a bucket, and shingles of all of them together, about; members that one copy of a set is sent for.
+BLOCK, BLOCK_SHINGLES, SPLIT = 1024, 1 << 20, 1024
 RUN = 1 << 20
 
 _rng = np.random.default_rng(20240611)
@@ -106,6 +112,16 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return j[np.arange(len(j)), fit.argmax(1)]
 
 
+def _keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128 bits of every set, as two whole numbers; zeros for an empty one."""
+    sums = np.zeros((len(at) - 1, 2), U64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        sums[full, 0] = np.add.reduceat(mix(s), at[:-1][full])
+        sums[full, 1] = np.add.reduceat(mix(s ^ _A[0]), at[:-1][full])
+    return sums.view(np.int64)
+
+
 def _signed(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, the set's key (k1, k2) and its sketch."""
 
@@ -115,14 +131,8 @@ def _signed(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFr
             n, keys, sketches = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], []
             for a, b in runs(off, RUN):
                 s, at = shingles(raw[off[a] : off[b]], off[a : b + 1] - off[a], width)
-                size = np.diff(at)
-                sums = np.zeros((b - a, 2), U64)
-                full = np.flatnonzero(size)
-                if len(full):
-                    sums[full, 0] = np.add.reduceat(mix(s), at[:-1][full])
-                    sums[full, 1] = np.add.reduceat(mix(s ^ _A[0]), at[:-1][full])
-                n.append(size)
-                keys.append(sums.view(np.int64))
+                n.append(np.diff(at))
+                keys.append(_keys(s, at))
                 sketches += [row.tobytes() for row in sketch(s, at)]
             k = np.concatenate(keys)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "sketch"])
@@ -130,6 +140,28 @@ def _signed(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFr
     return docs.select(F.col("doc_id").cast("bigint"), F.col(text)).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sketch binary")
 
 
+def _with_sets(rows: DataFrame, width: int) -> DataFrame:
+    """rows (rep, k1, k2, text, …) whose text has the set of their key: the other columns, and the set as ascending hashes."""
+    kept = [c for c in rows.columns if c not in ("rep", "k1", "k2", "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off, _ = text_bytes(batch.column(3))
+            k1, k2 = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            good, sets = [], []
+            for a, b in runs(off, RUN):
+                s, at = shingles(raw[off[a] : off[b]], off[a : b + 1] - off[a], width)
+                key = _keys(s, at)
+                for i in np.flatnonzero((key[:, 0] == k1[a:b]) & (key[:, 1] == k2[a:b])).tolist():
+                    good.append(a + i)
+                    sets.append(s[at[i] : at[i + 1]].tobytes())
+            own = batch.take(pa.array(good, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column(0), *own.columns[4:], pa.array(sets, pa.binary())], names=["rep", *kept, "set"])
+
+    rows = rows.select("rep", "k1", "k2", "text", *kept)
+    return rows.mapInArrow(run, rows.drop("k1", "k2", "text").withColumn("set", F.lit(None).cast("binary")).schema)
+
+
 def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, M)
 
@@ -144,28 +176,41 @@ def _buckets(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sketch").mapInArrow(run, "bucket bigint, band int, rep bigint")
 
 
-def _verified(pairs: DataFrame, full: DataFrame, width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """(a, b, linked) of pairs of representatives: estimated by sketch, then confirmed on the full sets of their texts."""
+def _salted(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with the share of a's members, of about `SPLIT`, that b is in."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).alias("n"))
+    return pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).cast("bigint").alias("salt"), "b")
+
+
+def _verified(members: DataFrame, full: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(a, b, linked) for members (a, salt, rep, n_shingles, sketch, set): estimated by sketch, then confirmed on the sets.
+
+    A share of a's members and a's own row, which is sorted before them, come to one task and stream through it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ka, kb = _registers(batch.column(2)), _registers(batch.column(3))
-            na, nb = (np.asarray(batch.column(i)).astype(float) for i in (4, 5))
-            linked = np.zeros(batch.num_rows, bool)
-            near = np.flatnonzero(estimate(ka, kb, na, nb) >= similar / 100 - MARGIN) if batch.num_rows else []
-            for i in near:
-                sets = []
-                for c in (6, 7):
-                    raw, off, _ = text_bytes(batch.column(c).slice(i, 1))
-                    sets.append(shingles(raw, off, width)[0])
-                linked[i] = _similar(*sets, similar)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"])
-
-    one = full.select(F.col("rep").alias("a"), F.col("sketch").alias("ka"), F.col("n_shingles").alias("na"), F.col("text").alias("ta"))
-    two = full.select(F.col("rep").alias("b"), F.col("sketch").alias("kb"), F.col("n_shingles").alias("nb"), F.col("text").alias("tb"))
-    # b, the larger id, has few pairs; a may be the centre of a large bucket: that join is left to adaptive splitting
-    joined = pairs.join(two, "b").join(one, "a").select("a", "b", "ka", "kb", "na", "nb", "ta", "tb")
-    return joined.mapInArrow(run, "a bigint, b bigint, linked boolean")
+        head: tuple | None = None
+        for (a, _), new, rows in key_runs(batches, 2):
+            if new:
+                head = None
+            is_member = np.asarray(rows.column(2)) == 1
+            k, n = _registers(rows.column(5)), np.asarray(rows.column(4)).astype(float)
+            if head is None:
+                if is_member[0]:
+                    raise ValueError("a share of members came without its head")
+                head = k[:1], n[:1], np.frombuffer(rows.column(6)[0].as_py(), U64)
+            on = np.flatnonzero(is_member)
+            if not len(on):
+                continue
+            linked = np.zeros(len(on), bool)
+            about = estimate(np.repeat(head[0], len(on), 0), k[on], np.repeat(head[1], len(on)), n[on])
+            for i in np.flatnonzero(about >= similar / 100 - MARGIN).tolist():
+                linked[i] = _similar(head[2], np.frombuffer(rows.column(6)[int(on[i])].as_py(), U64), similar)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), a)), rows.column(3).take(pa.array(on)), pa.array(linked)], names=["a", "b", "linked"])
+
+    own = ["n_shingles", "sketch", "set"]
+    heads = members.select("a", "salt").distinct().join(full.withColumnRenamed("rep", "a"), "a").select("a", "salt", F.lit(0).cast("bigint").alias("member"), F.col("a").alias("rep"), *own)
+    rows = heads.unionByName(members.select("a", "salt", F.lit(1).cast("bigint").alias("member"), "rep", *own))
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -173,17 +218,18 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         la, lb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
         across = links.join(la, "a").join(lb, "b").where("ca <> cb").groupBy(F.greatest("ca", "cb").alias("hi")).agg(F.min(F.least("ca", "cb")).alias("to"))
-        hooks = written(across, "hooks")
+        hooks = found = written(across, "hooks")
         if hooks.isEmpty():
             return labels
         while True:  # a hook's target may hook on: point to the end
             ahead = hooks.select(F.col("hi").alias("to"), F.col("to").alias("end"))
-            hooks, before = written(hooks.join(ahead, "to", "left").select("hi", F.coalesce("end", "to").alias("to"), F.col("end").isNotNull().alias("moved")), "hooks"), hooks
-            moved = hooks.where("moved").isEmpty()
-            hooks = hooks.select("hi", "to")
-            if moved:
+            before, found = found, written(hooks.join(ahead, "to", "left").select("hi", F.coalesce("end", "to").alias("to"), F.col("end").isNotNull().alias("moved")), "hooks")
+            freed(before)
+            hooks = found.select("hi", "to")
+            if found.where("moved").isEmpty():
                 break
-        labels = written(labels.join(hooks, labels["comp"] == hooks["hi"], "left").select("rep", F.coalesce("to", "comp").alias("comp")), "labels")
+        before, labels = labels, written(labels.join(hooks, labels["comp"] == hooks["hi"], "left").select("rep", F.coalesce("to", "comp").alias("comp")), "labels")
+        freed(before, found)
 
 
 def _crowded(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,7 +239,7 @@ def _crowded(members: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(sizes.where("comps > 1").select("bucket", (-F.col("c")).alias("main")), "bucket")
 
 
-def _rest(crowded: DataFrame, full: DataFrame, width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+def _rest(crowded: DataFrame, full: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """Links (a, b) between components of a bucket, one for each member outside the main component and component it meets."""
     rows = crowded.withColumn("minor", F.col("comp") != F.col("main")).join(full, "rep")
     parts = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
@@ -201,7 +247,7 @@ def _rest(crowded: DataFrame, full: DataFrame, width: int = SHINGLE, similar: in
     sizes = rows.groupBy("bucket").agg(parts(F.count("*"), F.sum("n_shingles")).alias("xs"), parts(F.sum(mine), F.sum(mine * F.col("n_shingles"))).alias("ys"))
     rows = rows.join(sizes, "bucket")
     place = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
-    own = ["bucket", "band", "rep", "comp", "sketch", "text"]
+    own = ["bucket", "band", "rep", "comp", "sketch", "set"]
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     all_ = rows.select(*own, "n_shingles", F.lit(False).alias("asks"), place(F.col("xs"), 3).alias("x"), spread("ys").alias("y"))
     asks = rows.where("minor").select(*own, "n_shingles", F.lit(True).alias("asks"), spread("xs").alias("x"), place(F.col("ys"), 5).alias("y"))
@@ -209,14 +255,10 @@ def _rest(crowded: DataFrame, full: DataFrame, width: int = SHINGLE, similar: in
     def search(group: pa.Table) -> pa.Table:
         ask, band = np.asarray(group.column("asks")), group.column("band")[0].as_py()
         rep, comp, n, k = np.asarray(group.column("rep")), np.asarray(group.column("comp")), np.asarray(group.column("n_shingles")).astype(float), _registers(group.column("sketch"))
-        buckets, texts = bands(k), group.column("text")
-        sets: dict[int, np.ndarray] = {}
+        buckets, sets = bands(k), group.column("set")
 
         def set_of(i: int) -> np.ndarray:
-            if rep[i] not in sets:
-                raw, off, _ = text_bytes(texts.slice(i, 1))
-                sets[rep[i]] = shingles(raw, off, width)[0]
-            return sets[rep[i]]
+            return np.frombuffer(sets[i].as_py(), U64)
 
         has = np.flatnonzero(~ask)
         found = set()
@@ -248,45 +290,86 @@ def _similar(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
     return both > 0 and 100 * both >= similar * (len(a) + len(b) - both)
 
 
-def components(docs: DataFrame, text: str = "text", width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row, for shingles of `width` words and a threshold in percent."""
+def _linked(docs: DataFrame, text: str, width: int, similar: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (k1, k2, component: the smallest doc_id) of every class of sets."""
     prepare(docs.sparkSession)
-    docs = docs.select("doc_id", F.col(text).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = written(_signed(docs, width=width), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = written(full.join(classes, (full["doc_id"] == classes["rep"]) & (full["k1"] == classes["k1"]) & (full["k2"] == classes["k2"]), "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").dropDuplicates(["rep"]), "reps")
-    buckets = _buckets(reps)
+    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    # doc_ids of several rows, whose sets are linked through them
+    repeats = full.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("k1").alias("a1"), F.max("k1").alias("b1"), F.min("k2").alias("a2"), F.max("k2").alias("b2")).where("n > 1")
+    repeats = written(repeats.select("doc_id", ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))).alias("several")), "repeats")
+    by_id = None
+    if not repeats.where("several").isEmpty():
+        of = full.join(repeats.where("several"), "doc_id").select("doc_id", "k1", "k2").distinct().join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
+        by_id = written(of.join(of.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "by-id")
+
+    buckets = _buckets(classes)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("bucket", "first")
     members = written(buckets.join(shared, "bucket"), "members")  # bucket, band, rep, first
-    labels = written(members.select("rep").distinct().select("rep", F.col("rep").alias("comp")), "labels")
-    texts = docs.join(labels.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    texts = written(reps.join(texts.dropDuplicates(["rep"]), "rep"), "texts")
-
     # round one: the smallest member of all its buckets
-    pairs = members.where("first <> rep").groupBy("rep").agg(F.min("first").alias("a")).select("a", F.col("rep").alias("b"))
-    tested = written(_verified(pairs, texts, width, similar), "tested")
-    labels = _merged(labels, tested.where("linked").select("a", "b"))
+    centre = written(members.groupBy("rep").agg(F.min(F.when(F.col("first") != F.col("rep"), F.col("first"))).alias("a")), "centres")
+    salted = _salted(centre.where("a is not null").select("a", F.col("rep").alias("b"))).withColumnRenamed("b", "rep")
+    wanted = classes.join(centre.select("rep"), "rep").join(salted, "rep", "left")
+    sets = _with_sets(docs.join(wanted.withColumnRenamed("first", "doc_id"), "doc_id").drop("doc_id"), width)
+    sets = written(sets if repeats.isEmpty() else sets.dropDuplicates(["rep"]), "sets")  # rep, n_shingles, sketch, a, salt, set
+    labels = centre.select("rep")
+    if by_id is not None:
+        labels = labels.unionByName(by_id.select(F.col("a").alias("rep"))).unionByName(by_id.select(F.col("b").alias("rep"))).distinct()
+    labels = written(labels.select("rep", F.col("rep").alias("comp")), "labels")
+    tested = written(_verified(sets.where("a is not null"), sets.drop("a", "salt"), similar), "tested")
+    links = tested.where("linked").select("a", "b")
+    labels = _merged(labels, links if by_id is None else links.unionByName(by_id))
+    sets_of, members_of = sets, members
+    sets, members = sets.drop("a", "salt"), members.select("bucket", "band", "rep")
     # round two: one member of the largest component of each bucket that is still open
-    members = members.select("bucket", "band", "rep")
-    crowded = _crowded(members, labels)
-    drawn = crowded.where("comp = main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep"))["rep"].alias("one"))
-    pairs = crowded.where("comp <> main").join(drawn, "bucket").select(F.least("one", "rep").alias("a"), F.greatest("one", "rep").alias("b")).distinct()
-    links = written(_verified(pairs.join(tested, ["a", "b"], "left_anti"), texts, width, similar).where("linked").select("a", "b"), "links")
-    labels = _merged(labels, links)
-    # the rest, exhaustively
-    links = written(_rest(_crowded(members, labels), texts, width, similar).distinct(), "links")
-    labels = _merged(labels, links)
-    by_class = classes.join(labels, "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("found"))
+    crowded = written(_crowded(members, labels), "crowded")
+    if not crowded.isEmpty():
+        drawn = crowded.where("comp = main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep"))["rep"].alias("one"))
+        pairs = crowded.where("comp <> main").join(drawn, "bucket").select(F.least("one", "rep").alias("a"), F.greatest("one", "rep").alias("b")).distinct()
+        pairs = _salted(pairs.join(tested, ["a", "b"], "left_anti")).withColumnRenamed("b", "rep")
+        links = written(_verified(pairs.join(sets, "rep"), sets, similar).where("linked").select("a", "b"), "links")
+        labels = _merged(labels, links)
+        freed(links)
+        # the rest, exhaustively
+        left = written(_crowded(members, labels), "crowded")
+        if not left.isEmpty():
+            links = written(_rest(left, sets, similar).distinct(), "links")
+            labels = _merged(labels, links)
+            freed(links)
+        freed(left)
+    freed(crowded, tested, members_of, sets_of, centre, repeats, *([] if by_id is None else [by_id]))
+    by_class = written(classes.select("k1", "k2", "first", "rep").join(labels, "rep", "left").select("k1", "k2", "first", F.coalesce("comp", "rep").alias("comp")), "by-class")
+    freed(classes, labels)
+    least = by_class.groupBy("comp").agg(F.min("first").alias("component"))
+    return signed, by_class.join(least, "comp").select("k1", "k2", "component")
+
+
+def components(docs: DataFrame, text: str = "text", width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row, for shingles of `width` words and a threshold in percent."""
+    signed, by_class = _linked(docs, text, width, similar)
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"), "k2").join(by_class, ["k1", "k2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """The documents that stay, one of each component, with the columns they came with."""
-    gone = components(docs, width=width, similar=similar).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def deduplicate(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILAR, text: str = "text") -> DataFrame:
+    """The documents that stay, one row of each component, with the columns they came with.
+
+    Of rows that repeat the doc_id that stays, the one of the smallest text, and then the smallest as JSON, is taken; rows
+    without words or doc_id all stay."""
+    found = written(components(docs, text, width, similar), "components")
+    gone = found.where("not kept").select("doc_id").distinct()
+    twice = written(found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "twice")
+    stay = carried(docs, F.col("doc_id").cast("bigint").alias("_id"), F.col(text).alias("_text")).join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left_anti")
+    if not twice.isEmpty():
+        worded = F.col("_text").rlike(r"[^ \t-\r]")
+        marked = stay.join(twice.withColumn("_twice", F.lit(True)), "_id", "left").withColumn("_twice", F.coalesce(F.col("_twice") & worded, F.lit(False)))
+        one = marked.where("_twice").groupBy("_id").agg(F.min_by("row", F.struct("_text", F.to_json("row"))).alias("row"))
+        stay = marked.where("not _twice").select("row").unionByName(one.select("row"))
+    return stay.select("row.*")
 
 
 OP10_SQL = r"""
