@@ -54,10 +54,37 @@ def test_longest_match(spark):
     assert [tuple(m) for m in found] == [(7, 0, 1, 4)]
 
 
-def test_keeps_columns_and_empty_tables(spark):
-    docs = spark.createDataFrame([(1, "clean text", 5, "q"), (2, "only this passage here", 6, "r")], "doc_id bigint, text string, n_hit int, n_words string")
+def test_keeps_columns_that_clash(spark):
+    own = "doc_id bigint, text string, n_hit int, n_words string, matches string, row int, contaminated boolean, items_sha256 string, n_items int"
+    rows = [(1, "clean text", 5, "q", "m", 1, True, "z", 3), (2, "only this passage here", 6, "r", "n", 2, False, "y", 4), (None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, own)
     bench = spark.createDataFrame([(1, "only this passage here")], "item_id bigint, text string")
-    kept = decontaminate.decontaminate(docs.withColumnRenamed("n_words", "other"), bench)
-    assert kept.columns == ["doc_id", "text", "n_hit", "other"] and [r["doc_id"] for r in kept.collect()] == [1]
-    assert decontaminate.decontaminate(docs.limit(0).withColumnRenamed("n_words", "other"), bench).count() == 0
-    assert decontaminate.decontaminate(docs.withColumnRenamed("n_words", "other"), bench.limit(0)).count() == 2
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.schema == docs.schema and {tuple(r) for r in kept.collect()} == {rows[0], rows[2]}
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+    assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 3
+    got = decontaminate.matches(docs, bench, keep=("doc_id", "n_hit", "matches")).where("doc_id = 2").first()
+    assert got["n_hit"] == 6 and len(got["matches"]) == 1
+
+
+def test_long_texts_and_shared_windows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(30_000)}" for _ in range(n))
+    passage = say(40)
+    items = [(i, f"{say(i % 5)} {passage} {say(3)}") for i in range(60)] + [(100, "the " * 30), (101, "the " * 40)] + [(7, say(20))]
+    long = f"{say(120_000)} {passage} {say(100)} {passage} {'the ' * 50} {say(80_000)}"
+    docs = [(1, long), (2, passage), (3, "the " * 45), (4, say(50)), (4, say(60))]
+    got = decontaminate.judged(decontaminate.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=4000)).collect()
+    one = {r["doc_id"]: r for r in got}
+    assert len(got) == 5 and one[1]["n_words"] == len(_words(long)) and one[1]["n_items"] == 62 and one[1]["n_hit"] == 40 + 40 + 50
+    assert (one[2]["n_hit"], one[2]["n_items"], one[2]["contaminated"]) == (40, 60, True) and one[3]["n_hit"] == 45
+    assert max(m["n_words"] for m in one[3]["matches"]) == 40 and {m["n_words"] for m in one[2]["matches"]} == {40}
+
+
+def test_index_stays_near_the_text_s_size():
+    rng = random.Random(6)
+    texts = [" ".join(f"word{rng.randrange(10**6)}" for _ in range(1000)) for _ in range(200)]
+    size = sum(map(len, texts))
+    index = decontaminate.Suffixes(list(range(200)), texts)
+    assert index.nbytes < 4 * size + (1 << 20)
