@@ -151,13 +151,55 @@ def test_no_format_stops_the_job(spark):
 
 
 def test_anonymise_rows(spark):
-    df = spark.createDataFrame([(1, None, 3), (2, "", 3), (3, "mail a@x.com", 3), (3, "mail a@x.com", 3), (4, "b@x.com", 4)], "doc_id bigint, text string, _later_ int")
-    got = sorted(pii.anonymise(df, block=1).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
-    assert got[0]["text"] is None and got[1]["text"] == "" and got[2]["text"] == got[3]["text"] != "mail a@x.com"
-    assert not {"a@x.com", "b@x.com"} & {s["surrogate"] for r in got for s in r["entities"]}
+    rows = [(1, None, 3), (2, "", 3), (3, "mail a@x.com", 3), (3, "mail a@x.com", 3), (4, "b@x.com", 4), (5, None, None), (None, "c@x.com " * 30_000, 5)]
+    rows += [(10 + i, f"{c}@y.com and {c}@x.com", 6) for i, c in enumerate("abcdefghijklmnopq")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, entities int").select("*", F.lit("l").alias("later"), F.lit(1).alias("row"), F.col("doc_id").alias("_later"))
+    made = []
+    for block in (pii.BLOCK, 2):  # surrogates of later attempts sent, and joined
+        out = pii.anonymise(df, b"k", block=block, spans="found")
+        assert out.columns == [*df.columns, "found"]
+        got = sorted(out.collect(), key=lambda r: (r["doc_id"] or 0, r["text"] or ""))
+        made.append([tuple(r) for r in got])
+        by = {r["doc_id"]: r for r in got}
+        assert by[1]["text"] is None and by[2]["text"] == "" and by[3]["text"] != "mail a@x.com" and by[1]["entities"] == 3 and by[5]["_later"] == 5 and by[4]["later"] == "l"
+        assert len({r["text"] for r in got if r["doc_id"] == 3}) == 1 and len(by[None]["found"]) == 30_000
+        assert not {f"{c}@{d}.com" for c in "abcdefghijklmnopq" for d in "xy"} & {s["surrogate"] for r in got for s in r["found"]}
+    assert made[0] == made[1]
+    assert pii.anonymise(df, spans=None).columns == df.columns
     assert pii.anonymise(df.limit(0)).count() == 0
 
 
+def test_surrogates_against_a_dictionary(spark):
+    """One pass over a list, text by text: every entity keeps one surrogate, none is an entity, and no two share one."""
+    kinds = [f"{c}@example.com" for c in "abcdefghijklmnop"] + [f"10.0.{i // 250}.{i % 250}" for i in range(400)] + [f"{c}{d}@z.org" for c in "abcdefgh" for d in "0123456789"] + ["Frau Öß", "Herr Åå", "Mr. Հայկ", "Mr. Şü", "Mr. Li"] + ["Mr. " + a + b for a in "BCDFGHKLMNPRSTVW" for b in "aeiou"]
+    texts = [f"first {k} and {kinds[(i * 7) % len(kinds)]}; {k} again" for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    real = {x[2:] for t in texts for x in pii.detect(t)}
+    known: dict = {}
+    for r in pii.anonymise(df, b"k").collect():
+        text, done = texts[r["doc_id"]], 0
+        out = []
+        assert len(r["entities"]) == len(pii.detect(text))
+        for (a, b, kind, norm), e in zip(pii.detect(text), r["entities"]):
+            assert (e["start"], e["end"], e["kind"]) == (a, b, kind)
+            assert known.setdefault((kind, norm), e["surrogate"].lower()) == e["surrogate"].lower()
+            out += [text[done:a], e["surrogate"]]
+            done = b
+        assert "".join(out) + text[done:] == r["text"]
+    assert set(known) == real and len({(k, v) for (k, _), v in known.items()}) == len(known)
+    assert not {(k, v) for (k, _), v in known.items()} & {(k, n) for k, n in real}
+
+
+def test_key_of_the_session(spark):
+    assert pii.session_key(spark) == pii._OWN_KEY
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.session_key(spark) == b"mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert pii.surrogate("card", "4429526289707589", b"mine") != pii.surrogate("card", "4429526289707589", b"other")
+
+
 def test_mixing_meets_targets(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")

@@ -11,11 +11,13 @@ The corpus-wide collision check works on the table of distinct entities: a surro
 corpus, or that two entities share, is drawn anew with the next attempt. What still collides after some draws is given the
 free values of its format one by one, in keyed order; where a format has no free value, or is too large to be listed, and
 where its characters belong to no alphabet, a keyed token of a wider format stands in. Only entities of later attempts are
-sent to the workers that replace, in blocks of a bounded size.
+sent to the workers that replace, up to `BLOCK` of them; more are joined to the texts that hold them.
 
 Defined results: a null text stays null without entities; an empty or clean text stays as it is; overlapping finds count
-once, the earlier and longer first. The key decides all surrogates; the same key gives the same ones in any run over the same
-corpus.
+once, the earlier and longer first; repeated rows are written alike; a very long text is read whole, by one task. The key
+decides all surrogates; the same key gives the same ones in any run over the same corpus. It is the caller's, or the session's
+(`spark.tidewarp.surrogate.key`); where neither gives one, each program draws its own, which nobody else has. Columns stay as
+they came, whatever their names, but for the text and the column that the spans are asked under.
 """
 
 from __future__ import annotations
@@ -23,21 +25,24 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..tables import freed
 from .common import prepare, table, written
 
-#: Entities of later attempts that one block sent to the workers holds.
+#: Entities of later attempts that are broadcast, at most.
 BLOCK = 100_000
-#: Steps along a permutation's cycle until a form is valid; a form that is its own image is left to the collision check.
+#: Steps along a permutation's cycle until a form is valid; where none of them is, the next attempt draws again.
 WALK = 400
 #: Formats of up to so many values are listed; draws from here on are tokens.
 LISTED, WIDE = 1 << 24, 1_000
-KEY = b"tidewarp surrogate key: replace it"
+KEY_SETTING = "spark.tidewarp.surrogate.key"
+_OWN_KEY = secrets.token_bytes(32)
 
 _EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
 _IP = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)")
@@ -165,8 +170,9 @@ def _size(alphabets: list[str]) -> int:
     return functools.reduce(lambda n, a: n * (len(a) or 1), alphabets, 1)
 
 
-def _spell(text: str, alphabets: list[str], key: bytes, tweak: str, valid=lambda s: True) -> str:
-    """Permute the characters at the places that have an alphabet; the others stay. Walks on while the result is not valid."""
+def _spell(text: str, alphabets: list[str], key: bytes, tweak: str, valid=lambda s: True) -> str | None:
+    """Permute the characters at the places that have an alphabet; the others stay. Walks on while the result is not valid;
+    None if no step of the walk gives a valid one."""
     size, x = _size(alphabets), 0
     for c, own in zip(text, alphabets, strict=True):
         if own:
@@ -177,7 +183,7 @@ def _spell(text: str, alphabets: list[str], key: bytes, tweak: str, valid=lambda
         made = _decoded(text, alphabets, x)
         if valid(made):
             return made
-    return made
+    return None
 
 
 @functools.cache
@@ -255,7 +261,7 @@ def _token(kind: str, norm: str, key: bytes, tweak: str) -> str:
 
 
 @functools.lru_cache(maxsize=20_000)
-def surrogate(kind: str, norm: str, key: bytes = KEY, attempt: int = 0) -> str:
+def surrogate(kind: str, norm: str, key: bytes = _OWN_KEY, attempt: int = 0) -> str:
     """The normal form of the entity's surrogate."""
     tweak = f"{kind}|{attempt}"
     if attempt >= WIDE:
@@ -268,8 +274,8 @@ def surrogate(kind: str, norm: str, key: bytes = KEY, attempt: int = 0) -> str:
             low = permute(low, 2**free, key, f"{tweak}|{value >> free}")
             made = ".".join(map(str, ((value >> free << free) + low).to_bytes(4)))
             if _range(made) == _range(norm) and made != norm:
-                break
-        return made
+                return made
+        return norm
     gender = kind.partition("-")[2]
     if kind.startswith("given"):
         for (_script, g), pool in NAMES.items():
@@ -277,7 +283,9 @@ def surrogate(kind: str, norm: str, key: bytes = KEY, attempt: int = 0) -> str:
                 return _pooled(pool, norm, key, f"{tweak}|{g}")
     before, body, alphabets, after, valid = _form(kind, norm)
     made = _spell(body, alphabets, key, tweak + (before if kind == "iban" else after), valid)
-    return _token(kind, norm, key, tweak) if _size(alphabets) == 1 else _whole(kind, before, made, after)
+    if made is None:  # nothing valid on this walk: the entity itself, which the collision check draws again
+        return _token(kind, norm, key, tweak) if _size(alphabets) == 1 or kind.startswith("given") else norm
+    return _whole(kind, before, made, after)
 
 
 def _format(kind: str, norm: str) -> tuple[str, int]:
@@ -340,7 +348,7 @@ def render(kind: str, original: str, norm: str, made: str) -> str:
     return made
 
 
-def replace(text: str | None, key: bytes = KEY, later: dict[tuple[str, str], str] | None = None) -> tuple[str | None, list[dict]]:
+def replace(text: str | None, key: bytes = _OWN_KEY, later: dict[tuple[str, str], str] | None = None) -> tuple[str | None, list[dict]]:
     """The text with surrogates, and the entities (kind, places in the given text, surrogate as written)."""
     if not text:
         return text, []
@@ -374,7 +382,7 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
     return rows.mapInArrow(run, "kind string, norm string, attempt int, made string")
 
 
-def assign(found: DataFrame, key: bytes = KEY, attempts: int = 12) -> DataFrame:
+def assign(found: DataFrame, key: bytes, attempts: int = 12) -> DataFrame:
     """kind, norm, attempt, made: a surrogate for every distinct entity that is no entity of the corpus and no other's
     surrogate. Given names come from pools and may name another person of the corpus, but never two the same."""
     found = written(found, "entities")
@@ -404,7 +412,9 @@ def _clashes(made: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _redrawn(made: DataFrame, clash: DataFrame, again: DataFrame) -> DataFrame:
-    return written(made.join(clash, ["kind", "norm"], "left_anti").select("kind", "norm", "attempt", "made").unionByName(again), "surrogates")
+    out = written(made.join(clash, ["kind", "norm"], "left_anti").select("kind", "norm", "attempt", "made").unionByName(again), "surrogates")
+    freed(made, clash)
+    return out
 
 
 def _listed(clash: DataFrame, kept: DataFrame, found: DataFrame, key: bytes) -> DataFrame:
@@ -432,43 +442,56 @@ def _listed(clash: DataFrame, kept: DataFrame, found: DataFrame, key: bytes) ->
     return mine.join(free.select("format", "made", place(F.col("made"))), ["format", "place"], "left").select("kind", "norm", F.lit(WIDE).alias("attempt"), "made")
 
 
-def anonymise(docs: DataFrame, key: bytes = KEY, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """All columns, with surrogates in the text, and `entities`: kind, start and end in the given text, surrogate."""
-    made = assign(entities(docs, text), key)
-    blocks: list[dict[tuple[str, str], str]] = [{}]
-    for r in made.where("attempt > 0").select("kind", "norm", "made").toLocalIterator():
-        if len(blocks[-1]) >= block:
-            blocks.append({})
-        blocks[-1][r["kind"], r["norm"]] = r["made"]
-    kind = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
-    later = "map<string,string>"
-    out = docs.withColumns({"entities": F.lit(None).cast(kind), "_later": F.lit(None).cast(later)})
-    spark = docs.sparkSession
-    for i, own in enumerate(blocks):  # the last block's pass also replaces; earlier ones note what they know
-        sent = spark.sparkContext.broadcast(own)
-        out = out.mapInArrow(_replacer(sent, key, text, i == len(blocks) - 1), out.schema)
-    return out.drop("_later")
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session sets, or this program's own."""
+    found = spark.conf.get(KEY_SETTING, None)
+    return found.encode() if found else _OWN_KEY
 
 
-def _replacer(sent, key: bytes, text: str, last: bool):
+SPANS = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
+
+
+def anonymise(docs: DataFrame, key: bytes | None = None, text: str = "text", block: int = BLOCK, spans: str | None = "entities") -> DataFrame:
+    """All columns, with surrogates in the text, and under the name `spans` (if any) the entities: kind, start and end in the
+    given text, surrogate."""
+    spark = docs.sparkSession
+    prepare(spark)
+    key = session_key(spark) if key is None else key
+    later = written(assign(entities(docs, text), key).where("attempt > 0").select("kind", "norm", "made"), "later")
+    few = later.limit(block + 1).collect()  # bounded by `block`
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"), F.lit(None).cast("map<string,string>").alias("later"))
+    if len(few) <= block:
+        known = {(r["kind"], r["norm"]): r["made"] for r in few}
+    else:
+        known, rows = {}, _with_later(rows, later)
+    sent = spark.sparkContext.broadcast(known)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
         for batch in batches:
-            names = batch.schema.names
-            texts, later = batch.column(names.index(text)).to_pylist(), batch.column(names.index("_later")).to_pylist()
-            columns = {n: batch.column(n) for n in names}
-            if last:
-                done = []
-                for t, more in zip(texts, later, strict=True):
-                    known = sent.value if not more else sent.value | {tuple(k.split("\0", 1)): v for k, v in more}
-                    done.append(replace(t, key, known))
-                columns[text] = pa.array([t for t, _ in done], batch.schema.field(text).type)
-                columns["entities"] = pa.array([s for _, s in done], batch.schema.field("entities").type)
-            else:
-                notes = [[*(m or []), *((f"{k}\0{n}", sent.value[k, n]) for k, n in {x[2:] for x in detect(t or "")} if (k, n) in sent.value)] for t, m in zip(texts, later, strict=True)]
-                columns["_later"] = pa.array(notes, batch.schema.field("_later").type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+            done = []
+            for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                done.append(replace(t, key, {tuple(k.split("\0", 1)): v for k, v in own} if own else sent.value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([s for _, s in done], kind)], names=["row", "text", "spans"])
+
+    out = rows.mapInArrow(run, rows.select("row", "text", F.lit(None).cast(SPANS).alias("spans")).schema)
+    columns = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c != spans]
+    return out.select(*columns, *([F.col("spans").alias(spans)] if spans else []))
 
-    return run
+
+def _with_later(rows: DataFrame, later: DataFrame) -> DataFrame:
+    """rows, each with the surrogates of later attempts that its text needs: joined by entity, gathered for each text."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [[{"kind": k, "norm": n} for k, n in sorted({x[2:] for x in detect(t or "")})] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.struct([("kind", pa.string()), ("norm", pa.string())])))], names=["row", "text", "has"])
+
+    schema = rows.select("row", "text", F.lit(None).cast("array<struct<kind:string,norm:string>>").alias("has")).schema
+    rows = written(rows.select("row", "text").mapInArrow(found, schema).withColumn("at", F.monotonically_increasing_id()), "found")
+    each = rows.select("at", F.explode("has").alias("x")).select("at", "x.*").join(later, ["kind", "norm"])
+    own = each.groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\0"), "norm"), "made"))).alias("later"))  # of one text
+    return rows.join(own, "at", "left").select("row", "text", "later")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
