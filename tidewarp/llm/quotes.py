@@ -9,20 +9,26 @@ where level one has none. A nested passage names what the message of the passage
 shows no reply itself, its thread goes on there. A thread is the messages that reply to one another inside a conversation;
 (thread, turn) puts a conversation in reply order, parents first.
 
-Joins are on hashes against one row per hash and conversation, or one per hash, so that a text which a third of all
-messages share makes no pairs; skewed sides are left to adaptive splitting. Threads are found by pointer doubling.
+Joins are on hashes against one row per hash, conversation and turn, or one per hash, so that a text which a third of all
+messages share makes no pairs; skewed sides are left to adaptive splitting. The latest earlier turn is found in runs of `TURNS`
+turns of a conversation, then over the runs, so that a conversation that repeats one line over and over fills no window.
+Threads are found by pointer doubling. A message's lines are gone through once.
 
 Defined results: a null text has no quotes and stays null; a text of quotes only has an empty own text; attribution lines
-(ending in a colon, right before a quote) count as part of the quote; blank passages are not looked up; a null conv_id or
-turn never links and is its own thread; messages that repeat conv_id and turn share the thread of the turn.
+(ending in a colon, right before a quote) count as part of the quote; blank passages are not looked up; a message with
+a null conv_id or turn is nobody's original and its own thread, and may be linked to what it quotes; messages that repeat conv_id and turn share the thread of the turn. Other columns
+than conv_id, turn, role and text are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..tables import freed
 from .common import table, written
 
+#: Turns of a conversation whose originals and quotes of one hash meet in a window.
+TURNS = 4096
 _MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 # Words before the colon of an attribution line.
 _ATTRIBUTION = r"(?i)\b(wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
@@ -46,30 +52,27 @@ def _with_passages(messages: DataFrame) -> DataFrame:
             F.regexp_replace(x, _MARKS, "").alias("text"),
         ),
     )
-    # A line carries the level of the line before it where that differs, so that runs can be cut apart.
     df = messages.withColumn("_lines", marked)
     n = F.size("_lines")
     introduced = lambda x, i: (x["level"] == 0) & x["text"].rlike(_ATTRIBUTION) & (i < n - 1) & (F.get(F.col("_lines"), i + 1)["level"] > 0)
     df = df.withColumn("_kept", F.transform("_lines", lambda x, i: F.struct(x["level"].alias("level"), x["text"].alias("text"), introduced(x, i).alias("intro"))))
     own = F.filter("_kept", lambda x: (x["level"] == 0) & ~x["intro"])
-    clean = F.regexp_replace(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["text"]), "\n"), r"^\n+|\n+$", ""), r"\n{3,}", "\n\n")
-    quoted = F.filter("_kept", lambda x: ~x["intro"])
-    # A run of quoted lines of one level becomes one string: breaks are marked with a control character that no text has
-    # after this replacement.
-    flat = F.array_join(
-        F.transform(quoted, lambda x: F.concat(F.lpad(x["level"].cast("string"), 9, "0"), F.translate(x["text"], "\x1e\x1f", ""))), "\x1e"
-    )
-    joined = F.regexp_replace(flat, "(?<=^|\x1e)(\\d{9})([^\x1e]*)", "$1\x1f$2")
-    runs = F.aggregate(
-        F.split(joined, "\x1e"), F.array().cast("array<struct<level:int,text:string>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["level"] == F.substring(x, 1, 9).cast("int")),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.get(acc, F.size(acc) - 1)["level"].alias("level"), F.concat(F.get(acc, F.size(acc) - 1)["text"], F.lit("\n"), F.substring_index(x, "\x1f", -1)).alias("text")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(F.substring(x, 1, 9).cast("int").alias("level"), F.substring_index(x, "\x1f", -1).alias("text"))))),
-    )
-    has = F.exists("_lines", lambda x: x["level"] > 0)
-    passages = F.when(has, F.filter(runs, lambda x: (x["level"] > 0) & (F.trim(x["text"]) != ""))).otherwise(F.array().cast("array<struct<level:int,text:string>>"))
-    return df.withColumn("clean", F.when(has, clean).otherwise(F.col("text"))).withColumn("passages", passages).drop("_lines", "_kept")
+    # a run of lines of one level is a passage: where runs begin, and what lies between two beginnings
+    df = df.withColumn("_own", own).withColumn("_quoted", F.filter("_kept", lambda x: ~x["intro"])).withColumn("_has", F.exists("_lines", lambda x: x["level"] > 0))
+    none = F.array().cast("array<struct<level:int,text:string>>")
+    size = F.size("_quoted")
+    places = F.when(F.col("_has") & (size > 0), F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_starts", F.filter(places, lambda i: (i == 0) | (F.get(F.col("_quoted"), i)["level"] != F.get(F.col("_quoted"), i - 1)["level"])))
+
+    def passage(start: Column, k: Column) -> Column:
+        lines = F.slice(F.col("_quoted"), start + 1, F.coalesce(F.get(F.col("_starts"), k + 1), size) - start)
+        return F.struct(F.get(F.col("_quoted"), start)["level"].alias("level"), F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
+
+    runs = F.transform(F.filter("_starts", lambda i: F.lit(True)), passage)
+    passages = F.filter(runs, lambda x: (x["level"] > 0) & (F.trim(x["text"]) != ""))
+    clean = F.regexp_replace(F.regexp_replace(F.array_join(F.transform("_own", lambda x: x["text"]), "\n"), r"^\n+|\n+$", ""), r"\n{3,}", "\n\n")
+    df = df.withColumn("clean", F.when(F.col("_has"), clean).otherwise(F.col("text"))).withColumn("passages", F.when(F.col("_has"), passages).otherwise(none))
+    return df.drop("_lines", "_kept", "_own", "_quoted", "_has", "_starts")
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -102,18 +105,21 @@ def link(messages: DataFrame) -> DataFrame:
         .join(asked, "key", "left_semi").groupBy("key", "conv_id", "turn").agg(F.count("*").alias("n"))
     )
     originals = written(originals, "originals")
-    # the latest earlier turn of the own conversation: running maximum over originals and quotes of one key and conversation
-    events = originals.select("key", "conv_id", "turn", F.lit(0).alias("asks"), F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast("int").alias("place")).unionByName(
-        quotes.where("conv_id is not null and turn is not null").select("key", "conv_id", "turn", F.lit(-1).alias("asks"), "_id", "place")
-    )
-    before = Window.partitionBy("key", "conv_id").orderBy("turn", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = events.withColumn("found", F.max(F.when(F.col("asks") == 0, F.col("turn"))).over(before)).where("asks = -1 and found is not null").select("_id", "place", "key", F.col("conv_id").alias("near_conv"), F.col("found").alias("near_turn"))
+    # the latest earlier turn of the own conversation: running maximum over the originals of a run of turns, then over runs
+    asks = quotes.where("conv_id is not null and turn is not null").select("key", "conv_id", "turn").distinct()
+    events = originals.select("key", "conv_id", "turn", F.lit(0).alias("asks")).unionByName(asks.withColumn("asks", F.lit(-1))).withColumn("run", F.floor(F.col("turn") / TURNS))
+    original = F.when(F.col("asks") == 0, F.col("turn"))
+    inside = F.max(original).over(Window.partitionBy("key", "conv_id", "run").orderBy("turn", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    past = F.max("last").over(Window.partitionBy("key", "conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    before = events.groupBy("key", "conv_id", "run").agg(F.max(original).alias("last")).withColumn("past", past).where("past is not null").select("key", "conv_id", "run", "past")
+    near = events.withColumn("inside", inside).where("asks = -1").join(before, ["key", "conv_id", "run"], "left")
+    near = near.select("key", "conv_id", "turn", F.coalesce("inside", "past").alias("near_turn")).where("near_turn is not null")
     first = originals.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     # the original of every passage: by the whole passage before single lines, near before far, the latest near one, the first far one
     originals_of = (
-        quotes.select("_id", "place", "level", "line", "key", "conv_id", "turn").join(near, ["_id", "place", "key"], "left").join(first, "key", "left")
-        .withColumn("elsewhere", F.when(~((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn"))), F.col("first")))
-        .withColumn("to", F.coalesce(F.when(F.col("near_turn").isNotNull(), F.struct(F.lit(0).alias("far"), (-F.col("near_turn")).alias("rank"), F.col("near_conv").alias("conv_id"), F.col("near_turn").alias("turn"))), F.when(F.col("elsewhere").isNotNull(), F.struct(F.lit(1).alias("far"), F.lit(0).cast("bigint").alias("rank"), F.col("elsewhere.conv_id"), F.col("elsewhere.turn")))))
+        quotes.select("_id", "place", "level", "line", "key", "conv_id", "turn").join(near, ["key", "conv_id", "turn"], "left").join(first, "key", "left")
+        .withColumn("elsewhere", F.when(~F.coalesce((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn")), F.lit(False)), F.col("first")))
+        .withColumn("to", F.coalesce(F.when(F.col("near_turn").isNotNull(), F.struct(F.lit(0).alias("far"), (-F.col("near_turn")).alias("rank"), F.col("conv_id"), F.col("near_turn").alias("turn"))), F.when(F.col("elsewhere").isNotNull(), F.struct(F.lit(1).alias("far"), F.lit(0).cast("bigint").alias("rank"), F.col("elsewhere.conv_id"), F.col("elsewhere.turn")))))
         .where("to is not null").groupBy("_id", "place", "level").agg(F.min(F.struct("line", "to.far", "to.rank", "to.conv_id", "to.turn")).alias("to"))
     )
     originals_of = written(originals_of.select("_id", "place", "level", "to.line", "to.far", "to.conv_id", "to.turn"), "passages")
@@ -126,10 +132,12 @@ def link(messages: DataFrame) -> DataFrame:
     nested = outer.select("_id", F.explode(F.array(F.col("place") - 1, F.col("place") + 1)).alias("place"), (F.col("level") - 1).alias("level"), F.col("turn").alias("up"))
     above = outer.join(nested, ["_id", "place", "level"]).where("up < turn").groupBy("conv_id", "turn").agg(F.max("up").alias("up"))
     replies = replies.unionByName(above.join(replies, ["conv_id", "turn"], "left_anti"))
-    replies = written(replies, "replies")
+    replies = step = written(replies, "replies")
+    freed(originals, originals_of, quotes)
     while True:  # each pass doubles the way that a pointer goes up
         above = replies.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("higher"))
-        step = written(replies.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("higher", "up").alias("up"), F.col("higher").isNotNull().alias("moved")), "replies")
+        before, step = step, written(replies.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("higher", "up").alias("up"), F.col("higher").isNotNull().alias("moved")), "replies")
+        freed(before)
         replies = step.select("conv_id", "turn", "up")
         if step.where("moved").isEmpty():
             break
