@@ -102,6 +102,24 @@ def test_urls(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_urls_over_several_files(spark):
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "/en/x/", "block"), ("org", "", "block"), ("org", "/ok", "allow"), ("b.org", "", "allow"), ("net", "/", "allow"), ("net", "/de", "allow")]
+    urls = ["http://x.net/", "http://a.example.net/en/x/1", "http://a.example.net/en/y", "h://b.org", "h://b.org/ok" + "/x" * 100_000, "h://c.org/q", "h://net/de", None, "q", "h://" + "l." * 3000 + "net/"]
+    df = spark.createDataFrame([(i, u, "r", "h") for i, u in enumerate(urls)], "page_id bigint, url string, row string, host string")
+    want = []
+    for i, u in enumerate(urls):
+        h, p = urlfilter.host_path(u)
+        own = [(-len(a + b), a + b, v) for a, b, v in rules if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        want.append((i, min(own)[1:] if own else (None, "allow")))
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for given, most in ((rules, 1 << 20), (rules, 60), (table, 120)):
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(df, given, most=most).collect()}
+        assert sorted(got.items()) == want
+    assert {r["verdict"] for r in urlfilter.judge(df, []).collect()} == {"allow"}
+    kept = urlfilter.filter_pages(df, rules)
+    assert kept.schema == df.schema and {r["page_id"] for r in kept.collect()} == {i for i, (_, v) in want if v == "allow"}
+
+
 def test_url_collisions_are_confirmed():
     f = urlfilter.DigestFilter.mapped(urlfilter.digest_file([("a.com", "/x", "block")]))
     f.digests = np.array([urlfilter.xxhash.xxh64_intdigest("b.com\0/y")], np.uint64)  # another key under the digest

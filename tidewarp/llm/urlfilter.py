@@ -5,9 +5,13 @@ rule (characters of host and path together; ties to the smaller rule) gives the
 suffixes at label borders times its path prefixes of the lengths that rules have; every key's xxhash64 is looked up in
 the sorted digests by one vectorised search per batch, and a hit counts only if the stored rule equals the key.
 
+Rules are sent to the workers as digest files of a checked size, `MOST_BYTES`; a longer list takes several passes over the
+urls, one file after the other, each of which keeps the best rule so far: the longest rule wins over all files as over one.
+
 Defined results: a null url, or one without `://`, has an empty host and path and fits no rule; without a fitting rule
-the verdict is the filter's default. Repeated rows each get a result. Rules number far fewer than urls; their bytes are
-checked against `MOST_BYTES` before they are sent to the workers, and larger lists are taken from files by the worker's own map.
+the verdict is the filter's default. Repeated rows each get a result; of rules that repeat a host and path the smaller verdict
+counts; without rules all is the default. A very long url is looked up by as many keys as its host has labels times the
+rules' path lengths. Of columns named as the results are, the results' stay; `filter_pages` returns rows as they came.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare, table
+from .common import prepare, table, written
 
 #: Bytes of rules that one broadcast may hold.
-MOST_BYTES = 256 << 20
+MOST_BYTES = 64 << 20
 
 #: Fixed rules of the contract: host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -100,52 +104,77 @@ def keys_of(host: str, path: str, lengths: list[int]) -> list[tuple[str, str]]:
     return [(".".join(labels[i:]), path[:n]) for i in range(len(labels)) for n in lengths if n <= len(path)]
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | list = RULES, default: str = "allow", keep: tuple[str, ...] = ("page_id",), url: str = "url") -> DataFrame:
-    """keep, host, path, rule (host + path of the winning rule, else null) and verdict of every row."""
-    data = digest_file(list(rules))
-    if len(data) > MOST_BYTES:
-        raise ValueError(f"the rules take {len(data)} bytes; split them and judge in turn (bound: {MOST_BYTES})")
-    prepare(pages.sparkSession)
-    sent = pages.sparkSession.sparkContext.broadcast(data)
-    keep = tuple(c for c in keep if c not in ("host", "path", "rule", "verdict", url))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = DigestFilter.mapped(sent.value)
-        for batch in batches:
-            parts = [host_path(u) for u in batch.column(batch.schema.names.index(url)).to_pylist()]
-            keys, owner = [], []
-            for i, (h, p) in enumerate(parts):
-                own = keys_of(h, p, index.path_lengths)
-                keys += own
-                owner += [i] * len(own)
-            best: list[tuple | None] = [None] * len(parts)
-            for i, rule in zip(owner, index.probe(keys), strict=True):
-                if rule is not None:
-                    name = rule[0] + rule[1]
-                    rank = (-len(name), name, rule[2])
-                    if best[i] is None or rank < best[i]:
-                        best[i] = rank
-            columns = {c: batch.column(c) for c in keep}
-            columns["host"] = pa.array([h for h, _ in parts], pa.string())
-            columns["path"] = pa.array([p for _, p in parts], pa.string())
-            columns["rule"] = pa.array([b and b[1] for b in best], pa.string())
-            columns["verdict"] = pa.array([b[2] if b else default for b in best], pa.string())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    rows = pages.select(*keep, F.col(url))
-    kept = rows.drop(url)
-    for name in ("host", "path", "rule", "verdict"):
-        kept = kept.withColumn(name, F.lit("").cast("string"))
-    schema = kept.schema
-    for f in schema.fields:
-        f.nullable = True
-    return rows.mapInArrow(run, schema)
+def _files(rules, most: int) -> Iterator[bytes]:
+    """The rules (host, path, verdict), of a list or a DataFrame, as digest files of about `most` bytes each."""
+    own: list[tuple[str, str, str]] = []
+    size, made = 0, False
+    for h, p, v in rules.select("host", "path", "verdict").toLocalIterator() if isinstance(rules, DataFrame) else rules:
+        if own and size + len(h) + len(p) + len(v) + 40 > most:
+            yield digest_file(own)
+            own, size, made = [], 0, True
+        own.append((h, p, v))
+        size += len(h.encode()) + len(p.encode()) + len(v.encode()) + 40
+    if own or not made:
+        yield digest_file(own)
+
+
+def _best(parts: list[tuple[str, str]], index: DigestFilter, best: list[tuple | None]) -> list[tuple | None]:
+    """The best rule of each (host, path), of the index and of the ones known before: (-length, name, verdict)."""
+    keys, owner = [], []
+    for i, (h, p) in enumerate(parts):
+        own = keys_of(h, p, index.path_lengths)
+        keys += own
+        owner += [i] * len(own)
+    for i, rule in zip(owner, index.probe(keys), strict=True):
+        if rule is not None:
+            name = rule[0] + rule[1]
+            rank = (-len(name), name, rule[2])
+            if best[i] is None or rank < best[i]:
+                best[i] = rank
+    return best
+
+
+def _judged(pages: DataFrame, rules, default: str, keep: list[str], url: str, most: int) -> DataFrame:
+    """row (the columns to keep), url, host, path, rule, verdict of every page."""
+    spark = pages.sparkSession
+    prepare(spark)
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(0).alias("_"))
+    none = F.lit(None).cast("string")
+    out = pages.select(kept.alias("row"), F.col(url).cast("string").alias("url"), none.alias("host"), none.alias("path"), none.alias("rule"), none.alias("verdict"))
+
+    def searcher(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = DigestFilter.mapped(sent.value)
+            for batch in batches:
+                parts = [host_path(u) for u in batch.column(1).to_pylist()]
+                known = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+                best = _best(parts, index, [None if r is None else (-len(r), r, v) for r, v in known])
+                columns = [[h for h, _ in parts], [p for _, p in parts], [b and b[1] for b in best], [b[2] if b else default for b in best]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in columns)], names=["row", "url", "host", "path", "rule", "verdict"])
+
+        return run
+
+    before = None
+    for data in _files(rules, most):
+        if before is not None:  # another file: the one before is done with
+            out = written(out, "judged")
+            before.destroy()
+        before = spark.sparkContext.broadcast(data)
+        out = out.mapInArrow(searcher(before), out.schema)
+    return out
+
+
+def judge(pages: DataFrame, rules=RULES, default: str = "allow", keep: tuple[str, ...] = ("page_id",), url: str = "url", most: int = MOST_BYTES) -> DataFrame:
+    """keep, host, path, rule (host + path of the winning rule, else null) and verdict of every row.
+
+    rules: (host, path, verdict) as a list or a DataFrame."""
+    keep = tuple(c for c in keep if c not in ("host", "path", "rule", "verdict"))
+    return _judged(pages, rules, default, list(keep), url, most).select(*(F.col(f"row.`{c}`") for c in keep), "host", "path", "rule", "verdict")
 
 
 def filter_pages(pages: DataFrame, rules=RULES, default: str = "allow", url: str = "url") -> DataFrame:
     """The pages whose url is allowed, with the columns they came with."""
-    judged = judge(pages.withColumn("_row", F.struct(*pages.columns)), rules, default, ("_row",), url)
-    return judged.where("verdict = 'allow'").select("_row.*")
+    return _judged(pages, rules, default, pages.columns, url, MOST_BYTES).where("verdict = 'allow'").select("row.*")
 
 
 OP9_SQL = r"""
