@@ -1,7 +1,9 @@
 """The training-corpus pipeline: STAGES over `documents`, each written as Parquet and read again by the next.
 
-Every stage works on all documents that its predecessor kept, in whole texts, and returns the columns it was given; the
-last one adds each document's mixing rate. Nulls, empty texts, ties and repeated rows are as in the stages' operators.
+Every stage works on all documents that its predecessor kept, in whole texts, and returns the columns it was given, whatever
+their names; the last one adds each document's n_tokens, domain, posterior and rate, which replace columns of those names.
+Needed are doc_id and text; lang names the domains, n_chars is brought up to date where there is one. An empty table gives an
+empty one; nulls, empty texts, ties and repeated rows are as in the stages' operators.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by surrogates; n_chars counts the new text."""
-    out = pii.anonymise(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, personal data replaced by surrogates; n_chars, if there is one, counts the new text."""
+    out = pii.anonymise(docs, spans=None)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
