@@ -135,7 +135,7 @@ def test_partition(small):
 def test_stages_and_transfers(spark, small):
     st_, moves = small.staged
     assert st_.count() == small.works.count() == st_.select("batch_id", "work_id").distinct().count()
-    assert moves.where("stage = 0 or src = dst").isEmpty() and schedule.matched(moves).isEmpty()
+    assert moves.where("stage = 0 or src = dst").isEmpty()
     # every input that a work reads is at home there or has arrived by its stage
     home = small.placed[1].where("is_input = 1").select("batch_id", "data_id", "device", F.lit(-1).alias("since"))
     have = home.unionByName(moves.select("batch_id", "data_id", F.col("dst").alias("device"), F.col("stage").alias("since"))).groupBy("batch_id", "data_id", "device").agg(F.min("since").alias("since"))
@@ -143,6 +143,32 @@ def test_stages_and_transfers(spark, small):
     assert need.join(have, ["batch_id", "data_id", "device"], "left").where("since is null or since > stage").isEmpty()
 
 
+def test_both_ends_keep_to_their_share(spark):
+    # two devices on two nodes; each work of device 4 needs two blocks of device 0, which go together
+    plan = Plan()
+    works = [(0, w, 10.0 - w, 100 + 2 * w, 101 + 2 * w) for w in range(6)]
+    w = spark.createDataFrame([(b, i, c, q, k, 500 + i, 600 + i) for b, i, c, q, k in works], "batch_id bigint, work_id bigint, cost_fw double, q_id bigint, kv_id bigint, out_id bigint, lse_id bigint")
+    at = spark.createDataFrame([(0, i, 4) for i in range(6)], "batch_id bigint, work_id bigint, device int")
+    data = spark.createDataFrame([(0, 1, d, 20) for d in range(100, 112)], "batch_id bigint, is_input int, data_id bigint, bytes bigint")
+    home = data.select("batch_id", "is_input", "data_id", F.lit(0).alias("device"))
+    for slack in (1.2, 8.0):
+        st_, moves = schedule.stages(w, at, home, data, plan, 4, slack)
+        share = slack * 240 / 8 / 4
+        got: dict = {}
+        for r in moves.collect():
+            got[r["stage"]] = got.get(r["stage"], 0) + 20
+        assert all(v <= share for s, v in got.items() if s < 4) and sum(got.values()) == 240
+        assert st_.count() == 6 and (slack > 2) == (1 in got)
+
+
+@pytest.mark.parametrize("mask", sorted(masks.SEGMENTS))
+def test_segments_say_what_rows_say(spark, mask):
+    for plan in (Plan(block=7, n_starting=3, l_pretrain=11, blockwise=5, k_local=2, n_answers=3), Plan(block=16, n_starting=40, l_pretrain=2, blockwise=16, k_local=0, n_answers=5), Plan(block=4, n_starting=1, l_pretrain=1, blockwise=3, k_local=1, question_proportion=0.9)):
+        seqs = spark.createDataFrame([(0, i, n) for i, n in enumerate([0, 1, 2, 3, 5, 7, 8, 15, 16, 17, 33, 64, 101])], "batch_id bigint, seq_id bigint, raw_len bigint")
+        rows = lambda df: sorted(map(tuple, df.select("seq_id", "q_block", "kv_block", "pairs").collect()))
+        assert rows(blocks.block_pairs(seqs, mask, plan)) == rows(blocks.pairs_of_rows(masks.ranges(seqs, mask, plan), plan))
+
+
 def test_instructions(small):
     rows = small.instructions.orderBy("batch_id", "device", "seq_no").collect()
     by: dict = {}

@@ -2,7 +2,7 @@
 
 Sequences: batch_id, seq_id (0 .. in the batch), raw_len. A work block is a (query block, key block) pair that the mask may
 meet. Its candidates are exploded from each query block's range hulls onto key-block numbers, so the range join between
-blocks is an equi-form explode: no pair of blocks that the hulls rule out is ever made.
+blocks is an equi-form explode: no pair of blocks that the hulls rule out is ever made, and no row for each token.
 """
 
 from __future__ import annotations
@@ -54,20 +54,58 @@ def data_blocks(sequences: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
     return df.select("batch_id", data_id.cast("bigint").alias("data_id"), F.col("kind").isin("Q", "KV").cast("int").alias("is_input"), "kind", "seq_id", "head", "block", tokens.alias("n_tokens"), (tokens * per_token).cast("bigint").alias("bytes"))
 
 
+def _touched(lo, hi, b: int):
+    """The blocks that the keys lo .. hi-1 lie in."""
+    return F.when(lo < hi, F.sequence(F.floor(lo / b), F.floor((hi - 1) / b))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _clamped_sum(line, i0, i1, lo, hi):
+    """Sum over the positions i0 .. i1-1 of a line's value, held between lo and hi; in closed form."""
+    at, slope = line
+    n = i1 - i0
+    if not slope:
+        return n * F.least(F.greatest(at, lo), hi)
+    first = at + i0
+    under = F.least(F.greatest(lo - first, F.lit(0)), n)
+    over = F.least(F.greatest(first + n - hi, F.lit(0)), n)
+    mid = n - under - over
+    return under * lo + over * hi + mid * (first + under) + F.floor(mid * (mid - 1) / 2)
+
+
 def block_pairs(sequences: DataFrame, mask: str = "causal", plan: Plan = DEFAULT) -> DataFrame:
-    """batch_id, seq_id, q_block, kv_block, pairs: block pairs that a range hull meets, with the token pairs attended.
+    """batch_id, seq_id, raw_len, q_block, kv_block, pairs: block pairs with token pairs that the mask attends.
 
-    Tokens are exploded and folded to (sequence, query block) inside the task before anything is shuffled; empty pairs of a
-    hull are filtered once their token pairs are counted.
+    The named masks are segments of positions whose ranges move on with the position or stay. A segment's part of a query
+    block meets the key blocks between its least and largest key, and its token pairs there are a closed form: no row per token.
     """
-    rows = masks.ranges(sequences.select("batch_id", "seq_id", "raw_len"), mask, plan)
-    rows = rows.withColumn("q_block", F.floor(F.col("q_pos") / plan.block).cast("bigint"))
+    if mask not in masks.SEGMENTS:
+        return pairs_of_rows(masks.ranges(sequences.select("batch_id", "seq_id", "raw_len"), mask, plan), plan)
     b = plan.block
-
-    def touched(s: str, e: str):
-        return F.when(F.col(s) < F.col(e), F.sequence(F.floor(F.col(s) / b), F.floor((F.col(e) - 1) / b))).otherwise(F.array().cast("array<bigint>"))
-
-    wide = rows.withColumn("kv_block", F.explode(F.array_union(touched("s0", "e0"), touched("s1", "e1"))))
+    n = F.col("raw_len").cast("bigint")
+    out = None
+    for a, z, *ends in masks.SEGMENTS[mask](n, plan):
+        part = sequences.where("raw_len > 0").select("batch_id", "seq_id", "raw_len", a.alias("a"), z.alias("z"), *(c.alias(f"l{k}") for k, (c, _) in enumerate(ends))).where("a < z")
+        part = part.withColumn("q_block", F.explode(F.sequence(F.floor(F.col("a") / b), F.floor((F.col("z") - 1) / b))))
+        part = part.withColumn("i0", F.greatest("a", F.col("q_block") * b)).withColumn("i1", F.least("z", (F.col("q_block") + 1) * b))
+        s0, e0, s1, e1 = lines = [(F.col(f"l{k}"), slope) for k, (_, slope) in enumerate(ends)]
+        hull = lambda s, e: _touched(s[0] + (F.col("i0") if s[1] else 0), e[0] + (F.col("i1") - 1 if e[1] else 0), b)
+        part = part.withColumn("kv_block", F.explode(F.array_union(hull(s0, e0), hull(s1, e1))))
+        lo, hi = F.col("kv_block") * b, (F.col("kv_block") + 1) * b
+        sums = [_clamped_sum(x, F.col("i0"), F.col("i1"), lo, hi) for x in lines]
+        part = part.select("batch_id", "seq_id", "raw_len", "q_block", "kv_block", (sums[1] - sums[0] + sums[3] - sums[2]).alias("pairs"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("batch_id", "seq_id", "raw_len", "q_block", "kv_block").agg(F.sum("pairs").cast("bigint").alias("pairs")).where("pairs > 0")
+
+
+def pairs_of_rows(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
+    """Block pairs of any mask's rows (batch_id, seq_id, raw_len, q_pos, s0, e0, s1, e1), as a callback gives them.
+
+    Tokens are folded to (sequence, query block) inside the task before anything is shuffled; empty pairs of a hull are
+    filtered once their token pairs are counted.
+    """
+    b = plan.block
+    rows = rows.withColumn("q_block", F.floor(F.col("q_pos") / b).cast("bigint"))
+    wide = rows.withColumn("kv_block", F.explode(F.array_union(_touched(F.col("s0"), F.col("e0"), b), _touched(F.col("s1"), F.col("e1"), b))))
     lo, hi = F.col("kv_block") * b, (F.col("kv_block") + 1) * b
     part = lambda s, e: F.greatest(F.lit(0), F.least(e, hi) - F.greatest(s, lo))
     both = part(F.greatest("s0", "s1"), F.least("e0", "e1"))

@@ -55,6 +55,47 @@ def causal_blockwise(i: Column, n: Column, plan: Plan = DEFAULT) -> Ranges:
 MASKS: dict[str, Callable[..., Ranges]] = {"causal": causal, "lambda": lambda_, "shared_question": shared_question, "causal_blockwise": causal_blockwise}
 
 
+Line = tuple[Column, int]
+Segment = tuple[Column, Column, Line, Line, Line, Line]
+
+
+def _segment(a, b, s0, e0, s1=None, e1=None) -> Segment:
+    """Positions a .. b-1 and their two ranges, which do not overlap; an end is a constant, or (constant, 1) if it moves on
+    with the position."""
+    line = lambda x: (_big(0), 0) if x is None else (_big(x[0]), 1) if isinstance(x, tuple) else (_big(x), 0)
+    return _big(a), _big(b), line(s0), line(e0), line(s1), line(e1)
+
+
+def causal_segments(n: Column, plan: Plan = DEFAULT) -> list[Segment]:
+    return [_segment(0, n, 0, (1,))]
+
+
+def lambda_segments(n: Column, plan: Plan = DEFAULT) -> list[Segment]:
+    t = F.least(n, _big(plan.n_starting + plan.l_pretrain - 1))  # up to here the two ranges meet
+    return [_segment(0, t, 0, (1,)), _segment(t, n, 0, plan.n_starting, (1 - plan.l_pretrain,), (1,))]
+
+
+def shared_question_segments(n: Column, plan: Plan = DEFAULT) -> list[Segment]:
+    q = F.floor(n * F.lit(plan.question_proportion)).cast("bigint")
+    a = F.floor((n - q) / plan.n_answers).cast("bigint")
+    out = [_segment(0, q, 0, (1,))]
+    for k in range(plan.n_answers):
+        last = k == plan.n_answers - 1
+        out.append(_segment(q + k * a, n if last else q + (k + 1) * a, 0, q, q + k * a, (1,)))
+    return out
+
+
+def causal_blockwise_segments(n: Column, plan: Plan = DEFAULT) -> list[Segment]:
+    b = plan.blockwise
+    whole = F.least(n, _big((plan.k_local + 1) * b))  # up to here the block in front and the latest ones meet
+    last = F.greatest(whole, (ceil_div(n, b) - 1) * b)
+    return [_segment(0, whole, 0, (1,)), _segment(whole, last, 0, b, (-plan.k_local * b,), (1,)), _segment(last, n, 0, (1,))]
+
+
+#: Masks whose ranges move on with the position, or stay, over a few segments of it: the ranges as segments instead of tokens.
+SEGMENTS: dict[str, Callable[..., list[Segment]]] = {"causal": causal_segments, "lambda": lambda_segments, "shared_question": shared_question_segments, "causal_blockwise": causal_blockwise_segments}
+
+
 def ranges(sequences: DataFrame, mask: str = "causal", plan: Plan = DEFAULT) -> DataFrame:
     """All columns of the sequences with q_pos, s0, e0, s1, e1: a row per token."""
     rows = sequences.where("raw_len > 0").withColumn("q_pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("raw_len").cast("bigint") - 1)))

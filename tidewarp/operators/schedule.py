@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 
 import pandas as pd
@@ -60,8 +61,9 @@ def stages(works: DataFrame, work_device: DataFrame, data_device: DataFrame, dat
     """Greedy stage pipeline: (batch_id, work_id, device, stage) and input transfers (batch_id, data_id, src, dst, stage).
 
     Stage 0 is what needs no transfer. In each later stage every device in turn — the one ready first, lowest index on ties —
-    takes its costliest pending work whose transfers keep both ends within the stage's share of the inter-node bytes; the last
-    stage takes the rest. A transfer arrives in the stage of the first work that needs it.
+    takes its costliest pending work whose transfers, all blocks from one home together, keep both ends within the stage's
+    share of the inter-node bytes; the last stage takes the rest. A transfer arrives in the stage of the first work that needs
+    it. A work that does not fit is looked at again only when a block that it lacks has come.
     """
     c = plan.cluster
     need = work_io(works).where("is_input = 1").join(data_device.withColumnRenamed("device", "home"), ["batch_id", "is_input", "data_id"]).join(data.select("batch_id", "is_input", "data_id", "bytes"), ["batch_id", "is_input", "data_id"])
@@ -83,36 +85,45 @@ def stages(works: DataFrame, work_device: DataFrame, data_device: DataFrame, dat
         share = slack * total / c.n_devices / n_stages
         has: dict[int, set[int]] = defaultdict(set)
         out, moves = [], []
+        waiting = {dev: [(-ms, w, own) for ms, w, own in works] for dev, works in pending.items()}
         for stage in range(n_stages + 1):
-            sent, ready = defaultdict(int), {d: 0.0 for d in pending}
-            open_ = {d for d in pending if pending[d]}
+            sent, ready = defaultdict(int), {d: 0.0 for d in waiting}
+            heaps, parked = {}, {}
+            for dev, works in waiting.items():
+                heaps[dev], parked[dev] = works, defaultdict(list)  # parked: by a block that the work still lacks
+                heapq.heapify(works)
+            left: dict[int, dict[int, tuple]] = {dev: {} for dev in waiting}
+            open_ = [(0.0, dev) for dev in sorted(waiting)]
             while open_:
-                dev = min(open_, key=lambda d: (ready[d], d))
-                best = None
-                for ms, w, own in sorted(pending[dev], key=lambda x: (-x[0], x[1])):
+                _, dev = heapq.heappop(open_)
+                while heaps[dev]:
+                    cost_, w, own = work = heapq.heappop(heaps[dev])
                     fetch = [(d, home, size) for d, home, size in own if home != dev and d not in has[dev]]
-                    if stage == 0 and fetch:
-                        continue
-                    far = [(home, size) for _, home, size in fetch if home // c.devices_per_node != dev // c.devices_per_node]
-                    over = any(sent[home] + size > share for home, size in far) or sum(s for _, s in far) + sent[-1 - dev] > share
-                    if stage == n_stages or not far or not over:
-                        best = ms, w, own, fetch, far
+                    far: dict[int, int] = defaultdict(int)  # the bytes that each end would send
+                    for _, home, size in fetch:
+                        if home // c.devices_per_node != dev // c.devices_per_node:
+                            far[home] += size
+                    over = any(sent[home] + size > share for home, size in far.items()) or sum(far.values()) + sent[-1 - dev] > share
+                    if not (stage == 0 and fetch) and (stage == n_stages or not far or not over):
                         break
-                if best is None:
-                    open_.discard(dev)
-                    continue
-                ms, w, own, fetch, far = best
-                pending[dev] = [x for x in pending[dev] if x[1] != w]
-                ready[dev] += ms
+                    left[dev][w] = work  # what is sent only grows: it fits again once a block of it has come, or in the next stage
+                    for d, _, _ in fetch:
+                        parked[dev][d].append(w)
+                else:
+                    continue  # no work of this device fits: it is done with the stage
+                ready[dev] -= cost_
                 for d, home, _ in fetch:
                     has[dev].add(d)
                     moves.append((batch, "move", d, home, dev, stage))
-                for home, size in far:
+                    for again in parked[dev].pop(d, []):
+                        if again in left[dev]:
+                            heapq.heappush(heaps[dev], left[dev].pop(again))
+                for home, size in far.items():
                     sent[home] += size
                     sent[-1 - dev] += size
                 out.append((batch, "work", w, dev, dev, stage))
-                if not pending[dev]:
-                    open_.discard(dev)
+                heapq.heappush(open_, (ready[dev], dev))
+            waiting = {dev: list(own.values()) for dev, own in left.items() if own}
         return pd.DataFrame(out + moves, columns=["batch_id", "row", "id", "src", "dst", "stage"])
 
     got = rows.groupBy("batch_id").applyInPandas(run, "batch_id bigint, row string, id bigint, src int, dst int, stage int")
@@ -248,15 +259,6 @@ def unmatched(operations: DataFrame) -> DataFrame:
     return side("send", "device", "peer").join(side("recv", "peer", "device"), [*key, "k"], "full").where("send is null or recv is null")
 
 
-def matched(moves: DataFrame) -> DataFrame:
-    """Sends joined to receives on (block, source, target, occurrence): transfers whose two ends do not meet. Empty if all do."""
-    key = ["batch_id", "is_input", "data_id", "src", "dst"]
-    w = Window.partitionBy(*key).orderBy("stage")
-    send = moves.withColumn("k", F.row_number().over(w)).select(*key, "k", F.lit(1).alias("s"))
-    recv = moves.withColumn("k", F.row_number().over(w)).select(*key, "k", F.lit(1).alias("r"))
-    return send.join(recv, [*key, "k"], "full").where("s is null or r is null")
-
-
 def multicast(terminals: list[tuple[int, list[int]]], n_nodes: int, n_stages: int, costs: list[float] | None = None) -> list[list[tuple[int, int, int]]]:
     """A tree (source, target, stage) for each (source, targets), over nodes, that keeps the largest load of a node in a stage
     low: exact by bounded search for up to four nodes and three sets, else greedy by the load each edge adds."""
