@@ -204,14 +204,8 @@ def batch_stats(spark, sf):
     return batching.batch_stats(packed(sequences(spark, sf)))
 
 
-@query("pack_reasons", f"with recursive {_RAW} select case when tot_.total >= 0.75 * {P.budget} then 'kept' else 'underfull' end as reason, count(*) as n_samples, sum(n)::bigint as n_tokens from walk_ join tot_ using (b) group by 1 union all select 'too_long', count(*), sum(raw_len)::bigint from len_ where raw_len > {P.budget} having count(*) > 0")
+@query("pack_reasons", f"with recursive {_RAW} select case when tot_.total >= 0.75 * {P.budget} then 'kept' else 'underfull' end as reason, count(*) as n_samples, sum(n)::bigint as n_tokens from walk_ join tot_ using (b) group by 1 union all select case when raw_len < 1 then 'empty' else 'over_max_len' end, count(*), sum(raw_len)::bigint from len_ where raw_len not between 1 and {P.max_len} group by 1")
 def pack_reasons(spark, sf):
-    s = sequences(spark, sf).where((F.col("raw_len").between(1, P.max_len)) | (F.col("raw_len") > P.budget)).select(F.col("doc_id").alias("place"), F.col("doc_id").alias("id"), F.col("raw_len").alias("n"))
-    return batching.pack(s, P.budget).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n_samples"), F.sum("n").alias("n_tokens"))
-
-
-@query("pack_reasons_all", f"with recursive {_RAW} select case when tot_.total >= 0.75 * {P.budget} then 'kept' else 'underfull' end as reason, count(*) as n_samples, sum(n)::bigint as n_tokens from walk_ join tot_ using (b) group by 1 union all select case when raw_len < 1 then 'empty' else 'over_max_len' end, count(*), sum(raw_len)::bigint from len_ where raw_len not between 1 and {P.max_len} group by 1")
-def pack_reasons_all(spark, sf):
     s = sequences(spark, sf).select(F.col("doc_id").alias("place"), F.col("doc_id").alias("id"), F.coalesce("raw_len", F.lit(0)).alias("n"))
     fits = F.col("n").between(1, P.max_len)
     rows = batching.pack(s.where(fits), P.budget).select(F.coalesce("reason", F.lit("kept")).alias("reason"), "n")
@@ -223,12 +217,25 @@ def _batches(spark, sf):
     return packed(sequences(spark, sf)).select("batch_id", F.col("seq_id").alias("seq_in_batch"), F.col("doc_id").alias("id"), F.col("raw_len").alias("n"))
 
 
-@query("dp_split_online")
+def _greedy_sql(order: str) -> str:
+    """Each sequence in turn to the least loaded group, the lowest on ties: the loads as a list, a row for each step."""
+    least = "list_position(g.load, list_min(g.load))"
+    return f"""with recursive {_PACKED},
+st_ as (select batch_id, seq_id, doc_id, raw_len as n, row_number() over (partition by batch_id order by {order}) as k from seqs),
+gr_(batch_id, k, load, dp_group, seq_in_batch, id, n) as (
+  select distinct batch_id, 0::bigint, [{', '.join(['0'] * P.cp)}]::bigint[], -1, -1::bigint, -1::bigint, 0::bigint from st_
+  union all
+  select s.batch_id, s.k::bigint, list_transform(g.load, lambda x, i: case when i = {least} then x + s.n else x end), ({least} - 1)::int, s.seq_id, s.doc_id, s.n
+  from gr_ g join st_ s on s.batch_id = g.batch_id and s.k = g.k + 1)
+select batch_id, seq_in_batch, id, n, dp_group from gr_ where k > 0"""
+
+
+@query("dp_split_online", _greedy_sql("seq_id"))
 def dp_split_online(spark, sf):
     return batching.dp_split(_batches(spark, sf), P.cp)
 
 
-@query("lpt_assign")
+@query("lpt_assign", _greedy_sql("raw_len desc, seq_id"))
 def lpt_assign(spark, sf):
     return batching.dp_split(_batches(spark, sf), P.cp, descending=True)
 
@@ -505,25 +512,13 @@ def hypergraph_pins(spark, sf):
     return placement.pins(p.works, p.groups).groupBy("batch_id", "is_input").agg(F.count("*").alias("n_pins"))
 
 
-@query("partition_check", f"{_ALL} select batch_id, count(*) as n_works, true as complete, true as not_worse, true as in_range from works group by 1")
+@query("partition_check", f"{_ALL}, {_V} select batch_id, count(*) as n_works, sum(work_id)::bigint as work_sum, sum(compute)::bigint as compute, (select count(distinct id) from grp_ x where x.batch_id = w.batch_id) as n_groups from works w join c_ using (batch_id, work_id) group by 1")
 def partition_check(spark, sf):
+    """The works, their weight and the data groups that the partition has placed on devices of the cluster, each once."""
     p = plan_corpus(spark, sf, refine=True)
-    w, d = p.placed
-    got = w.groupBy("batch_id").agg(F.count("*").alias("n_works"), F.countDistinct("work_id").alias("k"), F.min("device").alias("lo"), F.max("device").alias("hi"))
-    own = p.works.groupBy("batch_id").agg(F.count("*").alias("n"))
-    net = lambda w, d: placement.connectivity(w, p.works, d, p.data.drop("bytes").join(placement.nets(p.data).withColumnRenamed("weight", "bytes"), ["batch_id", "is_input", "data_id"]))
-    # the refinement works on the net weights; data follow their groups
-    homes = placement.split_placement(p.parts, p.groups)[1]
-    before = net(p.heuristic[0], homes_of(p)).withColumnRenamed("km1_bytes", "before")
-    after = net(w, homes).withColumnRenamed("km1_bytes", "after")
-    x = got.join(own, "batch_id").join(before, "batch_id").join(after, "batch_id")
-    return x.select("batch_id", "n_works", ((F.col("k") == F.col("n")) & (F.col("n_works") == F.col("n"))).alias("complete"), (F.col("after") <= F.col("before")).alias("not_worse"), ((F.col("lo") >= 0) & (F.col("hi") < D)).alias("in_range"))
-
-
-def homes_of(p) -> DataFrame:
-    """Heuristic homes of the blocks, one device for each colocated group."""
-    one = p.groups.join(p.heuristic[1], ["batch_id", "is_input", "data_id"]).groupBy("batch_id", "group_id").agg(F.min("device").alias("device"))
-    return p.groups.join(one, ["batch_id", "group_id"]).select("batch_id", "is_input", "data_id", "device")
+    v = placement.vertices(p.works, p.groups).join(p.parts.where(F.col("device").between(0, D - 1)), ["batch_id", "kind", "id"])
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    return v.groupBy("batch_id").agg(F.count(of("work", "id")).alias("n_works"), F.sum(of("work", "id")).alias("work_sum"), F.sum(of("work", "compute")).alias("compute"), F.count(of("data", "id")).alias("n_groups"))
 
 
 @query("partition_quality")
@@ -582,13 +577,13 @@ def comm_sources(spark, sf):
     return schedule.sources(schedule.required(p.works, *p.placed), p.placed[1].where("is_input = 1"), _PN)
 
 
-@query("stage_check", f"{_ALL} select batch_id, count(*) as n_works, true as once, true as stage0_local from works group by 1")
+@query("stage_check", f"""{_ALL}, far_ as (
+  select batch_id, work_id, count(*) filter (d.device <> w.device) as n_far from (select * from io_ where is_input = 1) i join wdev w using (batch_id, work_id) join ddev d using (batch_id, is_input, data_id) group by 1, 2)
+select batch_id, count(*) as n_works, count(*) filter (n_far = 0) as n_local from far_ group by 1""")
 def stage_check(spark, sf):
-    p = plan_corpus(spark, sf)
-    st, moves = p.staged
-    early = moves.where("stage = 0").groupBy("batch_id").agg(F.count("*").alias("early"))
-    x = st.groupBy("batch_id").agg(F.count("*").alias("n_works"), F.countDistinct("work_id").alias("k")).join(early, "batch_id", "left")
-    return x.select("batch_id", "n_works", (F.col("n_works") == F.col("k")).alias("once"), F.col("early").isNull().alias("stage0_local"))
+    """Works that are in some stage, each once, and those in stage 0, which are the ones that need no transfer."""
+    st = plan_corpus(spark, sf).staged[0]
+    return st.groupBy("batch_id").agg(F.countDistinct("work_id").alias("n_works"), F.countDistinct(F.when(F.col("stage") == 0, F.col("work_id"))).alias("n_local"))
 
 
 @query("stage_volumes")
@@ -630,7 +625,7 @@ def buffer_sizes(spark, sf):
     return schedule.buffer_sizes(slots, schedule.local_slots(p.data, p.placed[1]))
 
 
-@query("slot_check", "select 0::bigint as clashes")
+@query("slot_check")
 def slot_check(spark, sf):
     p = plan_corpus(spark, sf)
     s = schedule.temporary_slots(schedule.live_ranges(p.staged[0], p.works), p.data)
@@ -648,9 +643,13 @@ def instructions(spark, sf):
     return plan_corpus(spark, sf).instructions
 
 
-@query("send_recv_match", "select 0::bigint as unmatched")
+@query("send_recv_match", f"{_ALL}, {_REQ} select batch_id, data_id, src, dst, 1::bigint as sent, 1::bigint as received from req_")
 def send_recv_match(spark, sf):
-    return schedule.unmatched(schedule.operations(plan_corpus(spark, sf).instructions)).agg(F.count("*").alias("unmatched"))
+    """The sends and receives of input blocks in the devices' own instructions: each needed transfer once at both ends."""
+    ops = schedule.operations(plan_corpus(spark, sf).instructions).where("kind = 'launch'")
+    sends = F.col("op") == "send"
+    rows = ops.select("batch_id", "data_id", F.when(sends, F.col("device")).otherwise(F.col("peer")).alias("src"), F.when(sends, F.col("peer")).otherwise(F.col("device")).alias("dst"), sends.cast("int").alias("s"))
+    return rows.groupBy("batch_id", "data_id", "src", "dst").agg(F.sum("s").alias("sent"), F.sum(1 - F.col("s")).alias("received"))
 
 
 @query("multicast_trees")
@@ -660,59 +659,59 @@ def multicast_trees(spark, sf):
 
 
 # attention ------------------------------------------------------------------------------------------------------------------
-_SEQ, _DIM, _ABLK = 32, 4, 8
+_SEQ, _ABLK = 32, 8
+#: Length of the stored vectors, which the SQL spells out; the queries take it from the table.
+_WIDE = 64
 
 
 def _vectors(spark, sf):
-    return table(spark, sf, "embeddings").where("embedding is not null")
-
-
-def _qkv(e, dim=_DIM):
-    x = e.select(F.floor(F.col("vec_id") / _SEQ).alias("seq_id"), F.pmod("vec_id", F.lit(_SEQ)).cast("bigint").alias("pos"), F.slice("embedding", 1, dim).alias("q"))
-    rows = masks.ranges(x.groupBy("seq_id").agg(F.count("*").alias("raw_len")), "causal").select("seq_id", "q_pos", "s0", "e0", "s1", "e1")
-    return attention.scores(x, x.select("seq_id", "pos", F.col("q").alias("k"), F.col("q").alias("v")), rows, _ABLK, dim**-0.5)
-
-
-def _whole(spark, sf):
-    """The attended pairs of the whole stored vectors, and their length."""
-    e = _vectors(spark, sf)
+    """The attended pairs of the stored vectors, as query, key and value, and their length."""
+    e = table(spark, sf, "embeddings").where("embedding is not null")
     dim = e.agg(F.max(F.size("embedding"))).first()[0] or 1
-    return _qkv(e, dim), dim
+    x = e.select(F.floor(F.col("vec_id") / _SEQ).alias("seq_id"), F.pmod("vec_id", F.lit(_SEQ)).cast("bigint").alias("pos"), F.col("embedding").alias("q"))
+    rows = masks.ranges(x.groupBy("seq_id").agg(F.count("*").alias("raw_len")), "causal").select("seq_id", "q_pos", "s0", "e0", "s1", "e1")
+    return attention.scores(x, x.select("seq_id", "pos", F.col("q").alias("k"), F.col("q").alias("v")), rows, _ABLK, dim**-0.5), dim
 
 
-def _attn_sql(dim: int) -> str:
-    return f"""x as (select vec_id // {_SEQ} as seq_id, vec_id % {_SEQ} as pos, embedding[1:{dim}]::double[] as q from embeddings where embedding is not null),
-p as (select a.seq_id, a.pos as q_pos, b.pos // {_ABLK} as kv_block, b.pos as k_pos, list_inner_product(a.q, b.q) * {dim**-0.5} as s, b.q as v from x a join x b on a.seq_id = b.seq_id and b.pos <= a.pos),
+_ATTN = f"""x as (select vec_id // {_SEQ} as seq_id, vec_id % {_SEQ} as pos, embedding::double[] as q from embeddings where embedding is not null),
+p as (select a.seq_id, a.pos as q_pos, b.pos as k_pos, list_inner_product(a.q, b.q) * {_WIDE**-0.5} as s, b.q as v from x a join x b on a.seq_id = b.seq_id and b.pos <= a.pos),
 t as (select *, max(s) over (partition by seq_id, q_pos) as m from p),
-a as (select seq_id, q_pos, any_value(m) + ln(sum(exp(s - m))) as lse, {', '.join(f'sum(exp(s - m) * v[{i + 1}]) / sum(exp(s - m)) as o{i}' for i in range(dim))} from t group by 1, 2)"""
-
+a as (select seq_id, q_pos, any_value(m) + ln(sum(exp(s - m))) as lse, {', '.join(f'sum(exp(s - m) * v[{i + 1}]) / sum(exp(s - m)) as o{i}' for i in range(_WIDE))} from t group by 1, 2)"""
+_ACOLS = ["round(lse, 6) as lse", *(f"round(o{i}, 6) as o{i}" for i in range(_WIDE))]
 
-#: Length of the stored vectors, for the SQL of the queries over whole vectors.
-_WIDE = 64
-_ATTN, _ATTN_WIDE = _attn_sql(_DIM), _attn_sql(_WIDE)
-_ACOLS = ["round(lse, 6) as lse", *(f"round(o{i}, 6) as o{i}" for i in range(_DIM))]
-_WCOLS = ["round(lse, 6) as lse", *(f"round(o{i}, 6) as o{i}" for i in range(_WIDE))]
 
-
-def _flat(df, dim=_DIM):
+def _flat(df, dim):
     return df.select("seq_id", F.col("q_pos").cast("bigint").alias("q_pos"), F.round("lse", 6).alias("lse"), *(F.round(F.col("out")[i], 6).alias(f"o{i}") for i in range(dim)))
 
 
 @query("attn_direct", f"with {_ATTN} select seq_id, q_pos, {', '.join(_ACOLS)} from a")
 def attn_direct(spark, sf):
-    return _flat(attention.direct(_qkv(_vectors(spark, sf)), _DIM))
+    pairs, dim = _vectors(spark, sf)
+    return _flat(attention.direct(pairs, dim), dim)
 
 
 @query("attn_blockwise_merge", f"with {_ATTN} select seq_id, q_pos, {', '.join(_ACOLS)} from a")
 def attn_blockwise_merge(spark, sf):
-    return _flat(attention.merge(attention.partial(_qkv(_vectors(spark, sf)), _DIM), ["seq_id", "q_pos"], _DIM))
+    pairs, dim = _vectors(spark, sf)
+    return _flat(attention.merge(attention.partial(pairs, dim), ["seq_id", "q_pos"], dim), dim)
 
 
-@query("attn_diff", "select true as close")
+@query("attn_diff", f"with {_ATTN} select round(avg(abs(lse - s)), 6) as mean_abs, round(max(abs(lse - s)), 6) as max_abs from a join p using (seq_id, q_pos) where k_pos = q_pos")
 def attn_diff(spark, sf):
-    pairs = _qkv(_vectors(spark, sf))
-    a, b = attention.direct(pairs, _DIM), attention.merge(attention.partial(pairs, _DIM), ["seq_id", "q_pos"], _DIM)
-    return attention.differences(a, b, ["seq_id", "q_pos"], "lse").select((F.col("max_abs") < 1e-9).alias("close"))
+    """How far the log-sum-exp of each position, merged from blocks, is from the score of the position with itself."""
+    pairs, dim = _vectors(spark, sf)
+    merged = attention.merge(attention.partial(pairs, dim), ["seq_id", "q_pos"], dim)
+    own = pairs.where("k_pos = q_pos").select("seq_id", "q_pos", F.col("s").alias("lse"))
+    return attention.differences(merged, own, ["seq_id", "q_pos"], "lse").select(F.round("mean_abs", 6).alias("mean_abs"), F.round("max_abs", 6).alias("max_abs"))
+
+
+@query("attn_gradients", f"with {_ATTN}, g as (select p.seq_id, p.k_pos, exp(p.s - a.lse) as w, a.* exclude (seq_id, q_pos, lse) from p join a using (seq_id, q_pos)) select seq_id, k_pos, {', '.join(f'round(sum(w * o{i}), 6) as g{i}' for i in range(_WIDE))} from g group by 1, 2")
+def attn_gradients(spark, sf):
+    """The gradient of the values where that of the outputs is the outputs themselves."""
+    pairs, dim = _vectors(spark, sf)
+    fwd = attention.direct(pairs, dim)
+    g = attention.d_v(attention.gradients(pairs, fwd, fwd.select("seq_id", "q_pos", F.col("out").alias("d_out")), dim), dim)
+    return g.select("seq_id", F.col("k_pos").cast("bigint").alias("k_pos"), *(F.round(F.col("d_v")[i], 6).alias(f"g{i}") for i in range(dim)))
 
 
 @query("blockwise_sum", "select l_orderkey % 512 as dst, l_linenumber as pos, round(sum(l_quantity), 2) as x from lineitem group by 1, 2")
@@ -727,41 +726,6 @@ def masked_loss(spark, sf):
     return attention.masked_loss(rows).select(F.round("loss_sum", 4).alias("loss_sum"), "n", F.round("mean_loss", 9).alias("mean_loss"))
 
 
-@query("attn_gradients")
-def attn_gradients(spark, sf):
-    pairs = _qkv(_vectors(spark, sf))
-    fwd = attention.direct(pairs, _DIM)
-    g = attention.gradients(pairs, fwd, fwd.select("seq_id", "q_pos", F.col("out").alias("d_out")), _DIM)
-    return attention.d_v(g, _DIM)
-
-
-@query("attn_direct_whole", f"with {_ATTN_WIDE} select seq_id, q_pos, {', '.join(_WCOLS)} from a")
-def attn_direct_whole(spark, sf):
-    pairs, dim = _whole(spark, sf)
-    return _flat(attention.direct(pairs, dim), dim)
-
-
-@query("attn_blockwise_merge_whole", f"with {_ATTN_WIDE} select seq_id, q_pos, {', '.join(_WCOLS)} from a")
-def attn_blockwise_merge_whole(spark, sf):
-    pairs, dim = _whole(spark, sf)
-    return _flat(attention.merge(attention.partial(pairs, dim), ["seq_id", "q_pos"], dim), dim)
-
-
-@query("attn_diff_whole", "select true as close")
-def attn_diff_whole(spark, sf):
-    pairs, dim = _whole(spark, sf)
-    a, b = attention.direct(pairs, dim), attention.merge(attention.partial(pairs, dim), ["seq_id", "q_pos"], dim)
-    return attention.differences(a, b, ["seq_id", "q_pos"], "lse").select((F.col("max_abs") < 1e-9).alias("close"))
-
-
-@query("attn_gradients_whole")
-def attn_gradients_whole(spark, sf):
-    pairs, dim = _whole(spark, sf)
-    fwd = attention.direct(pairs, dim)
-    g = attention.gradients(pairs, fwd, fwd.select("seq_id", "q_pos", F.col("out").alias("d_out")), dim)
-    return attention.d_v(g, dim)
-
-
 # local views ----------------------------------------------------------------------------------------------------------------
 def _place_sql(col: str) -> str:
     return f"('0x' || substr(md5({col}::varchar || '-{P.seed}'), 1, 15))::bigint"
@@ -956,19 +920,13 @@ def device_times(spark, sf):
     return t.select("run", F.round("mean_ms", 6).alias("mean_ms"), F.round("max_ms", 6).alias("max_ms"))
 
 
-@query("dominated_configs", "with r as (select o_orderpriority as g, o_orderkey as k, o_totalprice as a, o_custkey as b from orders where o_orderkey % 50 = 0) select distinct x.g, x.k, x.a, x.b from r x join r y on x.g = y.g where y.a <= x.a and y.b <= x.b and (y.a < x.a or y.b < x.b)")
-def dominated_configs(spark, sf):
-    r = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b"))
-    return experiments.dominated(r, "g", ["a", "b"])
-
-
 _STEPS = """r as (select o_orderpriority as g, o_orderkey as k, o_totalprice as a, o_custkey as b from orders),
 low_ as (select g, a, min(b) as low from r where b is not null group by 1, 2),
 under_ as (select *, min(low) over (partition by g order by a rows between unbounded preceding and 1 preceding) as under from low_)"""
 
 
-@query("dominated_configs_all", f"with {_STEPS} select distinct r.g, r.k, r.a, r.b from r join under_ u on r.g = u.g and r.a = u.a where u.under <= r.b or u.low < r.b")
-def dominated_configs_all(spark, sf):
+@query("dominated_configs", f"with {_STEPS} select distinct r.g, r.k, r.a, r.b from r join under_ u on r.g = u.g and r.a = u.a where u.under <= r.b or u.low < r.b")
+def dominated_configs(spark, sf):
     r = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b"))
     return experiments.dominated(r, "g", ["a", "b"])
 
@@ -984,7 +942,7 @@ def alloc_peak(spark, sf):
     return allocation.peaks(m.unionByName(f), "device")
 
 
-@query("mock_dataset")
+@query("mock_dataset", f"select r::bigint as seq_id, ({_place_sql('r')} % 56 + 8)::int as n from (select unnest(generate_series(0, (select count(*) from nation) - 1)) as r)")
 def mock_dataset(spark, sf):
     return mock_sequences(spark, table(spark, sf, "nation").count(), 8, 64, P.seed).select("seq_id", F.size("tokens").alias("n"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
+from ..operators.batching import shuffled_place
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,7 @@ def cached(df: DataFrame, folder: str, **config) -> DataFrame:
 
 def mock_sequences(spark: SparkSession, n: int, low: int, high: int, seed: int, eod: int = 0) -> DataFrame:
     """Synthetic samples: seq_id and tokens 1 .. length-1 and an end mark, lengths from a hash of id and seed."""
-    length = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(high - low)) + low).cast("int")
+    length = (F.pmod(shuffled_place(F.col("id"), seed), F.lit(high - low)) + low).cast("int")
     tokens = F.concat(F.sequence(F.lit(1), F.col("n") - 1), F.array(F.lit(eod)))
     return spark.range(n).select(F.col("id").alias("seq_id"), length.alias("n")).where("n > 1").select("seq_id", tokens.alias("tokens"))
 
@@ -66,6 +67,10 @@ def write_lengths(df: DataFrame, path: str) -> None:
     df.select("seq_id", "raw_len").write.mode("overwrite").parquet(path)
 
 
+def read_lengths(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("seq_id bigint, raw_len bigint").parquet(path)
+
+
 def read_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Result CSVs, with the data-set name taken from the folder of each file."""
     df = spark.read.schema(schemas.RESULTS).option("header", True).csv(paths)
