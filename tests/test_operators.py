@@ -339,3 +339,49 @@ def test_pack_reasons_add_up(spark, tmp_path):
     got = {r["reason"]: (r["n_samples"], r["n_tokens"]) for r in QUERIES["pack_reasons"](spark, str(tmp_path)).collect()}
     assert got["empty"] == (2, 0) and got["over_max_len"] == (3, P.max_len + 2 * P.budget + 2)
     assert sum(k for k, _ in got.values()) == len(n) + 1 and sum(t for _, t in got.values()) == sum(n)
+
+
+def test_small_functions(spark):
+    from pyspark.errors import PySparkException
+
+    from tidewarp.functions import parsing
+    from tidewarp.operators import local
+
+    r = spark.sql("select array(5L, 6L, 7L) as t").select(tokens.triangular(F.col("t")).alias("a"), tokens.triangular(F.col("t"), True).alias("b")).first()
+    assert r["a"] == [[True, False, False], [True, True, False], [True, True, True]] and r["b"] == [[not x for x in row] for row in r["a"]]
+    df = spark.createDataFrame([("Benchmark: a 3/5",), ("Benchmark: total time 3",), ("Benchmarking x",), ("Broken Pipe",), ("fine",)], "x string")
+    got = [tuple(r) for r in df.select(parsing.is_progress(F.col("x")), parsing.has_failed(F.col("x"))).collect()]
+    assert got == [(True, False), (False, False), (False, False), (False, True), (False, False)]
+    assert spark.range(1).select(padding.divided(F.lit(24), 8)).first()[0] == 3
+    with pytest.raises(PySparkException, match="does not divide by 8: 25"):
+        spark.range(1).select(padding.divided(F.col("id") + 25, 8)).collect()
+    rows = spark.createDataFrame([(s, p, p % 3 != 1, 10 * p) for s in (0, 1) for p in range(7)], "seq_id bigint, pos bigint, own boolean, x bigint")
+    back = local.scattered(local.gathered(rows, "own").select("seq_id", "dense", "x"), rows, "own", ["x"])
+    assert sorted((r["seq_id"], r["pos"], r["x"]) for r in back.collect()) == [(s, p, 10 * p if p % 3 != 1 else None) for s in (0, 1) for p in range(7)]
+    runs = spark.createDataFrame([(r, i) for r in ("a", "b") for i in range(5)], "run string, i int")
+    assert experiments.iterations(runs, ["run"], "i", 2).count() == 6
+
+
+def test_multimodal_samples(spark):
+    from tidewarp.sources import multimodal_samples
+
+    rows = multimodal_samples(spark, 20, 3, image_size=4, longest=9).collect()
+    assert len(rows) == 20 and rows == multimodal_samples(spark, 20, 3, image_size=4, longest=9).collect()
+    assert all(r["total_len"] == len(r["tokens"]) == sum(r["text_lengths"]) + 4 * (len(r["text_lengths"]) - 1) and all(0 <= t < 50_000 for t in r["tokens"]) for r in rows)
+    assert len({len(r["text_lengths"]) for r in rows}) > 2
+
+
+def test_dump_and_load(spark, small, tmp_path):
+    from tidewarp.plans import planner
+
+    planner.dump(small, str(tmp_path))
+    got = planner.load(spark, str(tmp_path))
+    assert got["works"].count() == small.works.count() and got["work_device"].count() == small.placed[0].count()
+    assert schedule.unmatched(schedule.operations(got["instructions"])).isEmpty()
+
+
+def test_lengths_come_back(spark, tmp_path):
+    from tidewarp.sources import read_lengths, write_lengths
+
+    write_lengths(from_lengths(spark, [5, 9, 1]), str(tmp_path / "l"))
+    assert sorted(map(tuple, read_lengths(spark, str(tmp_path / "l")).collect())) == [(0, 5), (1, 9), (2, 1)]

@@ -84,3 +84,9 @@ def device_of(rank: Column, per_node: int) -> Column:
 def grid_ranks(df: DataFrame, cp: int) -> DataFrame:
     """cp_rank and dp_rank of each rank: contiguous context groups, strided data groups."""
     return df.withColumn("cp_rank", F.pmod("rank", F.lit(cp))).withColumn("dp_rank", F.floor(F.col("rank") / cp).cast("bigint"))
+
+
+def divided(n: Column, by: int) -> Column:
+    """n / by, for lengths that must divide: any other length ends the query, naming it."""
+    told = F.concat(F.lit("a length does not divide by "), F.lit(str(by)), F.lit(": "), n.cast("string"))
+    return F.when(F.pmod(n, F.lit(by)) != 0, F.raise_error(told).cast("bigint")).otherwise(F.floor(n / by).cast("bigint"))

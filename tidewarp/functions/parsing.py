@@ -80,6 +80,16 @@ def run_status(log: Column, args_json: Column) -> Column:
     return F.when(log.isNull() | args_json.isNull(), "unknown").when(done, "success").when(F.coalesce(enough, F.lit(False)), "success").when(failed, "failure").otherwise("unknown")
 
 
+def has_failed(text: Column) -> Column:
+    """Whether a run's output tells of a failure, in any case."""
+    return F.lower(text).rlike("failed|broken pipe|exception|most recent call first")  # fixed values
+
+
+def is_progress(text: Column) -> Column:
+    """Whether a line of output is a progress update: it names a benchmark and is neither its summary nor its announcement."""
+    return text.contains("Benchmark: ") & ~text.contains("total time") & ~text.contains("Benchmarking")  # fixed values
+
+
 _OP = r"CommOp\(comm_type=(\w+), peer=\((\d+), (\d+)\), buffer_block=\((\w+), (\d+), (\d+)\)\)"
 
 

@@ -52,6 +52,12 @@ def positions(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def triangular(tokens: Column, blocked: bool = False) -> Column:
+    """The lower triangle of a short sequence's attention, row by row; or, blocked, what is left out of it."""
+    rows = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(rows, lambda q: F.transform(rows, lambda k: (k > q) if blocked else (k <= q)))
+
+
 def epochs(samples: Column, seq_len: int, tokens: Column, extra: int = 0) -> Column:
     """Smallest number of passes, 1 at least, whose tokens cover samples * seq_len + extra."""
     return F.greatest(F.lit(1).cast("bigint"), F.ceil((samples * seq_len + extra) / tokens).cast("bigint"))

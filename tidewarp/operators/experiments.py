@@ -53,6 +53,12 @@ def warm_mean(df: DataFrame, by: list[str], order: str, metric: str, skip: int =
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") > skip).groupBy(*by).agg(F.avg(metric).alias(metric))
 
 
+def iterations(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
+    """The rows of each run up to iteration n, counted from 0: a loop that stops after iteration n has done n + 1."""
+    w = Window.partitionBy(*by).orderBy(order)
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n + 1).drop("_n")
+
+
 def run_summary(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.avg("inter_node_cost").alias("inter_node_cost"), F.max("max_mem_mb").alias("max_mem_mb"), F.avg("compute_imbalance").alias("compute_imbalance"), F.avg("plan_seconds").alias("plan_seconds"))
 

@@ -39,6 +39,13 @@ def gathered(rows: DataFrame, mask: str) -> DataFrame:
     return rows.where(mask).withColumn("dense", (F.row_number().over(Window.partitionBy("seq_id").orderBy("pos")) - 1).cast("bigint"))
 
 
+def scattered(dense: DataFrame, rows: DataFrame, mask: str, values: list[str]) -> DataFrame:
+    """The reverse of `gathered`: values of (seq_id, dense, …) back at the places of rows where the mask holds, null elsewhere."""
+    places = gathered(rows, mask).select("seq_id", "pos", "dense")
+    back = places.join(dense.select("seq_id", "dense", *values), ["seq_id", "dense"]).drop("dense")
+    return rows.drop(*values).join(back, ["seq_id", "pos"], "left")
+
+
 def partial_gradients(work_stages: DataFrame, backward: DataFrame) -> DataFrame:
     """Slots that partial gradients take: one per stage for a query block, one per occurrence in a stage for a key block."""
     x = work_stages.join(backward.select("batch_id", "work_id", "dq_id", "dkv_id"), ["batch_id", "work_id"])

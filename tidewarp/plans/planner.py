@@ -75,6 +75,22 @@ class Planned:
         return schedule.instructions(work_stages, self.works, moves, self.out_moves, self.placed[1], self.data)
 
 
+#: The tables of a plan, as `dump` writes them.
+TABLES = ("seqs", "works", "data", "groups", "work_device", "data_device", "work_stages", "moves", "out_moves", "instructions")
+
+
+def dump(p: Planned, path: str) -> None:
+    """The tables of a plan as Parquet below a folder, to be looked at or run later."""
+    own = {"work_device": p.placed[0], "data_device": p.placed[1], "work_stages": p.staged[0], "moves": p.staged[1]}
+    for name in TABLES:
+        (own[name] if name in own else getattr(p, name)).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that `dump` wrote, by name."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+
+
 def plan_corpus(spark: SparkSession, sf_dir: str, mask: str = "causal", plan: Plan = DEFAULT, refine: bool = False) -> Planned:
     return Planned(packed(sequences(spark, sf_dir), plan), mask, plan, refine)
 

@@ -46,6 +46,22 @@ def mock_multimodal(spark: SparkSession, segments: list[list[int]], image_sizes:
     return spark.createDataFrame(rows, "seq_id bigint, text_lengths array<int>, image_size int, total_len int")
 
 
+def multimodal_samples(spark: SparkSession, n: int, seed: int, image_size: int = 512, most_segments: int = 5, longest: int = 600, vocabulary: int = 50_000) -> DataFrame:
+    """Synthetic multimodal samples: text segments with an image between each two, all tokens drawn by hash of seed and place.
+
+    seq_id, text_lengths, image_size, total_len, tokens. Segments may be empty; the same seed gives the same samples."""
+    draw = lambda *parts: shuffled_place(F.concat_ws("/", *(p.cast("string") for p in parts)), seed)
+    i = F.col("id")
+    count = (F.pmod(draw(i, F.lit("n")), F.lit(most_segments)) + 1).cast("int")
+    lengths = F.transform(F.sequence(F.lit(1), count), lambda j: F.pmod(draw(i, F.lit("t"), j), F.lit(longest)).cast("int"))
+    df = spark.range(n).withColumn("text_lengths", lengths).withColumn("image_size", F.lit(image_size))
+    total = F.aggregate("text_lengths", F.lit(0), lambda a, x: a + x) + (F.size("text_lengths") - 1) * F.col("image_size")
+    df = df.withColumn("total_len", total)
+    places = F.when(F.col("total_len") > 0, F.sequence(F.lit(1), F.col("total_len"))).otherwise(F.array().cast("array<int>"))
+    tokens = F.transform(places, lambda k: F.pmod(draw(i, k), F.lit(vocabulary)))
+    return df.select(i.alias("seq_id"), "text_lengths", "image_size", "total_len", tokens.alias("tokens"))
+
+
 def from_lengths(spark: SparkSession, lengths: list[int]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lengths)), "seq_id bigint, raw_len bigint")
 
