@@ -211,7 +211,7 @@ def test_operations_carry_their_operands(small):
 def test_slots_do_not_clash(small):
     live = schedule.live_ranges(small.staged[0], small.works)
     seen: dict = {}
-    for r in schedule.temporary_slots(live, small.data).collect():
+    for r in schedule.temporary_slots(live, small.data, small.placed[1]).collect():
         seen.setdefault((r["batch_id"], r["device"], r["kind"], r["slot"]), []).append((r["first_stage"], r["last_stage"]))
     for spans in seen.values():
         spans.sort()
@@ -385,3 +385,57 @@ def test_lengths_come_back(spark, tmp_path):
 
     write_lengths(from_lengths(spark, [5, 9, 1]), str(tmp_path / "l"))
     assert sorted(map(tuple, read_lengths(spark, str(tmp_path / "l")).collect())) == [(0, 5), (1, 9), (2, 1)]
+
+
+@pytest.mark.parametrize("refine, mask", [(False, "causal"), (True, "lambda")])
+def test_instructions_give_attention(spark, refine, mask):
+    """The devices' instructions, run on vectors, give what attention over whole sequences gives."""
+    from tidewarp.operators import runner
+
+    plan = Plan(block=32, n_starting=8, l_pretrain=70)
+    lengths = [(0, 0, 130), (0, 1, 31), (0, 2, 300), (1, 0, 64), (1, 1, 1)]
+    seqs = spark.createDataFrame([(b, i, 10 * b + i, n) for b, i, n in lengths], "batch_id bigint, seq_id bigint, doc_id bigint, raw_len bigint")
+    p = Planned(seqs, mask, plan, refine)
+    dim, m = 3, plan.model
+    rng = np.random.default_rng(1)
+    q = {(b, i): rng.normal(size=(m.q_blocks, n, m.head_block, dim)) for b, i, n in lengths}
+    kv = {(b, i): rng.normal(size=(m.kv_blocks, n, 2 * dim)) for b, i, n in lengths}
+    inputs = []
+    for r in p.data.where("is_input = 1").collect():
+        own = (q if r["kind"] == "Q" else kv)[r["batch_id"], r["seq_id"]][r["head"]][r["block"] * 32 : r["block"] * 32 + r["n_tokens"]]
+        inputs.append((r["batch_id"], r["data_id"], own.reshape(len(own), -1).tolist()))
+    inputs = spark.createDataFrame(inputs, "batch_id bigint, data_id bigint, value array<array<double>>")
+    rows = masks.ranges(seqs, mask, plan).select("batch_id", "seq_id", "q_pos", "s0", "e0", "s1", "e1")
+    got = {(r["batch_id"], r["data_id"]): np.array(r["value"]) for r in runner.execute(p.instructions, p.data, schedule.local_slots(p.data, p.placed[1]), inputs, rows, 0.5, plan).collect()}
+    out_blocks = p.data.where("kind in ('OUT', 'LSE')").collect()
+    assert set(got) == {(r["batch_id"], r["data_id"]) for r in out_blocks}
+    ranges = {}
+    for r in rows.collect():
+        ranges.setdefault((r["batch_id"], r["seq_id"]), {})[r["q_pos"]] = r
+    for r in out_blocks:
+        key = r["batch_id"], r["seq_id"]
+        n = len(q[key][0])
+        k = np.arange(n)
+        group = kv[key][r["head"] * m.head_block // m.heads_per_group]
+        for t in range(r["n_tokens"]):
+            i = r["block"] * 32 + t
+            own = ranges[key][i]
+            seen = (k >= own["s0"]) & (k < own["e0"]) | (k >= own["s1"]) & (k < own["e1"])
+            for h in range(m.head_block):
+                s = group[seen, :dim] @ q[key][r["head"], i, h] * 0.5
+                lse = s.max() + np.log(np.exp(s - s.max()).sum())
+                value = got[r["batch_id"], r["data_id"]][t]
+                if r["kind"] == "LSE":
+                    assert abs(value[h] - lse) < 1e-9
+                else:
+                    assert np.allclose(value[h * dim : (h + 1) * dim], np.exp(s - lse) @ group[seen, dim:], atol=1e-9)
+
+
+def test_runner_names_a_lost_block():
+    from tidewarp.operators.runner import Devices
+
+    devices = Devices({(1, 7): "Q"})
+    with pytest.raises(KeyError, match="device 2 has nothing in slot 3 of work for block 7"):
+        devices.read(2, "work", 1, 7, 3)
+    with pytest.raises(KeyError, match="waits for block 7"):
+        devices.receive({"device": 2, "peer": 1, "is_input": 1, "data_id": 7, "buffer": "work", "slot": 0}, 0)

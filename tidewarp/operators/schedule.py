@@ -161,19 +161,28 @@ def local_slots(data: DataFrame, data_device: DataFrame) -> DataFrame:
     return d.select("batch_id", "device", "kind", "is_input", "data_id", "n_tokens", (F.row_number().over(w) - 1).cast("bigint").alias("slot"), start.alias("start"))
 
 
-def temporary_slots(live: DataFrame, data: DataFrame) -> DataFrame:
-    """First free slot for each block of a device and kind, by first stage and id; a slot is free again after the last stage."""
+def temporary_slots(live: DataFrame, data: DataFrame, data_device: DataFrame | None = None) -> DataFrame:
+    """First free slot for each block of a device and kind, by the stage from which it is held, and id.
+
+    An input that comes from another device is on its way during the stage before it is used; one that is at home there
+    (data_device) is copied before the first stage. A slot is free again after the last stage of an input; an output stays
+    until the outputs are sent."""
     rows = live.join(data.select("batch_id", "is_input", "data_id", "kind"), ["batch_id", "is_input", "data_id"])
+    local = F.lit(False)
+    if data_device is not None:
+        rows = rows.join(data_device.select("batch_id", "is_input", "data_id", F.col("device").alias("home")), ["batch_id", "is_input", "data_id"], "left")
+        local = F.coalesce(F.col("home") == F.col("device"), F.lit(False))
+    rows = rows.withColumn("since", F.when(F.col("is_input") == 0, F.col("first_stage")).when(local, -1).otherwise(F.col("first_stage") - 1)).drop("home")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_stage", "data_id"])
-        until: list[int] = []
+        pdf = pdf.sort_values(["since", "data_id"])
+        until: list[float] = []
         slots = []
-        for first, last in zip(pdf["first_stage"], pdf["last_stage"], strict=True):
-            k = next((i for i, u in enumerate(until) if u < first), len(until))
+        for since, last, is_input in zip(pdf["since"], pdf["last_stage"], pdf["is_input"], strict=True):
+            k = next((i for i, u in enumerate(until) if u < since), len(until))
             if k == len(until):
-                until.append(last)
-            until[k] = last
+                until.append(0)
+            until[k] = last if is_input else float("inf")
             slots.append(k)
         return pdf.assign(slot=slots)[["batch_id", "device", "kind", "is_input", "data_id", "first_stage", "last_stage", "slot"]]
 
@@ -212,7 +221,7 @@ def instructions(work_stages: DataFrame, works: DataFrame, moves: DataFrame, out
 
     # each is joined several times: written once, and never collected in the driver for a broadcast
     at_home = written(local_slots(data, data_device).select(*block, "slot"), "local-slots").hint("merge")
-    at_work = written(temporary_slots(live_ranges(work_stages, works), data).select(*block, F.col("slot").cast("bigint").alias("slot")), "work-slots").hint("merge")
+    at_work = written(temporary_slots(live_ranges(work_stages, works), data, data_device).select(*block, F.col("slot").cast("bigint").alias("slot")), "work-slots").hint("merge")
     out_moves = written(out_moves, "out-moves")
     end = lambda df, own, peer, op, buffer: df.withColumns({"device": F.col(own), "peer": F.col(peer), "op": F.lit(op), "buffer": F.lit(buffer)})
     add(at_home.where("is_input = 1").join(at_work.withColumnRenamed("slot", "to_slot"), block).withColumns({"op": F.lit("copy"), "buffer": F.lit("local")}), "memcpy", F.lit(-1))

@@ -621,14 +621,14 @@ def slot_layout(spark, sf):
 @query("buffer_sizes")
 def buffer_sizes(spark, sf):
     p = plan_corpus(spark, sf)
-    slots = schedule.temporary_slots(schedule.live_ranges(p.staged[0], p.works), p.data)
+    slots = schedule.temporary_slots(schedule.live_ranges(p.staged[0], p.works), p.data, p.placed[1])
     return schedule.buffer_sizes(slots, schedule.local_slots(p.data, p.placed[1]))
 
 
 @query("slot_check")
 def slot_check(spark, sf):
     p = plan_corpus(spark, sf)
-    s = schedule.temporary_slots(schedule.live_ranges(p.staged[0], p.works), p.data)
+    s = schedule.temporary_slots(schedule.live_ranges(p.staged[0], p.works), p.data, p.placed[1])
     prev = F.max("last_stage").over(Window.partitionBy("batch_id", "device", "kind", "slot").orderBy("first_stage", "data_id").rowsBetween(Window.unboundedPreceding, -1))
     return s.withColumn("prev", prev).agg(F.count(F.when(F.col("prev") >= F.col("first_stage"), 1)).alias("clashes"))
 
