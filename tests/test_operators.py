@@ -429,6 +429,45 @@ def test_instructions_give_attention(spark, refine, mask):
                     assert abs(value[h] - lse) < 1e-9
                 else:
                     assert np.allclose(value[h * dim : (h + 1) * dim], np.exp(s - lse) @ group[seen, dim:], atol=1e-9)
+    if refine:
+        return
+    # backward: from these outputs and some gradient of them, the gradients that whole sequences give
+    back = p.backward
+    d_out = {key: rng.normal(size=x.shape) for key, x in q.items()}
+    of = {(r["batch_id"], r["kind"], r["seq_id"], r["head"], r["block"]): got[r["batch_id"], r["data_id"]] for r in out_blocks}
+    inputs = []
+    for r in back.data.where("is_input = 1").collect():
+        key, part = (r["batch_id"], r["seq_id"]), slice(r["block"] * 32, r["block"] * 32 + r["n_tokens"])
+        if r["kind"] in ("OUT", "LSE"):
+            own = of[r["batch_id"], r["kind"], r["seq_id"], r["head"], r["block"]]
+        else:
+            own = {"Q": q, "KV": kv, "dOUT": d_out}[r["kind"]][key][r["head"]][part]
+        inputs.append((r["batch_id"], r["data_id"], own.reshape(len(own), -1).tolist()))
+    inputs = spark.createDataFrame(inputs, "batch_id bigint, data_id bigint, value array<array<double>>")
+    grads = {(r["batch_id"], r["data_id"]): np.array(r["value"]) for r in runner.execute(back.instructions, back.data, schedule.local_slots(back.data, back.placed[1]), inputs, rows, 0.5, plan).collect()}
+    assert schedule.unmatched(schedule.operations(back.instructions)).isEmpty()
+    d_q, d_kv = {key: np.zeros_like(x) for key, x in q.items()}, {key: np.zeros_like(x) for key, x in kv.items()}
+    for key, x in q.items():
+        n = x.shape[1]
+        k = np.arange(n)
+        own = np.array([[ranges[key][i][c] for c in ("s0", "e0", "s1", "e1")] for i in range(n)])
+        seen = (k >= own[:, :1]) & (k < own[:, 1:2]) | (k >= own[:, 2:3]) & (k < own[:, 3:])
+        for head in range(m.q_blocks):
+            g = head * m.head_block // m.heads_per_group
+            kk, vv = kv[key][g][:, :dim], kv[key][g][:, dim:]
+            for h in range(m.head_block):
+                s = np.where(seen, x[head, :, h] @ kk.T * 0.5, -np.inf)
+                w = np.exp(s - s.max(1, keepdims=True))
+                w /= w.sum(1, keepdims=True)
+                do = d_out[key][head, :, h]
+                ds = w * (do @ vv.T - (do * (w @ vv)).sum(1, keepdims=True)) * 0.5
+                d_q[key][head, :, h] += ds @ kk
+                d_kv[key][g][:, :dim] += ds.T @ x[head, :, h]
+                d_kv[key][g][:, dim:] += w.T @ do
+    for r in back.data.where("is_input = 0").collect():
+        part = slice(r["block"] * 32, r["block"] * 32 + r["n_tokens"])
+        want = (d_q if r["kind"] == "dQ" else d_kv)[r["batch_id"], r["seq_id"]][r["head"]][part]
+        assert np.allclose(grads[r["batch_id"], r["data_id"]], want.reshape(len(want), -1), atol=1e-9)
 
 
 def test_runner_names_a_lost_block():

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import DEFAULT, Plan
 from ..functions import cost
 from ..tables import written
-from .blocks import work_io
+from .blocks import is_backward, work_io
 
 
 def required(works: DataFrame, work_device: DataFrame, data_device: DataFrame, inputs: bool = True) -> DataFrame:
@@ -197,19 +197,21 @@ def buffer_sizes(slots: DataFrame, local: DataFrame) -> DataFrame:
 
 
 # Order of instruction kinds inside a stage.
-ORDER = {"memcpy": 0, "wait": 1, "launch": 2, "attention": 3, "merge": 4, "send_out": 5, "wait_out": 6, "reduce": 7}
+ORDER = {"memcpy": 0, "wait": 1, "launch": 2, "attention": 3, "attention_backward": 3, "merge": 4, "sum": 4, "send_out": 5, "wait_out": 6, "reduce": 7, "sum_out": 7}
 
 
-#: One operation of an instruction: send, recv, copy, attend, merge or reduce; the block and its slot in the local, work or in
-#: buffer; the other device; a copy's target slot; a work's key and output blocks; the stage whose partial a merge adds to.
-OPERATION = ["op", "is_input", "data_id", "buffer", "slot", "peer", "to_slot", "work_id", "kv_id", "kv_slot", "out_id", "out_slot", "from_stage"]
+#: One operation of an instruction: send, recv, copy, attend, merge, sum or reduce; the block and its slot in the local, work
+#: or in buffer; the other device; a copy's target slot; a work's key and output blocks, backward its outputs, log-sum-exp and
+#: gradients; the stage whose partial a merge or sum adds to.
+OPERATION = ["op", "is_input", "data_id", "buffer", "slot", "peer", "to_slot", "work_id", "kv_id", "kv_slot", "out_id", "out_slot", "from_stage", "o_slot", "l_slot", "do_slot", "dq_id", "dq_slot", "dkv_id", "dkv_slot"]
 _OP_TYPES = dict.fromkeys(OPERATION, "bigint") | {"op": "string", "buffer": "string", "is_input": "int", "peer": "int", "from_stage": "int"}
 
 
 def instructions(work_stages: DataFrame, works: DataFrame, moves: DataFrame, out_moves: DataFrame, data_device: DataFrame, data: DataFrame) -> DataFrame:
     """Instruction rows of each device, numbered in order, with their operations: local copies in; for each stage wait for its
     transfers, launch those of the next, attention, merge of partial results; transfers of outputs, wait, and the last reduction.
-    n_items counts the blocks (attention: works) of an instruction; a reduction has one operation for each source of a block."""
+    n_items counts the blocks (attention: works) of an instruction; a reduction has one operation for each source of a block.
+    For backward works (blocks.backward_plan) attention gives gradients, and partial gradients are summed instead of merged."""
     last = 1_000_000
     block = ["batch_id", "device", "is_input", "data_id"]
     kinds: list[DataFrame] = []
@@ -229,21 +231,27 @@ def instructions(work_stages: DataFrame, works: DataFrame, moves: DataFrame, out
     send = end(moves, "src", "dst", "send", "local").join(at_home, block, "left")
     add(receive, "wait", F.col("stage"))
     add(send.unionByName(receive), "launch", F.col("stage") - 1)
-    w = work_stages.join(works.select("batch_id", "work_id", "q_id", "kv_id", "out_id").hint("merge"), ["batch_id", "work_id"])
+    back = is_backward(works)
     slot = lambda c, of, is_input: at_work.where(F.col("is_input") == is_input).select("batch_id", "device", F.col("data_id").alias(c), F.col("slot").alias(of)).hint("merge")
-    attend = w.join(slot("q_id", "slot", 1), ["batch_id", "device", "q_id"]).join(slot("kv_id", "kv_slot", 1), ["batch_id", "device", "kv_id"]).join(slot("out_id", "out_slot", 0), ["batch_id", "device", "out_id"])
-    add(attend.withColumns({"op": F.lit("attend"), "is_input": F.lit(1), "data_id": F.col("q_id"), "buffer": F.lit("work")}), "attention", F.col("stage"))
-    before = F.lag("stage").over(Window.partitionBy("batch_id", "device", "out_id").orderBy("stage"))
-    again = w.select("batch_id", "device", "stage", "out_id").distinct().withColumn("from_stage", before).where("from_stage is not null")
-    again = again.join(slot("out_id", "slot", 0), ["batch_id", "device", "out_id"])
-    add(again.withColumns({"op": F.lit("merge"), "is_input": F.lit(0), "data_id": F.col("out_id"), "buffer": F.lit("work")}).drop("out_id"), "merge", F.col("stage"))
+    outputs = [("dq_id", "dq_slot"), ("dkv_id", "dkv_slot")] if back else [("out_id", "out_slot")]
+    reads = [("q_id", "slot"), ("kv_id", "kv_slot"), *([("o_id", "o_slot"), ("l_id", "l_slot"), ("do_id", "do_slot")] if back else [])]
+    w = work_stages.join(works.select("batch_id", "work_id", *(c for c, _ in reads + outputs)).hint("merge"), ["batch_id", "work_id"])
+    attend = w
+    for is_input, own in ((1, reads), (0, outputs)):
+        for c, of in own:
+            attend = attend.join(slot(c, of, is_input), ["batch_id", "device", c])
+    add(attend.withColumns({"op": F.lit("attend"), "is_input": F.lit(1), "data_id": F.col("q_id"), "buffer": F.lit("work")}), "attention_backward" if back else "attention", F.col("stage"))
+    written_to = w.select("batch_id", "device", "stage", F.explode(F.array(*(c for c, _ in outputs))).alias("data_id")).distinct()
+    before = F.lag("stage").over(Window.partitionBy("batch_id", "device", "data_id").orderBy("stage"))
+    again = written_to.withColumn("from_stage", before).where("from_stage is not null").join(slot("data_id", "slot", 0), ["batch_id", "device", "data_id"])
+    add(again.withColumns({"op": F.lit("sum" if back else "merge"), "is_input": F.lit(0), "buffer": F.lit("work")}), "sum" if back else "merge", F.col("stage"))
     arrival = (F.row_number().over(Window.partitionBy("batch_id", "device").orderBy("data_id", "src")) - 1).cast("bigint")
     receive = end(out_moves, "dst", "src", "recv", "in").withColumn("slot", arrival)
     send = end(out_moves, "src", "dst", "send", "work").join(at_work, block, "left")
     add(send.unionByName(receive, allowMissingColumns=True), "send_out", F.lit(last))
     add(receive, "wait_out", F.lit(last))
     own = receive.select(*block).distinct().join(at_work, block).withColumn("buffer", F.lit("work"))
-    add(receive.unionByName(own, allowMissingColumns=True).withColumn("op", F.lit("reduce")), "reduce", F.lit(last), F.countDistinct("data_id"))
+    add(receive.unionByName(own, allowMissingColumns=True).withColumn("op", F.lit("sum" if back else "reduce")), "sum_out" if back else "reduce", F.lit(last), F.countDistinct("data_id"))
     df = kinds[0]
     for k in kinds[1:]:
         df = df.unionByName(k)

@@ -75,6 +75,16 @@ class Planned:
         return schedule.instructions(work_stages, self.works, moves, self.out_moves, self.placed[1], self.data)
 
 
+    @cached_property
+    def backward(self) -> Planned:
+        """The plan of the backward pass: its own blocks, stages, transfers and instructions, on the forward pass's devices."""
+        works, data, device = blocks.backward_plan(self.works, self.data, self.placed[1])
+        out = Planned(self.seqs, self.mask, self.plan, self.refine)
+        own = {"works": written(works, "backward-works"), "data": written(data, "backward-data"), "placed": (self.placed[0], written(device, "backward-homes"))}
+        out.__dict__.update(own)  # in the place of what would be computed
+        return out
+
+
 #: The tables of a plan, as `dump` writes them.
 TABLES = ("seqs", "works", "data", "groups", "work_device", "data_device", "work_stages", "moves", "out_moves", "instructions")
 
