@@ -652,6 +652,28 @@ def send_recv_match(spark, sf):
     return rows.groupBy("batch_id", "data_id", "src", "dst").agg(F.sum("s").alias("sent"), F.sum(1 - F.col("s")).alias("received"))
 
 
+_BACK_IO = " union ".join(f"select batch_id, '{kind}' as kind, {i} as is_input, {c} as data_id, device from works join wdev using (batch_id, work_id)" for kind, i, c in (("Q", 1, "q_id"), ("KV", 1, "kv_id"), ("OUT", 0, "out_id"), ("LSE", 0, "lse_id"), ("dOUT", 0, "out_id")))
+
+
+@query("backward_transfers", f"{_ALL}, use_ as ({_BACK_IO}), size_ as (select batch_id, is_input, data_id, bytes from data) select batch_id, kind, count(*) as n, sum(bytes)::bigint as bytes from use_ u join ddev d using (batch_id, is_input, data_id) join size_ using (batch_id, is_input, data_id) where u.device <> d.device group by 1, 2")
+def backward_transfers(spark, sf):
+    """Blocks that the backward pass's works read from other devices, by kind."""
+    b = plan_corpus(spark, sf).backward
+    moves = schedule.required(b.works, *b.placed).join(b.data.select("batch_id", "is_input", "data_id", "kind", "bytes"), ["batch_id", "is_input", "data_id"])
+    return moves.groupBy("batch_id", "kind").agg(F.count("*").alias("n"), F.sum("bytes").cast("bigint").alias("bytes"))
+
+
+@query("backward_blocks", f"with recursive {_PACKED}, {_data_sql()}, back_(kind, of, is_input) as (values ('Q', 'Q', 1), ('KV', 'KV', 1), ('OUT', 'OUT', 1), ('LSE', 'LSE', 1), ('dOUT', 'OUT', 1), ('dQ', 'Q', 0), ('dKV', 'KV', 0)) select batch_id, b.is_input::int as is_input, b.kind, count(*) as n_blocks, sum(bytes)::bigint as bytes from data d join back_ b on b.of = d.kind group by 1, 2, 3")
+def backward_blocks(spark, sf):
+    """Blocks of the backward pass by kind: those of the forward pass, the gradient of the outputs, and what it writes."""
+    return plan_corpus(spark, sf).backward.data.groupBy("batch_id", "is_input", "kind").agg(F.count("*").alias("n_blocks"), F.sum("bytes").alias("bytes"))
+
+
+@query("backward_instr_counts")
+def backward_instr_counts(spark, sf):
+    return plan_corpus(spark, sf).backward.instructions.groupBy("batch_id", "kind").agg(F.count("*").alias("n"), F.sum("n_items").alias("n_items"))
+
+
 @query("multicast_trees")
 def multicast_trees(spark, sf):
     trees = schedule.multicast([(0, [1, 2]), (1, [2, 3]), (3, [0])], 4, 3)
