@@ -10,8 +10,9 @@ may reach the threshold are confirmed on their full sets.
 No group is expanded into its pairs. Round one tests each class against the smallest of its buckets, round two each member
 outside its bucket's largest component against one member of that component, drawn by hash; a bucket whose members all belong
 to one component is done. What is left is searched exhaustively in blocks of bounded size: every member outside the bucket's
-largest component meets every member of another component, once, in the first band that the two share; estimate and
-confirmation happen inside the block, and only links come out.
+largest component meets every member of another component, once, in the first band that the two share. Sketches go first,
+and say which members have a likely partner in the block; those get their sets, are confirmed inside the block, and only
+links come out.
 
 Sets, not texts, are compared: a class that shares a bucket gets its set as hashes once, and streams past the set that it is
 tested against; that one is sent once for every `SPLIT` of its members.
@@ -40,6 +41,8 @@ BANDS, ROWS = 40, 5
 MARGIN = 0.12
 #: Members of a block of a bucket, and shingles of all of them together, about; members that one copy of a set is sent for.
 BLOCK, BLOCK_SHINGLES, SPLIT = 1024, 1 << 20, 1024
+#: Rows of a few numbers each that may be broadcast; more are joined by shuffling.
+FEW = 500_000
 RUN = 1 << 20
 
 _rng = np.random.default_rng(20240611)
@@ -166,14 +169,22 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, M)
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, of a few numbers each, marked for broadcast if they are not more than `FEW`."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def _buckets(reps: DataFrame) -> DataFrame:
+    """bucket, rep for every band of every sketch; the band is in the bucket's last six bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band = np.arange(BANDS)
         for batch in batches:
             if batch.num_rows:
-                rep, band = np.repeat(np.asarray(batch.column(0)), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(bands(_registers(batch.column(1))).ravel()), pa.array(band), pa.array(rep)], names=["bucket", "band", "rep"])
+                own = (bands(_registers(batch.column(1))) & ~np.int64(63)) | band
+                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), BANDS))], names=["bucket", "rep"])
 
-    return reps.select("rep", "sketch").mapInArrow(run, "bucket bigint, band int, rep bigint")
+    return reps.select("rep", "sketch").mapInArrow(run, "bucket bigint, rep bigint")
 
 
 def _salted(pairs: DataFrame) -> DataFrame:
@@ -208,7 +219,8 @@ def _verified(members: DataFrame, full: DataFrame, similar: int = SIMILAR) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), a)), rows.column(3).take(pa.array(on)), pa.array(linked)], names=["a", "b", "linked"])
 
     own = ["n_shingles", "sketch", "set"]
-    heads = members.select("a", "salt").distinct().join(full.withColumnRenamed("rep", "a"), "a").select("a", "salt", F.lit(0).cast("bigint").alias("member"), F.col("a").alias("rep"), *own)
+    asked = _few(written(members.select("a", "salt").distinct(), "heads"))
+    heads = asked.join(full.withColumnRenamed("rep", "a"), "a").select("a", "salt", F.lit(0).cast("bigint").alias("member"), F.col("a").alias("rep"), *own)
     rows = heads.unionByName(members.select("a", "salt", F.lit(1).cast("bigint").alias("member"), "rep", *own))
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
@@ -233,52 +245,64 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _crowded(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, band, rep, comp and main, the largest component, of the buckets with more than one component."""
-    m = members.join(labels, "rep")
+    """bucket, rep, comp and main, the largest component, of the buckets with more than one component."""
+    m = members.join(_few(labels), "rep")
     sizes = m.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("n", (-F.col("comp")).alias("c")))["c"].alias("c"))
     return m.join(sizes.where("comps > 1").select("bucket", (-F.col("c")).alias("main")), "bucket")
 
 
-def _rest(crowded: DataFrame, full: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Links (a, b) between components of a bucket, one for each member outside the main component and component it meets."""
-    rows = crowded.withColumn("minor", F.col("comp") != F.col("main")).join(full, "rep")
+def _rest(crowded: DataFrame, full: DataFrame, similar: int = SIMILAR, sets: bool = True) -> DataFrame:
+    """Links (a, b) between components of a bucket, one for each member outside the main component and component it meets.
+
+    Without sets: the (bucket, rep) that have a likely partner of another component, by their sketches."""
+    own = ["n_shingles", "sketch", *(["set"] if sets else [])]
+    rows = crowded.withColumn("minor", F.col("comp") != F.col("main")).join(full.select("rep", *own), "rep")
     parts = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
     mine = F.col("minor").cast("int")
-    sizes = rows.groupBy("bucket").agg(parts(F.count("*"), F.sum("n_shingles")).alias("xs"), parts(F.sum(mine), F.sum(mine * F.col("n_shingles"))).alias("ys"))
-    rows = rows.join(sizes, "bucket")
+    light = crowded.withColumn("minor", F.col("comp") != F.col("main")).join(full.select("rep", "n_shingles"), "rep")
+    sizes = light.groupBy("bucket").agg(parts(F.count("*"), F.sum("n_shingles")).alias("xs"), parts(F.sum(mine), F.sum(mine * F.col("n_shingles"))).alias("ys"))
+    rows = rows.join(_few(written(sizes, "sizes")), "bucket")
     place = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
-    own = ["bucket", "band", "rep", "comp", "sketch", "set"]
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    all_ = rows.select(*own, "n_shingles", F.lit(False).alias("asks"), place(F.col("xs"), 3).alias("x"), spread("ys").alias("y"))
-    asks = rows.where("minor").select(*own, "n_shingles", F.lit(True).alias("asks"), spread("xs").alias("x"), place(F.col("ys"), 5).alias("y"))
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # every member is in one row of blocks and every asking one in one column: a row for each block that it is in, sent once
+    # to the block where it is both
+    x, y, minor = place(F.col("xs"), 3), place(F.col("ys"), 5), F.col("minor")
+    cells = F.concat(
+        F.transform(spread("ys"), lambda v: F.struct(x.alias("x"), v.alias("y"), F.lit(True).alias("has"), (minor & (v == y)).alias("asks"))),
+        F.when(minor, F.transform(F.filter(spread("xs"), lambda v: v != x), lambda v: F.struct(v.alias("x"), y.alias("y"), F.lit(False).alias("has"), F.lit(True).alias("asks")))).otherwise(F.array().cast("array<struct<x:int,y:int,has:boolean,asks:boolean>>")),
+    )
+    rows = rows.select("bucket", "rep", "comp", *own, F.explode(cells).alias("c")).select("bucket", "rep", "comp", *own, "c.*")
 
     def search(group: pa.Table) -> pa.Table:
-        ask, band = np.asarray(group.column("asks")), group.column("band")[0].as_py()
+        bucket = group.column("bucket")[0].as_py()
+        ask, has = (np.flatnonzero(np.asarray(group.column(c))) for c in ("asks", "has"))
         rep, comp, n, k = np.asarray(group.column("rep")), np.asarray(group.column("comp")), np.asarray(group.column("n_shingles")).astype(float), _registers(group.column("sketch"))
-        buckets, sets = bands(k), group.column("set")
-
-        def set_of(i: int) -> np.ndarray:
-            return np.frombuffer(sets[i].as_py(), U64)
-
-        has = np.flatnonzero(~ask)
-        found = set()
-        for i in np.flatnonzero(ask).tolist():
+        buckets, own = bands(k) & ~np.int64(63), group.column("set") if sets else None
+        set_of = lambda i: np.frombuffer(own[int(i)].as_py(), U64)
+        found, likely = set(), np.zeros(len(rep), bool)
+        for i in ask.tolist():
             other = has[comp[has] != comp[i]]
-            other = other[(buckets[other] == buckets[i]).argmax(1) == band]
+            other = other[(buckets[other] == buckets[i]).argmax(1) == bucket & 63]
             other = other[(k[other] == k[i]).sum(1) >= M * (similar / 100 - 2 * MARGIN)]
             if not len(other):
                 continue
             e = estimate(np.repeat(k[i][None], len(other), 0), k[other], np.full(len(other), n[i]), n[other])
-            other = other[e >= similar / 100 - MARGIN]
+            other, e = other[e >= similar / 100 - MARGIN], e[e >= similar / 100 - MARGIN]
+            if not sets:
+                likely[other] = True
+                likely[i] |= len(other) > 0
+                continue
             done = set()
-            for o in other[np.argsort(-e[e >= similar / 100 - MARGIN], kind="stable")].tolist():
+            for o in other[np.argsort(-e, kind="stable")].tolist():
                 if comp[o] not in done and _similar(set_of(i), set_of(o), similar):
                     done.add(comp[o])
                     found.add((min(rep[i], rep[o]), max(rep[i], rep[o])))
+        if not sets:
+            return pa.table({"bucket": pa.array(np.full(int(likely.sum()), bucket)), "rep": pa.array(rep[likely])})
         pairs = sorted(found)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return all_.unionByName(asks).groupBy("bucket", "x", "y").applyInArrow(search, "a bigint, b bigint")
+    return rows.groupBy("bucket", "x", "y").applyInArrow(search, "a bigint, b bigint" if sets else "bucket bigint, rep bigint").distinct()
 
 
 def _similar(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
@@ -308,12 +332,13 @@ def _linked(docs: DataFrame, text: str, width: int, similar: int) -> tuple[DataF
 
     buckets = _buckets(classes)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("bucket", "first")
-    members = written(buckets.join(shared, "bucket"), "members")  # bucket, band, rep, first
+    members = written(buckets.join(shared, "bucket"), "members")  # bucket, rep, first
     # round one: the smallest member of all its buckets
     centre = written(members.groupBy("rep").agg(F.min(F.when(F.col("first") != F.col("rep"), F.col("first"))).alias("a")), "centres")
     salted = _salted(centre.where("a is not null").select("a", F.col("rep").alias("b"))).withColumnRenamed("b", "rep")
-    wanted = classes.join(centre.select("rep"), "rep").join(salted, "rep", "left")
-    sets = _with_sets(docs.join(wanted.withColumnRenamed("first", "doc_id"), "doc_id").drop("doc_id"), width)
+    wanted = written(classes.join(_few(centre.select("rep")), "rep").join(salted, "rep", "left").withColumnRenamed("first", "doc_id"), "wanted")
+    texts = docs.join(_few(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = _with_sets(texts.join(wanted, "doc_id").drop("doc_id"), width)
     sets = written(sets if repeats.isEmpty() else sets.dropDuplicates(["rep"]), "sets")  # rep, n_shingles, sketch, a, salt, set
     labels = centre.select("rep")
     if by_id is not None:
@@ -323,24 +348,25 @@ def _linked(docs: DataFrame, text: str, width: int, similar: int) -> tuple[DataF
     links = tested.where("linked").select("a", "b")
     labels = _merged(labels, links if by_id is None else links.unionByName(by_id))
     sets_of, members_of = sets, members
-    sets, members = sets.drop("a", "salt"), members.select("bucket", "band", "rep")
+    sets, members = sets.drop("a", "salt"), members.select("bucket", "rep")
     # round two: one member of the largest component of each bucket that is still open
     crowded = written(_crowded(members, labels), "crowded")
     if not crowded.isEmpty():
         drawn = crowded.where("comp = main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep"))["rep"].alias("one"))
         pairs = crowded.where("comp <> main").join(drawn, "bucket").select(F.least("one", "rep").alias("a"), F.greatest("one", "rep").alias("b")).distinct()
         pairs = _salted(pairs.join(tested, ["a", "b"], "left_anti")).withColumnRenamed("b", "rep")
-        links = written(_verified(pairs.join(sets, "rep"), sets, similar).where("linked").select("a", "b"), "links")
+        links = written(_verified(_few(written(pairs, "pairs")).join(sets, "rep"), sets, similar).where("linked").select("a", "b"), "links")
         labels = _merged(labels, links)
         freed(links)
         # the rest, exhaustively
         left = written(_crowded(members, labels), "crowded")
-        if not left.isEmpty():
-            links = written(_rest(left, sets, similar).distinct(), "links")
+        likely = written(_rest(left, sets, similar, False), "likely")
+        if not likely.isEmpty():
+            links = written(_rest(left.join(likely, ["bucket", "rep"], "left_semi"), sets, similar), "links")
             labels = _merged(labels, links)
             freed(links)
-        freed(left)
-    freed(crowded, tested, members_of, sets_of, centre, repeats, *([] if by_id is None else [by_id]))
+        freed(left, likely)
+    freed(crowded, tested, members_of, sets_of, centre, wanted, repeats, *([] if by_id is None else [by_id]))
     by_class = written(classes.select("k1", "k2", "first", "rep").join(labels, "rep", "left").select("k1", "k2", "first", F.coalesce("comp", "rep").alias("comp")), "by-class")
     freed(classes, labels)
     least = by_class.groupBy("comp").agg(F.min("first").alias("component"))
