@@ -122,3 +122,24 @@ def test_rates_against_dense_least_squares(spark, targets):
     for _ in range(60_000):
         r = np.maximum(0, r - a @ (r @ a - want) / (np.linalg.norm(a, 2) ** 2))
     assert (rates >= 0).all() and abs(np.square(got - want).sum() - np.square(r @ a - want).sum()) <= 1e-4 * np.square(want).sum()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in all columns, repeated rows, no n_chars, columns named as the stages name theirs; and no rows at all."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    words = np.array("the plain words of some good text that goes on and on with more of it".split())
+    rows = [(i, " ".join(rng.choice(words, 60)) + f" n{i}", "en" if i % 2 else "de", "m", i, "r", 0.5) for i in range(40)]
+    rows += [(3, rows[3][1], "de", "m", 3, "r", 0.5), (100, None, None, None, None, None, None), (None, "alone here", None, None, None, None, None), (101, "", "en", "", 0, "", 0.0)]
+    kinds = "doc_id bigint, text string, lang string, matches string, kept bigint, row string, score double"
+    spark.createDataFrame([(i, "x", "y") for i in range(2)], "item_id bigint, text string, other string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)] + [(None, 0, None), (500, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for own, empty in ((rows, False), ([], True)):
+        spark.createDataFrame(own, kinds).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path))
+        assert out.columns == [c.split(" ")[0] for c in kinds.split(", ")] + mixing.ADDED
+        got = out.collect()
+        assert empty == (not got)
+        ids = [r["doc_id"] for r in got if r["doc_id"] is not None]
+        assert len(ids) == len(set(ids)) and (empty or {r["kept"] for r in got if r["doc_id"] == 3} == {3})

@@ -19,7 +19,7 @@ __all__ = ["bounded_sample", "carried", "cut_of", "group_counts", "in_fold", "ke
 
 #: Rows of an Arrow batch handed to Python. Long texts are common, so that a batch stays at some MB.
 BATCH_ROWS = 400
-#: Groups whose counts are broadcast, at most, and bytes of the texts of one label in a sample.
+#: Groups, or ids of a sample, that are broadcast at most, and bytes of the texts of one label in a sample.
 GROUPS, SAMPLE_BYTES = 100_000, 64 << 20
 U64 = np.uint64
 
@@ -75,11 +75,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
 
     labels: doc_id, label. Rows with a null in either are left out, repeated ones count once; of documents that repeat a
     doc_id the smallest text is taken. Whole texts of each label are taken in order of a hash while they fit `most_bytes`, so
-    that what may reach the driver is bounded in rows and in bytes. Only ids of the sample are broadcast.
+    that what may reach the driver is bounded in rows and in bytes. Only ids of the sample are broadcast, `GROUPS` at most.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label")).distinct()
-    drawn = bounded_sample(marked, ["_label"], bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    drawn = written(bounded_sample(marked, ["_label"], bound), "drawn")
+    sent = F.broadcast(drawn) if drawn.limit(GROUPS + 1).count() <= GROUPS else drawn
+    rows = docs.select("doc_id", "text").join(sent, "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
     rows = written(rows, "sample").select("doc_id", "text", F.col("_label").alias(label))
     sizes = rows.select("doc_id", F.col(label).alias("label"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("doc_id").alias("at"))
     if sizes.groupBy("label").agg(F.sum("size").alias("size")).where(F.col("size") > most_bytes).isEmpty():

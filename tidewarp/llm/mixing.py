@@ -30,6 +30,8 @@ from .common import labelled_sample, pieces, prepare, table, text_bytes, written
 
 #: Labelled rows of each domain that the fit takes, hashed features, passes of the fit and of the projected gradient.
 SAMPLE, BITS, EPOCHS, PASSES = 600, 11, 150, 40
+#: Rows, of 8 KB each, and bytes of text that the fit takes over all domains.
+MOST, SAMPLE_BYTES = 30_000, 256 << 20
 #: The relative distance to the targets at which the passes end.
 NEAR = 1e-7
 PIECE = 512 << 10
@@ -78,9 +80,12 @@ class Domains:
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Domains:
-    """Train on about `sample` documents of each domain of labelled (doc_id, domain), drawn before any text is read."""
+    """Train on about `sample` documents of each domain of labelled (doc_id, domain), drawn before any text is read; fewer of
+    each where all domains together would give over `MOST`."""
     prepare(docs.sparkSession)
-    rows = labelled_sample(docs, labelled.select("doc_id", F.col("domain").cast("string").alias("domain")), "domain", sample)
+    labelled = labelled.select("doc_id", F.col("domain").cast("string").alias("domain"))
+    k = labelled.select("domain").distinct().count()
+    rows = labelled_sample(docs, labelled, "domain", max(1, min(sample, MOST // max(1, k))), SAMPLE_BYTES // max(1, k))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
