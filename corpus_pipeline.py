@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewarp.llm import decontaminate, mixing, neardup, pii, quality
-from tidewarp.llm.common import in_fold, table, written
+from tidewarp.llm.common import carried, in_fold, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network accepts; it learns from the labels outside the held-out fold."""
     net = quality.fit(docs, table(spark, sf_dir, "labels").where(~in_fold(3, 1)))
-    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_scored"))
+    inner = carried(docs, F.col("text").alias("_scored"))
     return quality.score(inner, net, ("row",), "_scored").where("predicted = 1").select("row.*")
 
 
