@@ -180,7 +180,7 @@ def register_udtf(spark, name: str, mask: Callable[[int, str], list[tuple[int, i
     """Register a Python callback (length, parameters as JSON) -> a tuple of ranges per position as the table function
     name(length, parameters) -> q_pos, s0, e0, s1, e1: the hook for masks of the user's own."""
 
-    @udtf(returnType="q_pos bigint, s0 bigint, e0 bigint, s1 bigint, e1 bigint")
+    @udtf(returnType="q_pos bigint, s0 bigint, e0 bigint, s1 bigint, e1 bigint", useArrow=True)
     class Mask:
         def eval(self, n: int, params: str):
             for i, r in enumerate(mask(n, params)):

@@ -12,6 +12,10 @@ from .batching import greedy_groups
 from .blocks import offsets, work_io
 
 
+# Scale of the compute weights, scale of the net weights, and by how much memory outweighs all compute.
+COMPUTE_SCALE, NET_SCALE, MEMORY_FACTOR = 10_000, 45_000, 100
+
+
 def alternating(block: Column, n: Column, devices: int) -> Column:
     """Device of a block when each device in turn takes ceil(n / devices) blocks, alternately from the front and the back.
 
@@ -66,18 +70,18 @@ def vertices(works: DataFrame, groups: DataFrame) -> DataFrame:
     """Hypergraph vertices: works (compute weight, the largest 10 000) and groups of blocks (memory weight: the smallest group
     outweighs a hundred times all compute). Weights are long integers, so nothing has to be scaled down again."""
     w = Window.partitionBy("batch_id")
-    comp = works.select("batch_id", F.lit("work").alias("kind"), F.col("work_id").alias("id"), F.greatest(F.lit(1), F.floor(F.col("cost_fw") * 10_000 / F.max("cost_fw").over(w))).cast("bigint").alias("compute"))
+    comp = works.select("batch_id", F.lit("work").alias("kind"), F.col("work_id").alias("id"), F.greatest(F.lit(1), F.floor(F.col("cost_fw") * COMPUTE_SCALE / F.max("cost_fw").over(w))).cast("bigint").alias("compute"))
     total = comp.groupBy("batch_id").agg(F.sum("compute").alias("all_compute"))
     mem = groups.groupBy("batch_id", F.col("group_id").alias("id")).agg(F.sum("bytes").alias("bytes"))
     mem = mem.withColumn("least", F.min("bytes").over(w)).join(total, "batch_id")
-    mem = mem.select("batch_id", F.lit("data").alias("kind"), "id", F.lit(0).cast("bigint").alias("compute"), F.ceil(F.col("bytes") * (100 * F.col("all_compute") / F.col("least"))).cast("bigint").alias("memory"))
+    mem = mem.select("batch_id", F.lit("data").alias("kind"), "id", F.lit(0).cast("bigint").alias("compute"), F.ceil(F.col("bytes") * (MEMORY_FACTOR * F.col("all_compute") / F.col("least"))).cast("bigint").alias("memory"))
     return comp.withColumn("memory", F.lit(0).cast("bigint")).select("batch_id", "kind", "id", "compute", "memory").unionByName(mem)
 
 
 def nets(data: DataFrame) -> DataFrame:
     """A net for each block, weight in proportion to its bytes, the largest 45 000, one at least."""
     w = Window.partitionBy("batch_id")
-    return data.select("batch_id", "is_input", "data_id", F.greatest(F.lit(1), F.floor(F.col("bytes") * 45_000 / F.max("bytes").over(w))).cast("bigint").alias("weight"))
+    return data.select("batch_id", "is_input", "data_id", F.greatest(F.lit(1), F.floor(F.col("bytes") * NET_SCALE / F.max("bytes").over(w))).cast("bigint").alias("weight"))
 
 
 def pins(works: DataFrame, groups: DataFrame) -> DataFrame:
