@@ -478,3 +478,25 @@ def test_runner_names_a_lost_block():
         devices.read(2, "work", 1, 7, 3)
     with pytest.raises(KeyError, match="waits for block 7"):
         devices.receive({"device": 2, "peer": 1, "is_input": 1, "data_id": 7, "buffer": "work", "slot": 0}, 0)
+
+
+def test_hooks(spark, sf):
+    """A tokenizer, a mask, a cost model and a solver of one's own."""
+    from tidewarp.plans.planner import sequences
+
+    n = {r["doc_id"]: r["raw_len"] for r in sequences(spark, sf, count=lambda text: F.floor(F.length(text) / 4)).limit(5).collect()}
+    assert n and all(v is None or v >= 0 for v in n.values())
+    seqs = spark.createDataFrame([(0, 0, 0, 300), (0, 1, 1, 64)], "batch_id bigint, seq_id bigint, doc_id bigint, raw_len bigint")
+    plan = Plan(block=64)
+    rows = masks.full(seqs.select("batch_id", "seq_id", "raw_len").withColumnRenamed("raw_len", "n").withColumn("raw_len", F.col("n")))
+    seen = []
+
+    def solver(works, data, groups, seed_work, seed_data, plan):
+        seen.append(works.count())
+        w = works.select("batch_id", F.lit("work").alias("kind"), F.col("work_id").alias("id"), F.lit(3).alias("device"))
+        return w.unionByName(groups.select("batch_id", F.lit("data").alias("kind"), F.col("group_id").alias("id"), F.lit(3).alias("device")).distinct())
+
+    p = Planned(seqs, rows, plan, True, lambda density, plan: (density * 7, density * 9), solver)
+    got = p.works.collect()
+    assert len(got) == (25 + 1) * plan.model.q_blocks and all(r["density"] == 1 and r["cost_fw"] == 7 and r["cost_bw"] == 9 for r in got)
+    assert {r["device"] for r in p.placed[0].collect()} == {3} and seen == [len(got)]

@@ -114,19 +114,26 @@ def pairs_of_rows(rows: DataFrame, plan: Plan = DEFAULT) -> DataFrame:
     return wide.groupBy("batch_id", "seq_id", "raw_len", "q_block", "kv_block").agg(F.sum(attended).cast("bigint").alias("pairs")).where("pairs > 0")
 
 
-def work_blocks(sequences: DataFrame, mask: str = "causal", plan: Plan = DEFAULT) -> DataFrame:
+def roofline(density, plan: Plan = DEFAULT):
+    """Forward and backward milliseconds of a work of padded blocks: the larger of computing and of moving its bytes."""
+    m, padded = plan.model, F.lit(plan.block).cast("bigint")
+    f, fb = (cost.compute_ms(cost.flops(padded * padded, m, density, back), plan.cluster) for back in (False, True))
+    mem, mem_b = (cost.memory_ms(of(padded, padded, m, density), plan.cluster) for of in (cost.bytes_forward, cost.bytes_backward))
+    return F.greatest(f, mem), F.greatest(fb, mem_b)
+
+
+def work_blocks(sequences: DataFrame, mask: str | DataFrame = "causal", plan: Plan = DEFAULT, cost_of=roofline) -> DataFrame:
     """Work blocks of every head with dense identifiers in the order (sequence, head, query block, key block), the blocks
-    they read and write, density and forward and backward cost."""
+    they read and write, density and forward and backward cost.
+
+    mask: a name, or rows (batch_id, seq_id, raw_len, q_pos, s0, e0, s1, e1) of any other mask. cost_of: density, plan -> the two costs as columns."""
     m = plan.model
-    pairs = block_pairs(sequences, mask, plan).join(offsets(sequences, plan).select("batch_id", "seq_id", "n_blocks", "i_off", "o_off"), ["batch_id", "seq_id"])
+    pairs = (block_pairs(sequences, mask, plan) if isinstance(mask, str) else pairs_of_rows(mask, plan)).join(offsets(sequences, plan).select("batch_id", "seq_id", "n_blocks", "i_off", "o_off"), ["batch_id", "seq_id"])
     raw = F.col("raw_len").cast("bigint")
     q, k = block_tokens(raw, F.col("q_block"), plan.block), block_tokens(raw, F.col("kv_block"), plan.block)
     df = pairs.withColumns({"q_tokens": q, "kv_tokens": k}).withColumn("density", F.col("pairs") / (F.col("q_tokens") * F.col("kv_tokens")))
-    padded = F.lit(plan.block).cast("bigint")
-    f, fb = (cost.compute_ms(cost.flops(padded * padded, m, F.col("density"), back), plan.cluster) for back in (False, True))
-    mem = cost.memory_ms(cost.bytes_forward(padded, padded, m, F.col("density")), plan.cluster)
-    mem_b = cost.memory_ms(cost.bytes_backward(padded, padded, m, F.col("density")), plan.cluster)
-    df = df.withColumns({"cost_fw": F.greatest(f, mem), "cost_bw": F.greatest(fb, mem_b)})
+    forward, back = cost_of(F.col("density"), plan)
+    df = df.withColumns({"cost_fw": forward, "cost_bw": back})
     df = df.withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(m.q_blocks - 1))))
     order = Window.partitionBy("batch_id").orderBy("seq_id", "head", "q_block", "kv_block")
     n, h = F.col("n_blocks"), F.col("head")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT, Plan
 from ..functions import tokens
@@ -14,9 +15,9 @@ from ..sources import table
 from ..tables import written
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and raw_len of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", tokens.n_tokens(F.col("text")).alias("raw_len"))
+def sequences(spark: SparkSession, sf_dir: str, count: Callable[[Column], Column] = tokens.n_tokens) -> DataFrame:
+    """doc_id and raw_len of every document. count: the tokenizer's number of tokens of a text, as a column."""
+    return table(spark, sf_dir, "documents").select("doc_id", count(F.col("text")).cast("bigint").alias("raw_len"))
 
 
 def packed(lengths: DataFrame, plan: Plan = DEFAULT, last: str = "if_full") -> DataFrame:
@@ -28,16 +29,21 @@ def packed(lengths: DataFrame, plan: Plan = DEFAULT, last: str = "if_full") -> D
 
 @dataclass
 class Planned:
-    """The tables of a plan; each is built when it is asked for. Placement is the closed-form heuristic, or the partition."""
+    """The tables of a plan; each is built when it is asked for. Placement is the closed-form heuristic, or the partition.
+
+    mask: a name, or the rows of a mask of one's own; cost_of: the cost model; solver: the partition, called as
+    `placement.partition` is."""
 
     seqs: DataFrame
-    mask: str = "causal"
+    mask: str | DataFrame = "causal"
     plan: Plan = DEFAULT
     refine: bool = False
+    cost_of: Callable = blocks.roofline
+    solver: Callable[..., DataFrame] = placement.partition
 
     @cached_property
     def works(self) -> DataFrame:
-        return written(blocks.work_blocks(self.seqs, self.mask, self.plan), "works")
+        return written(blocks.work_blocks(self.seqs, self.mask, self.plan, self.cost_of), "works")
 
     @cached_property
     def data(self) -> DataFrame:
@@ -53,7 +59,7 @@ class Planned:
 
     @cached_property
     def parts(self) -> DataFrame:
-        parts = written(placement.partition(self.works, self.data, self.groups, *self.heuristic, self.plan), "parts")
+        parts = written(self.solver(self.works, self.data, self.groups, *self.heuristic, self.plan), "parts")
         return placement.repair(parts, self.works, self.groups, self.plan)
 
     @cached_property
@@ -79,7 +85,7 @@ class Planned:
     def backward(self) -> Planned:
         """The plan of the backward pass: its own blocks, stages, transfers and instructions, on the forward pass's devices."""
         works, data, device = blocks.backward_plan(self.works, self.data, self.placed[1])
-        out = Planned(self.seqs, self.mask, self.plan, self.refine)
+        out = Planned(self.seqs, self.mask, self.plan, self.refine, self.cost_of, self.solver)
         own = {"works": written(works, "backward-works"), "data": written(data, "backward-data"), "placed": (self.placed[0], written(device, "backward-homes"))}
         out.__dict__.update(own)  # in the place of what would be computed
         return out
