@@ -23,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bounded_sample, group_counts, in_fold, pieces, prepare, table, text_bytes, written
+from .common import bounded_sample, group_counts, in_fold, pieces, prepare, runs, table, text_bytes, written
 
 #: Training texts of each language, n-grams kept of each language, and the share of its texts that an n-gram must be in.
 SAMPLE, GRAMS, SHARE = 2000, 6000, 0.01
 SLOT_BITS, HASHES, N = 17, 3, 4
-PIECE = 512 << 10
+#: Bytes of a piece of a text, and of the texts whose n-grams are counted together.
+PIECE, RUN = 512 << 10, 512 << 10
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _SPACE = 0x20202020
 
@@ -141,11 +142,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, most: int = GRAMS, share: flo
         for batch in batches:
             raw, off, _ = text_bytes(batch.column(0))
             lang = np.array([index[x] for x in batch.column(1).to_pylist()])
-            seen = [np.unique((row.astype(np.uint64) << np.uint64(32)) | g) for g, row in grams(raw, off)]
-            pairs = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
-            of = lang[(pairs >> np.uint64(32)).astype(np.int64)] if len(pairs) else np.zeros(0, np.int64)
-            both, n = np.unique((of.astype(np.uint64) << np.uint64(32)) | (pairs & np.uint64(0xFFFFFFFF)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((both >> np.uint64(32)).astype(np.int32)), pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            for a, b in runs(off, RUN):
+                seen = [np.unique((row.astype(np.uint64) << np.uint64(32)) | g) for g, row in grams(raw[off[a] : off[b]], off[a : b + 1] - off[a])]
+                pairs = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
+                of = lang[a:b][(pairs >> np.uint64(32)).astype(np.int64)] if len(pairs) else np.zeros(0, np.int64)
+                both, n = np.unique((of.astype(np.uint64) << np.uint64(32)) | (pairs & np.uint64(0xFFFFFFFF)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((both >> np.uint64(32)).astype(np.int32)), pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     least = labelled.sparkSession.createDataFrame([(k, max(1, int(share * texts[x]))) for k, x in enumerate(langs)], "lang int, least bigint")
     found = rows.select("text", "lang").mapInArrow(count, "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
