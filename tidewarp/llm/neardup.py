@@ -315,7 +315,7 @@ def _similar(a: np.ndarray, b: np.ndarray, similar: int = SIMILAR) -> bool:
 
 
 def _linked(docs: DataFrame, text: str, width: int, similar: int) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, and (k1, k2, component: the smallest doc_id) of every class of sets."""
+    """Two written tables: the signed rows, and (k1, k2, first: a doc_id, comp) of every class of sets."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = written(_signed(docs, width=width), "signed")
@@ -369,13 +369,17 @@ def _linked(docs: DataFrame, text: str, width: int, similar: int) -> tuple[DataF
     freed(crowded, tested, members_of, sets_of, centre, wanted, repeats, *([] if by_id is None else [by_id]))
     by_class = written(classes.select("k1", "k2", "first", "rep").join(labels, "rep", "left").select("k1", "k2", "first", F.coalesce("comp", "rep").alias("comp")), "by-class")
     freed(classes, labels)
-    least = by_class.groupBy("comp").agg(F.min("first").alias("component"))
-    return signed, by_class.join(least, "comp").select("k1", "k2", "component")
+    return signed, by_class
 
 
 def components(docs: DataFrame, text: str = "text", width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row, for shingles of `width` words and a threshold in percent."""
-    signed, by_class = _linked(docs, text, width, similar)
+    return _judged(*_linked(docs, text, width, similar))
+
+
+def _judged(signed: DataFrame, by_class: DataFrame) -> DataFrame:
+    least = by_class.groupBy("comp").agg(F.min("first").alias("component"))
+    by_class = by_class.join(least, "comp").select("k1", "k2", "component")
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("k1")).alias("k1"), "k2").join(by_class, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
@@ -386,11 +390,15 @@ def deduplicate(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILAR, t
 
     Of rows that repeat the doc_id that stays, the one of the smallest text, and then the smallest as JSON, is taken; rows
     without words or doc_id all stay."""
-    found = written(components(docs, text, width, similar), "components")
-    gone = found.where("not kept").select("doc_id").distinct()
+    tables = _linked(docs, text, width, similar)
+    found = written(_judged(*tables), "components")
+    freed(*tables)
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
     twice = written(found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "twice")
-    stay = carried(docs, F.col("doc_id").cast("bigint").alias("_id"), F.col(text).alias("_text")).join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left_anti")
+    freed(found)
+    stay = carried(docs, F.col("doc_id").cast("bigint").alias("_id")).join(_few(gone), "_id", "left_anti")
     if not twice.isEmpty():
+        stay = stay.withColumn("_text", F.col(f"row.`{text}`"))
         worded = F.col("_text").rlike(r"[^ \t-\r]")
         marked = stay.join(twice.withColumn("_twice", F.lit(True)), "_id", "left").withColumn("_twice", F.coalesce(F.col("_twice") & worded, F.lit(False)))
         one = marked.where("_twice").groupBy("_id").agg(F.min_by("row", F.struct("_text", F.to_json("row"))).alias("row"))
