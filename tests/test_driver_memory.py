@@ -10,7 +10,7 @@ from tidewarp.plans.catalogue import QUERIES
 from tidewarp.plans.planner import plan_corpus
 
 #: Queries that sent tables of any size through the driver.
-NAMES = ["mask_spans", "backward_transfers"]
+NAMES = ["local_rows", "mask_spans", "backward_transfers"]
 
 
 def plans(spark) -> dict[int, str]:
