@@ -10,7 +10,7 @@ from tidewarp.plans.catalogue import QUERIES
 from tidewarp.plans.planner import plan_corpus
 
 #: Queries that sent tables of any size through the driver.
-NAMES = ["local_rows", "mask_spans", "backward_transfers", "device_load", "km1_volume", "slot_layout", "block_table", "stage_volumes", "pipeline_time"]
+NAMES = ["local_rows", "mask_spans", "backward_transfers", "device_load", "km1_volume", "slot_layout", "block_table", "stage_volumes", "pipeline_time", "partial_gradients"]
 
 
 def plans(spark) -> dict[int, str]:
