@@ -10,7 +10,7 @@ from tidewarp.plans.catalogue import QUERIES
 from tidewarp.plans.planner import plan_corpus
 
 #: Queries that sent tables of any size through the driver.
-NAMES = ["local_rows", "mask_spans", "backward_transfers", "device_load", "compute_imbalance", "device_report", "km1_volume", "partition_check", "partition_quality", "slot_layout", "block_table", "stage_volumes", "pipeline_time", "pipeline_trace", "partial_gradients", "buffer_sizes", "slot_check", "instr_counts", "instructions", "send_recv_match", "backward_blocks"]
+NAMES = ["local_rows", "mask_spans", "backward_transfers", "device_load", "compute_imbalance", "device_report", "km1_volume", "partition_check", "partition_quality", "slot_layout", "block_table", "stage_volumes", "pipeline_time", "pipeline_trace", "partial_gradients", "buffer_sizes", "slot_check", "instr_counts", "instructions", "send_recv_match", "backward_blocks", "backward_instr_counts"]
 
 
 def plans(spark) -> dict[int, str]:
