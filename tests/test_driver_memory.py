@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewarp.operators import blocks, local, masks, schedule
+from tidewarp.operators import blocks, local, masks
 from tidewarp.plans.catalogue import QUERIES
 from tidewarp.plans.planner import plan_corpus
 
@@ -27,3 +27,23 @@ def test_no_table_through_the_driver(spark, sf, tmp_path, name):
     own = [text for k, text in plans(spark).items() if k > before]
     # what may be broadcast are the packing's numbers for each chunk of its order, and the number of its last batch
     assert own and not [x for text in own for x in re.findall(r"Broadcast\w*Join[^\n]*\n(Left keys \[\d+\]: \[(?!chunk#).*)", text)]
+
+
+def test_spans_over_missing_key_blocks(spark):
+    works = spark.createDataFrame([(0, 0, 0, 0, k) for k in (0, 1, 3)], "batch_id bigint, seq_id bigint, head int, q_block bigint, kv_block bigint")
+    ranges = [(0, 1024), (300, 400), (512, 700), (100, 600), (5, 5), (600, 800)]
+    rows = spark.createDataFrame([(0, 0, i, s, e) for i, (s, e) in enumerate(ranges)], "batch_id bigint, seq_id bigint, q_pos bigint, s0 bigint, e0 bigint")
+    got = {r["q_pos"]: (r["start"], r["end"], r["gaps"]) for r in blocks.mask_spans(works, rows).collect()}
+    assert got == {0: (0, 1024, 1), 1: (300, 400, 0), 3: (100, 512, 0), 5: (768, 800, 0)}
+
+
+def test_rows_and_whole_sequences_agree(spark, sf):
+    p = plan_corpus(spark, sf)
+    seqs = p.seqs.where("batch_id = 0").select("batch_id", "seq_id", "raw_len")
+    tokens = seqs.select("batch_id", "seq_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("raw_len") - 1)).alias("pos"))
+    key = ["batch_id", "seq_id", "block", "device", "pos"]
+    a, b = (sorted(map(tuple, local.local_rows(x, p.data, p.placed[1]).select(*key).collect())) for x in (tokens, seqs))
+    assert a == b and a
+    spans = lambda *x, **y: sorted(map(tuple, blocks.mask_spans(p.works.where("batch_id = 0"), *x, **y).select("seq_id", "q_pos", "start", "end", "gaps").collect()))
+    for mask in ("causal", "lambda"):
+        assert spans(mask, sequences=seqs) == spans(masks.ranges(seqs, mask))
