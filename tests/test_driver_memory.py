@@ -29,6 +29,16 @@ def test_no_table_through_the_driver(spark, sf, tmp_path, name):
     assert own and not [x for text in own for x in re.findall(r"Broadcast\w*Join[^\n]*\n(Left keys \[\d+\]: \[(?!chunk#).*)", text)]
 
 
+def test_stages_are_made_once(spark, sf):
+    p = plan_corpus(spark, sf)
+    assert p.works.count()  # written before
+    before = max(plans(spark))
+    work_stages, moves = p.staged
+    assert work_stages.count() and moves.count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert sum(bool(re.search(r"FlatMap(Co)?GroupsIn", text)) for k, text in plans(spark).items() if k > before) == 1
+
+
 def test_spans_over_missing_key_blocks(spark):
     works = spark.createDataFrame([(0, 0, 0, 0, k) for k in (0, 1, 3)], "batch_id bigint, seq_id bigint, head int, q_block bigint, kv_block bigint")
     ranges = [(0, 1024), (300, 400), (512, 700), (100, 600), (5, 5), (600, 800)]
