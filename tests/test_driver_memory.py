@@ -39,6 +39,11 @@ def test_stages_are_made_once(spark, sf):
     assert sum(bool(re.search(r"FlatMap(Co)?GroupsIn", text)) for k, text in plans(spark).items() if k > before) == 1
 
 
+def test_backward_blocks_need_no_works(spark, sf):
+    p = plan_corpus(spark, sf)
+    assert p.backward.data.count() and "works" not in p.__dict__
+
+
 def test_spans_over_missing_key_blocks(spark):
     works = spark.createDataFrame([(0, 0, 0, 0, k) for k in (0, 1, 3)], "batch_id bigint, seq_id bigint, head int, q_block bigint, kv_block bigint")
     ranges = [(0, 1024), (300, 400), (512, 700), (100, 600), (5, 5), (600, 800)]
