@@ -29,6 +29,16 @@ def test_no_table_through_the_driver(spark, sf, tmp_path, name):
     assert own and not [x for text in own for x in re.findall(r"Broadcast\w*Join[^\n]*\n(Left keys \[\d+\]: \[(?!chunk#).*)", text)]
 
 
+@pytest.mark.parametrize("name", ["instr_counts", "instructions", "backward_instr_counts"])
+def test_instructions_join_no_works_or_blocks(spark, sf, tmp_path, name):
+    before = max(plans(spark), default=-1)
+    QUERIES[name](spark, sf).write.parquet(str(tmp_path / "out"))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    own = [text for k, text in plans(spark).items() if k > before]
+    assert sum("FlatMapCoGroupsIn" in text for text in own) == 1
+    assert not [x for text in own for x in re.findall(r"Left keys \[\d+\]: \[[^\]]*(?:work_id|data_id)#[^\n]*", text)]
+
+
 def test_stages_are_made_once(spark, sf):
     p = plan_corpus(spark, sf)
     assert p.works.count()  # written before

@@ -208,6 +208,24 @@ def test_operations_carry_their_operands(small):
         assert schedule.unmatched(ops.where(~((F.col("op") == op) & (F.col("kind") == "launch") & (F.col("batch_id") == one["batch_id"]) & (F.col("device") == one["device"]) & (F.col("data_id") == one["data_id"])))).count() >= 1
 
 
+@pytest.mark.parametrize("back", [False, True])
+def test_instructions_are_those_of_the_operators(small, back):
+    p = small.backward if back else small
+    ops = schedule.operations(p.instructions).cache()
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    st_, moves = p.staged
+    key = ["batch_id", "device", "is_input", "data_id"]
+    assert rows(st_, "batch_id", "work_id", "device", "stage") == rows(ops.where("op = 'attend'"), "batch_id", "work_id", "device", "stage")
+    assert rows(moves, "batch_id", "data_id", "src", "dst", "stage") == rows(ops.where("kind = 'wait'"), "batch_id", "data_id", "peer", "device", "stage")
+    out = ops.where("kind = 'wait_out'")
+    assert rows(p.out_moves, "batch_id", "data_id", "src", "dst") == rows(out, "batch_id", "data_id", "peer", "device") and not out.isEmpty()
+    at_home, at_work = schedule.local_slots(p.data, p.placed[1]), schedule.temporary_slots(schedule.live_ranges(st_, p.works), p.data, p.placed[1])
+    copies = at_home.where("is_input = 1").select(*key, "slot").join(at_work.select(*key, F.col("slot").alias("to_slot")), key)
+    assert rows(copies, *key, "slot", "to_slot") == rows(ops.where("op = 'copy'"), *key, "slot", "to_slot")
+    used = ops.where("buffer = 'work' and op <> 'attend'").select(*key, "slot").distinct()
+    assert used.join(at_work, [*key, "slot"], "left_anti").isEmpty()
+
+
 def test_slots_do_not_clash(small):
     live = schedule.live_ranges(small.staged[0], small.works)
     seen: dict = {}
